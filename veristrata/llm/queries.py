@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import language, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op4_language": language.op4_language,
+    "op7_quality": quality.op7_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
