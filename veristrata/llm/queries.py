@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality, toxicity
+from . import bpe, language, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_language": language.op4_language,
+    "op6_bpe": bpe.op6_bpe,
     "op7_quality": quality.op7_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
