@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, quality, toxicity
+from . import bpe, language, media, mixing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_language": language.op4_language,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality": quality.op7_quality,
+    "op8_media": media.op8_media,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_warc": warc.op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {}
