@@ -129,7 +129,8 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray,
         out[whole] = h[at_word[whole]]
     for r in np.flatnonzero(~long & (count > 0)):
         w = words[first[r] : first[r + 1]]
-        out[to[r]] = mix((w * RUN[: len(w)] if len(w) <= 4 else w * RUN[np.arange(len(w)) % 4]).sum(dtype=np.uint64, keepdims=True) + U(len(w)) * RUN[4])[0]
+        j = np.arange(len(w))
+        out[to[r]] = mix((w * RUN[j % 4] * (2 * (j // 4) + 1).astype(np.uint64)).sum(dtype=np.uint64, keepdims=True) + np.array([len(w)], np.uint64) * RUN[4])[0]
     for r in np.flatnonzero(made > 1):
         out[to[r] : to[r + 1]].sort()
     keep = np.ones(len(out), bool)

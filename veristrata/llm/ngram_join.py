@@ -92,7 +92,7 @@ def keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for r in np.flatnonzero((empty > spare) & (parts > 0)):  # sorted by hash: the prefix is a slice
             n = int(size[r])
             prefix = sets[at[r] : at[r] + n - -(-NUM * n // DEN) + 1]
-            out.append(T.mix(prefix + T.U(int(g[r])) * T.RUN[2] + T.RUN[3]))
+            out.append(T.mix(prefix + np.array([g[r]], np.uint64) * T.RUN[2] + T.RUN[3]))
             rows.append(np.full(len(prefix), r))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

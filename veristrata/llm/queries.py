@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, media, mixing, ngram_join, quality, toxicity, warc, winnowing
+from . import bpe, language, lm_score, media, mixing, ngram_join, quality, toxicity, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_winnowing": winnowing.op2_winnowing,
+    "op3_lm_score": lm_score.op3_lm_score,
     "op4_language": language.op4_language,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_bpe": bpe.op6_bpe,
