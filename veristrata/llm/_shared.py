@@ -13,6 +13,16 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Rows that a Python worker is handed at once; the default of 10,000 may be a gigabyte of long texts.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches small enough for two workers beside an executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def settle(rows: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows, written as Parquet under a name of their own and read again."""
     path = f"{folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"

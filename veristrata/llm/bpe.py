@@ -17,13 +17,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import _text as T
+from . import _shared, _text as T
 
 NONE = np.int32(0x7FFFFFFF)
 #: Longer pieces are merged through a heap (n log n) instead of a matrix row (n times n); the ids are the same.
 LONG_PIECE = 256
 #: Pieces that a worker remembers between batches.
-REMEMBERED = 400_000
+REMEMBERED = 80_000
 
 _LETTER, _NUMBER, _OTHER, _WHITE, _BLANK = 0, 1, 2, 3, 4
 _classes: np.ndarray | None = None
@@ -307,4 +307,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return digests(_shared.small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

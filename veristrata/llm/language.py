@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import _fit, _text as T
+from . import _fit, _shared, _text as T
 
 #: Texts that the machines are fitted on, about; twice as many at most.
-FIT_ROWS = 3_000
+FIT_ROWS = 2_000
 BITS = 12
 #: Which languages are closely related; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -144,7 +144,7 @@ def fit_discriminator(docs: DataFrame, *, most: int = FIT_ROWS) -> Discriminator
             yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["lang"], pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], ["doc_id", "lang", "shares"])
 
     got = _fit.sample(rows, F.col("doc_id"), most).filter(F.col("text").rlike(r"\p{L}")).mapInArrow(shared, "doc_id long, lang string, shares binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    x = np.frombuffer(b"".join(got["shares"].to_pylist()), np.float32).reshape(-1, 1 << BITS).copy()
+    x = np.frombuffer(T.flat(got["shares"].combine_chunks())[0], np.float32).reshape(-1, 1 << BITS).copy() if got.num_rows else np.zeros((0, 1 << BITS), np.float32)
     return fit(x, got["lang"].to_pylist())
 
 
@@ -170,6 +170,6 @@ def identify(docs: DataFrame, model: Discriminator) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _shared.small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "text", (_fit.remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
     return identify(rows, fit_discriminator(docs)).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import _text as T
+from . import _shared, _text as T
 
 #: Weights of the 3-gram, 2-gram and 1-gram estimates; the rest is spread evenly.
 MIX = (0.55, 0.3, 0.12)
@@ -119,5 +119,6 @@ def score_difference(docs: DataFrame, target: Model, background: Model) -> DataF
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _shared.small_batches(spark)
     docs, target = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return score_difference(docs, fit_model(target), fit_model(docs))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import _text as T
+from . import _shared, _text as T
 
 FRAME = 576
 SIDE = 24
@@ -232,4 +232,4 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return stored(_shared.small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"))

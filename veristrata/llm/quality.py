@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import _fit, _text as T
+from . import _fit, _shared, _text as T
 
 #: Labelled rows that the field is fitted on, about; twice as many at most.
-FIT_ROWS = 4_000
+FIT_ROWS = 2_500
 #: A document is kept (predicted 1) from this score on.
 KEEP = 0.3
 
@@ -191,6 +191,7 @@ def score_quality(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _shared.small_batches(spark)
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_quality(docs.select("doc_id", "text", (_fit.remainder(F.col("doc_id"), 5) == 0).alias("held_out")), fit_field(docs, labels))
     return scored.select("doc_id", "held_out", "score", "predicted")
