@@ -4,7 +4,353 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from veristrata.functions import text as T
+from veristrata.operators import cluster, conformal, provenance, rouge, runlog, sample, segment, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+ALPHAS = [0.05, 0.1, 0.2]
+STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+# SQL pieces
+LOOSE = r"trim(regexp_replace(regexp_replace(lower(text), '\[\*\*.*?\*\*\]', ' ', 'g'), '[^a-z0-9.]+', ' ', 'g'))"
+EXACT = r"trim(regexp_replace(lower(text), '[ \t\n\v\f\r]+', ' ', 'g'))"
+TOKENS = rf"list_filter(list_transform(string_split({LOOSE}, ' '), lambda t: case when regexp_full_match(t, '\d+(\.\d+)?') then t else regexp_replace(t, '\.+$', '') end), lambda t: length(t) >= 3 and t not in ({STOPS}))"
+WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?')"
+SCORED = "scored as (select doc_id, lang, source, n_chars, least(1.0::double, n_chars / 5000.0::double) as score, quality = 1 as ok, toxic = 1 as tox from documents join labels using (doc_id))"
+WILSON = lambda h, n: (f"round(({h}/{n}::double + 1.96*1.96/(2*{n}) - 1.96*sqrt(({h}/{n}::double)*(1-{h}/{n}::double)/{n} + 1.96*1.96/(4.0*{n}*{n})))/(1+1.96*1.96/{n}),4)", f"round(({h}/{n}::double + 1.96*1.96/(2*{n}) + 1.96*sqrt(({h}/{n}::double)*(1-{h}/{n}::double)/{n} + 1.96*1.96/(4.0*{n}*{n})))/(1+1.96*1.96/{n}),4)")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").drop("text").join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", "source", "n_chars", F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("score"), (F.col("quality") == 1).alias("ok"), (F.col("toxic") == 1).alias("tox"))
+
+
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as (conv_id, source: user turns, note: assistant turns)."""
+    turns = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), "\n")
+    return table(spark, d, "conversations").groupBy("conv_id").agg(turns("user").alias("source"), turns("assistant").alias("note"))
+
+
+NOTES = "notes as (select conv_id, coalesce(string_agg(text, chr(10) order by turn) filter (role = 'user'), '') as source, coalesce(string_agg(text, chr(10) order by turn) filter (role = 'assistant'), '') as note from conversations group by conv_id)"
+SHARED = f"i as (select item_id, unnest(list_distinct({TOKENS})) as token from benchmark), d as (select doc_id, unnest(list_distinct({TOKENS})) as token from documents), k as (select item_id, count(*) as n_tokens from i group by 1), s as (select item_id, doc_id, count(*) as shared from i join d using (token) group by 1, 2)"
+
+
+@query(f"select item_id, doc_id from (select item_id, {EXACT} as q from benchmark) join (select doc_id, {EXACT} as t from documents) on contains(t, q)")
+def q_exact_quote(spark, d):
+    return provenance.contained(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+@query(f"select item_id, doc_id from (select item_id, {LOOSE} as q from benchmark) join (select doc_id, {LOOSE} as t from documents) on contains(t, q)")
+def q_norm_quote(spark, d):
+    return provenance.contained(table(spark, d, "benchmark"), table(spark, d, "documents"), T.normal_loose)
+
+
+@query(f"with {SHARED} select item_id, doc_id, shared, n_tokens, round(shared / n_tokens::double, 6) as coverage from s join k using (item_id) qualify row_number() over (partition by item_id order by shared desc, doc_id) = 1")
+def q_token_coverage_top1(spark, d):
+    from pyspark.sql import Window
+
+    near = provenance.shared_tokens(table(spark, d, "benchmark"), table(spark, d, "documents"))
+    top = near.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("shared").desc(), "doc_id"))).filter("r = 1")
+    return top.select("item_id", "doc_id", "shared", "n_tokens", F.round(F.col("shared") / F.col("n_tokens"), 6).alias("coverage"))
+
+
+TAXONOMY = f"""with {SHARED}, best as (select item_id, doc_id as top_doc, shared / n_tokens::double as coverage from s join k using (item_id) qualify row_number() over (partition by item_id order by shared / n_tokens::double desc, doc_id) = 1),
+x as (select item_id, min(doc_id) as x_doc from (select item_id, {EXACT} as q from benchmark) join (select doc_id, {EXACT} as t from documents) on contains(t, q) group by 1),
+l as (select item_id, min(doc_id) as l_doc from (select item_id, {LOOSE} as q from benchmark) join (select doc_id, {LOOSE} as t from documents) on contains(t, q) group by 1),
+items as (select item_id, case when x_doc is not null then 'exact' when l_doc is not null then 'normalized' when coverage >= 0.92 then 'noncontiguous' when coverage >= 0.72 then 'pointer_drift' when coverage >= 0.45 then 'weak_overlap' else 'low_overlap' end as category, coalesce(coverage, 0) as coverage, coalesce(x_doc, l_doc, top_doc) as doc_id from benchmark left join best using (item_id) left join x using (item_id) left join l using (item_id))"""
+
+
+@query(f"{TAXONOMY}, c as (select category, count(*) as items, sum(count(*)) over () as total from items group by 1) select category, items, round(items / total::double, 6) as rate, {WILSON('items', 'total')[0]} as low, {WILSON('items', 'total')[1]} as high from c")
+def q_miss_taxonomy(spark, d):
+    return provenance.summarise(provenance.miss_taxonomy(table(spark, d, "benchmark"), table(spark, d, "documents")))
+
+
+@query(f"{TAXONOMY} select item_id, category, round(coverage, 6) as coverage, doc_id from items")
+def q_miss_items(spark, d):
+    return provenance.miss_taxonomy(table(spark, d, "benchmark"), table(spark, d, "documents")).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(f"with w as (select doc_id, source, quality = 1 as ok, len({WORDS}) as words from documents join labels using (doc_id)), c as (select case when words < 1000 then '<1000' when words < 2000 then '1000-1999' when words < 4000 then '2000-3999' else '4000+' end as bucket, source, bool_and(ok) as gate, count(*) as items, count(*) filter (ok) as passed from w group by 1, 2) select bucket, count(*) as cases, sum(items)::bigint as items, sum(passed)::bigint as passed, count(*) filter (gate) as gated_cases from c group by 1")
+def q_case_gate_buckets(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("source", (F.col("quality") == 1).alias("ok"), provenance.word_bucket(F.size(T.word_tokens(F.col("text")))).alias("bucket"))
+    return provenance.gate_rates(rows, "bucket", "source", "ok")
+
+
+@query(f"with g as (select lang, source, count(*) as n, count(*) filter (quality = 1) as good from documents join labels using (doc_id) group by rollup (lang, source)) select lang, source, n, good, {WILSON('good', 'n')[0]} as low, {WILSON('good', 'n')[1]} as high from g")
+def q_lang_source_rollup(spark, d):
+    g = table(spark, d, "documents").select("doc_id", "lang", "source").join(table(spark, d, "labels"), "doc_id").rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("good"))
+    low, high = T.wilson(F.col("good"), F.col("n"))
+    return g.select("lang", "source", "n", "good", F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
+
+
+@query(r"with l as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: regexp_replace(x, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')), lambda x: x <> '') as x from documents), u as (select doc_id, unnest(range(1, len(x) + 1)) as o, x from l) select doc_id, o::int as ordinal, 'L' || right('0000' || o, greatest(4, length(o::varchar))) as line_id, length(x[o])::int as chars from u")
+def q_line_index(spark, d):
+    return segment.line_index(table(spark, d, "documents")).select("doc_id", "ordinal", "line_id", F.length("text").alias("chars"))
+
+
+@query(r"select doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?;:\n]+[.!?;:]*'), lambda s: trim(s)), lambda s: s <> ''))::int as sentences from documents")
+def q_sentence_stats(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(segment.sentences(F.col("text"))).alias("sentences"))
+
+
+@query(f"with w as (select {WORDS} as w from documents), g as (select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as gram from w) select gram, count(*) as n from g group by 1 order by n desc, gram limit 50")
+def q_ngram_counts(spark, d):
+    return table(spark, d, "documents").select(F.explode(T.ngrams(T.word_tokens(F.col("text")), 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "gram").limit(50)
+
+
+@query("select doc_id, ceil(length(text) / 4.0)::bigint as tokens, len(regexp_extract_all(text, '[A-Za-z0-9_]+'))::int as words, len(regexp_extract_all(text, '[0-9]+'))::int as numbers, len(regexp_extract_all(text, chr(10)))::int as line_breaks, len(regexp_extract_all(text, '[A-Z]'))::int as upper, len(regexp_extract_all(text, '[.!?]'))::int as stops, len(regexp_extract_all(text, '[|]'))::int as bars, length(text) > 15000 as is_long, length(text) < 2500 as is_sparse from documents")
+def q_density_features(spark, d):
+    return segment.density(table(spark, d, "documents"))
+
+
+@query(r"with f as (select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+'))::int as note_words, len(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?\s*(?:mg|mcg|g|units?|ml|meq)'))::int as dose_mentions from documents) select *, case when note_words >= 1800 or dose_mentions >= 18 then 'two_stage_complex' else 'single_stage_standard' end as route from f")
+def q_complexity_route(spark, d):
+    return segment.complexity(table(spark, d, "documents"))
+
+
+CLUSTERED = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\[\*\*.*?\*\*\]', ' [deid] ', 'g'), '\d+(\.\d+)?', '#', 'g'), '[^a-z#]+', ' ', 'g'))"
+
+
+@query(f"select sha256({CLUSTERED}) as digest, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+def q_dup_exact(spark, d):
+    return cluster.exact_groups(table(spark, d, "documents"))
+
+
+BITS = " + ".join(f"(case when 2 * coalesce(sum((h >> {b}) & 1), 0) >= count(h) then {1 << b}::hugeint else 0 end)" for b in range(64))
+SIMHASH = f"""w as (select doc_id, list_filter(string_split({CLUSTERED}, ' '), lambda x: x <> '') as w from documents), k as (select doc_id, w, greatest(len(w) - 2, 0) as k from w),
+g as (select doc_id, unnest(case when k > 0 then range(1, k + 1, greatest(1, (greatest(1, k) // 1500))::bigint) else [null] end) as i, w from k), h as (select doc_id, case when i is not null then ('0x' || substr(sha256(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), 1, 16))::ubigint end as h from g),
+fp as (select doc_id, coalesce({BITS}, 0)::hugeint as u from h group by 1), p as (select doc_id, u from fp)"""
+
+
+@query(f"with {SIMHASH} select doc_id, (case when u >= 9223372036854775808 then u - 18446744073709551616 else u end)::bigint as fp from p")
+def q_simhash(spark, d):
+    return cluster.simhash(table(spark, d, "documents"))
+
+
+PAIRS = f"""with {SIMHASH}, b as (select doc_id, u::ubigint as u, unnest(range(8)) as band from p), v as (select *, (u >> (band * 8)::ubigint) & 255 as v from b), ok as (select band, v from v group by 1, 2 having count(*) between 2 and 200),
+pairs as (select distinct x.doc_id as a, y.doc_id as b, bit_count(xor(x.u, y.u))::int as distance from v x join ok using (band, v) join v y using (band, v) where x.doc_id < y.doc_id), near as (select * from pairs where distance <= 10)"""
+
+
+@query(f"{PAIRS} select * from near")
+def q_simhash_pairs(spark, d):
+    return cluster.hamming_pairs(cluster.simhash(table(spark, d, "documents")))
+
+
+@query(f"{PAIRS.replace('with w as', 'with recursive w as', 1)}, e as (select a, b from near union select b, a from near), r(id, root) as (select a, a from e union select e.b, r.root from r join e on e.a = r.id) select id as doc_id, min(root) as cluster_id from r group by 1")
+def q_dup_clusters(spark, d):
+    near = cluster.hamming_pairs(cluster.simhash(table(spark, d, "documents")))
+    return cluster.connected(near).select(F.col("id").alias("doc_id"), F.col("root").alias("cluster_id"))
+
+
+@query(f"with t as (select doc_id, unnest({TOKENS}) as token from documents), tf as (select doc_id, token, count(*) as tf from t group by 1, 2), n as (select count(*) as n from documents), df as (select token, count(*) as df from tf group by 1), w as (select doc_id, token, round((1 + ln(tf)) * (ln((1.0::double + n) / (1 + df)) + 1), 6) as weight from tf join df using (token), n where df >= 3 and df <= 0.85 * n) select doc_id, row_number() over (partition by doc_id order by weight desc, token)::int as rank, token, weight from w qualify rank <= 5")
+def q_tfidf_top(spark, d):
+    return cluster.tfidf_top(table(spark, d, "documents"))
+
+
+CRC = f"with {SCORED}, a as (select unnest([0.05, 0.1, 0.2])::double as alpha), c as (select 0.0::double as l union select distinct score from scored), r as (select l, (select count(*) from scored where score >= l and not ok) as loss, (select count(*) from scored) as n from c), t as (select alpha, coalesce(min(l) filter ((loss + 1.0::double) / (n + 1) <= alpha), 1 + 1e-9::double) as threshold from a, r group by 1)"
+
+
+@query(f"{CRC} select alpha, threshold from t")
+def q_crc_threshold(spark, d):
+    return conformal.crc_threshold(scored(spark, d), "score", F.col("ok"), ALPHAS)
+
+
+@query(f"{CRC} select alpha, count(*) as n, count(*) filter (score >= threshold) as accepted, round(count(*) filter (score >= threshold and not ok) / count(*)::double, 6) as risk, round(count(*) filter (score >= threshold) / count(*)::double, 6) as coverage, round(count(*) filter (score >= threshold and ok) / nullif(count(*) filter (ok), 0)::double, 6) as recall, round(count(*) filter (score >= threshold and not ok) / nullif(count(*) filter (score >= threshold), 0)::double, 6) as fdr from scored, t group by 1")
+def q_crc_eval(spark, d):
+    rows = scored(spark, d)
+    return conformal.crc_evaluate(rows, "score", F.col("ok"), conformal.crc_threshold(rows, "score", F.col("ok"), ALPHAS))
+
+
+PVALUES = f"with {SCORED}, m as (select doc_id, score, substr(sha256('split:' || doc_id), 1, 1) < '8' and not ok as is_null, substr(sha256('split:' || doc_id), 1, 1) >= '8' as is_test from scored), p as (select doc_id, score, (1.0::double + (select count(*) from m z where z.is_null and z.score >= m.score)) / ((select count(*) from m where is_null) + 1) as p from m where is_test)"
+
+
+def _tests(spark, d):
+    calibration = F.substring(F.sha2(F.concat(F.lit("split:"), F.col("doc_id").cast("string")), 256), 1, 1) < "8"
+    rows = scored(spark, d).withColumn("cal", calibration).filter(~(F.col("cal") & F.col("ok")))
+    return conformal.p_values(rows, "doc_id", "score", F.col("cal"))
+
+
+@query(f"{PVALUES} select doc_id, round(p, 9) as p from p")
+def q_conformal_pvalues(spark, d):
+    return _tests(spark, d).select("doc_id", F.round("p", 9).alias("p"))
+
+
+@query(f"{PVALUES}, k as (select *, row_number() over (order by p) as k, count(*) over () as m from p), c as (select max(p) as cut from k where p <= 0.9 * k / m) select doc_id, coalesce(p <= cut, false) as selected from p, c")
+def q_bh_select(spark, d):
+    return conformal.benjamini_hochberg(_tests(spark, d), "doc_id", 0.9).select("doc_id", "selected")
+
+
+@query(f"with {SCORED}, k as (select lang, score, row_number() over (partition by lang order by score) as k, count(*) over (partition by lang) as n from scored) select lang, max(n) as n, coalesce(max(score) filter (k = ceil((n + 1) * 0.9::double - 1e-9)), 'infinity'::double) as q from k group by 1")
+def q_mondrian_quantiles(spark, d):
+    return conformal.quantiles(scored(spark, d), "score", 0.1, ["lang"])
+
+
+@query(f"with {SCORED}, g as (select unnest([lang, source, case when n_chars > 15000 then 'long' when n_chars < 2500 then 'sparse' else 'middle' end]) as grp, score from scored), k as (select grp, score, row_number() over (partition by grp order by score) as k, count(*) over (partition by grp) as n from g) select grp, max(n) as n, coalesce(max(score) filter (k = ceil((n + 1) * 0.9::double - 1e-9)), 'infinity'::double) as q from k group by 1 having max(n) >= 20")
+def q_group_conformal(spark, d):
+    size = F.when(F.col("n_chars") > 15000, "long").when(F.col("n_chars") < 2500, "sparse").otherwise("middle")
+    return conformal.quantiles(scored(spark, d).select(F.explode(F.array("lang", "source", size)).alias("grp"), "score"), "score", 0.1, ["grp"]).filter("n >= 20")
+
+
+@query(f"with {SCORED}, r as (select ok, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0::double as r from scored) select count(*) filter (ok) as positives, count(*) filter (not ok) as negatives, round((sum(r) filter (ok) - count(*) filter (ok) * (count(*) filter (ok) + 1) / 2.0::double) / (count(*) filter (ok) * count(*) filter (not ok)), 6) as auc from r")
+def q_auc(spark, d):
+    return stats.auc(scored(spark, d), "score", F.col("ok"))
+
+
+@query(f"with {SCORED}, f as (select ok, unnest([{{'feature': 'english', 'x': lang = 'en'}}, {{'feature': 'long', 'x': n_chars > 15000}}, {{'feature': 'sparse', 'x': n_chars < 2500}}, {{'feature': 'toxic', 'x': tox}}], recursive := true) from scored), t as (select feature, count(*) filter (x and ok) as n11, count(*) filter (x and not ok) as n10, count(*) filter (not x and ok) as n01, count(*) filter (not x and not ok) as n00 from f group by 1) select *, round((n11::double * n00 - n10::double * n01) / nullif(sqrt((n11 + n10)::double * (n01 + n00) * (n11 + n01) * (n10 + n00)), 0), 6) as phi, round(n11 / nullif(n11 + n10, 0)::double - n01 / nullif(n01 + n00, 0)::double, 6) as risk_difference, round((n11 + 0.5::double) * (n00 + 0.5) / ((n10 + 0.5::double) * (n01 + 0.5)), 6) as odds_ratio from t")
+def q_feature_association(spark, d):
+    return stats.association(scored(spark, d), {"english": F.col("lang") == "en", "long": F.col("n_chars") > 15000, "sparse": F.col("n_chars") < 2500, "toxic": F.col("tox")}, F.col("ok"))
+
+
+@query(f"with {SCORED}, c as (select score, sum(count(*)) over w as n, sum(count(*) filter (not ok)) over w as bad from scored group by score window w as (order by score)) select max(score) filter (bad <= 0.15 * n) as threshold, max(n) filter (bad <= 0.15 * n)::bigint as accepted from c")
+def q_risk_threshold(spark, d):
+    return conformal.risk_threshold(scored(spark, d), "score", ~F.col("ok"), 0.15)
+
+
+@query(f"with {SCORED}, p as (select ok, unnest([{{'policy': '0 all', 'x': true}}, {{'policy': '1 not toxic', 'x': not tox}}, {{'policy': '2 and not sparse', 'x': not tox and n_chars >= 500}}, {{'policy': '3 and english', 'x': not tox and n_chars >= 500 and lang = 'en'}}], recursive := true) from scored) select policy, count(*) as n, count(*) filter (x) as accepted, count(*) filter (x and not ok) as unsafe_accepted, round(count(*) filter (x and not ok) / nullif(count(*) filter (x), 0)::double, 6) as risk from p group by 1")
+def q_policy_ablation(spark, d):
+    own = ~F.col("tox")
+    rules = {"0 all": F.lit(True), "1 not toxic": own, "2 and not sparse": own & (F.col("n_chars") >= 500), "3 and english": own & (F.col("n_chars") >= 500) & (F.col("lang") == "en")}
+    p = scored(spark, d).select("ok", F.explode(F.array(*(F.struct(F.lit(k).alias("policy"), v.alias("x")) for k, v in rules.items()))).alias("p")).select("ok", "p.*")
+    return p.groupBy("policy").agg(F.count(F.lit(1)).alias("n"), F.count_if("x").alias("accepted"), F.count_if(F.col("x") & ~F.col("ok")).alias("unsafe_accepted")).withColumn("risk", F.round(T.ratio(F.col("unsafe_accepted"), F.col("accepted")), 6))
+
+
+RATERS = "with r as (select quality as gold, case when contains(text, '!!') or contains(text, '|') or contains(text, '###') then 0 else 1 end as predicted from documents join labels using (doc_id))"
+
+
+def _raters(spark, d):
+    rule = F.when(F.col("text").contains("!!") | F.col("text").contains("|") | F.col("text").contains("###"), 0).otherwise(1)
+    return table(spark, d, "documents").select("doc_id", rule.alias("predicted")).join(table(spark, d, "labels"), "doc_id").select(F.col("quality").alias("gold"), "predicted")
+
+
+@query(f"{RATERS} select gold, predicted, count(*) as n from r group by 1, 2")
+def q_confusion(spark, d):
+    return stats.confusion(_raters(spark, d), F.col("gold"), F.col("predicted"))
+
+
+@query(f"{RATERS}, l as (select unnest([0, 1]) as label), t as (select label, (select count(*) from r where gold = label and predicted = label) as tp, (select count(*) from r where gold = label) as gold_n, (select count(*) from r where predicted = label) as pred_n from l) select *, round(coalesce(tp / nullif(pred_n, 0)::double, 0), 6) as precision, round(coalesce(tp / nullif(gold_n, 0)::double, 0), 6) as recall, round(coalesce(2 * tp / nullif(pred_n + gold_n, 0)::double, 0), 6) as f1 from t")
+def q_class_scores(spark, d):
+    return stats.class_scores(stats.confusion(_raters(spark, d), F.col("gold"), F.col("predicted")))
+
+
+@query(f"{RATERS}, t as (select count(*) as n, count(*) filter (gold = 1 and predicted = 1) as n_both, count(*) filter (gold = 1 and predicted = 0) as first, count(*) filter (gold = 0 and predicted = 1) as second, count(*) filter (gold = 0 and predicted = 0) as neither from r), p as (select *, (n_both + neither) / n::double as ra, ((n_both + first) / n::double + (n_both + second) / n::double) / 2 as pi from t) select n, n_both, first, second, neither, round(ra, 6) as raw, round(2 * n_both / nullif(2 * n_both + first + second, 0)::double, 6) as positive, round(2 * neither / nullif(2 * neither + first + second, 0)::double, 6) as negative, round((ra - 2 * pi * (1 - pi)) / (1 - 2 * pi * (1 - pi)), 6) as ac1 from p")
+def q_agreement_ac1(spark, d):
+    return stats.agreement(_raters(spark, d), F.col("gold") == 1, F.col("predicted") == 1)
+
+
+@query("with w as (select user_id, avg(value) filter (event_type = 'view') as a, avg(value) filter (event_type = 'click') as b from events where event_type in ('view', 'click') group by 1) select count(*) as cases, round(avg(b - a), 4) as mean_delta, round(avg(b - a) - 1.96 * stddev_samp(b - a) / sqrt(count(*)), 4) as low, round(avg(b - a) + 1.96 * stddev_samp(b - a) / sqrt(count(*)), 4) as high from w where a is not null and b is not null")
+def q_paired_contrast(spark, d):
+    return stats.paired(table(spark, d, "events"), "user_id", "event_type", "value", "view", "click")
+
+
+@query(f"with t as (select event_type, count(*) as n, count(*) filter (value > 150) as failed, avg(value) as m from events group by 1) select event_type, n, failed, round((n - failed) / n::double, 6) as completion, {WILSON('(n - failed)', 'n')[0]} as low, {WILSON('(n - failed)', 'n')[1]} as high, round(m, 4) as mean_value from t")
+def q_runlog_summary(spark, d):
+    return runlog.summary(table(spark, d, "events"), "event_type", "value", F.col("value") > 150)
+
+
+@query("with k as (select event_type, value, row_number() over (partition by event_type order by value) as k, count(*) over (partition by event_type) as n from events) select event_type, max(value) filter (k = ceil(n * 0.5::double)) as p50, max(value) filter (k = ceil(n * 0.9::double)) as p90 from k group by 1")
+def q_runlog_percentiles(spark, d):
+    return runlog.percentiles(table(spark, d, "events"), "event_type", "value")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, round(l_quantity * p_retailprice / 1e6, 9) as cost from lineitem left join part on l_partkey = p_partkey")
+def q_cost_snapshot(spark, d):
+    prices = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    rows = runlog.cost(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), prices, "l_partkey", F.col("l_quantity"), "p_retailprice")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round("cost", 9).alias("cost"))
+
+
+@query("with o as (select * from events where event_type in ('view', 'click')), s as (select user_id, least(count(*) filter (event_type = 'view'), count(*) filter (event_type = 'click')) as k from o group by 1), t as (select event_id, user_id, event_type, row_number() over (partition by user_id, event_type order by event_id) as turn from o) select event_id, user_id, event_type, turn::int as turn from t join s using (user_id) where turn <= k")
+def q_matched_volume(spark, d):
+    return runlog.matched_volume(table(spark, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_type", "event_id", "view", "click")
+
+
+@query("with t as (select user_id, value <= 150 as ok, row_number() over (partition by user_id order by event_id) as turn from events), z as (select unnest([5, 10, 20, 30]) as size), c as (select user_id, size, count(*) as n, bool_and(ok) as gate from t join z on turn <= size group by 1, 2 having count(*) = size) select size, count(*) as cases, count(*) filter (gate) as passed from c group by 1")
+def q_prefix_gate(spark, d):
+    return runlog.prefixes(table(spark, d, "events"), "user_id", "event_id", F.col("value") <= 150, [5, 10, 20, 30])
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+def q_incomplete_pairs(spark, d):
+    return runlog.missing(table(spark, d, "customer"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+
+
+@query("with a as (select l_partkey, max(l_quantity) as before from lineitem where l_returnflag = 'A' group by 1), b as (select l_partkey, max(l_quantity) as after from lineitem where l_returnflag = 'R' group by 1) select l_partkey, case when before is null then 'started' when after is null then 'stopped' when before = after then 'continued' else 'changed' end as state from a full join b using (l_partkey)")
+def q_set_diff(spark, d):
+    side = lambda flag, name: table(spark, d, "lineitem").filter(F.col("l_returnflag") == flag).groupBy("l_partkey").agg(F.max("l_quantity").alias(name))
+    both = side("A", "before").join(side("R", "after"), "l_partkey", "full")
+    return both.select("l_partkey", F.when(F.col("before").isNull(), "started").when(F.col("after").isNull(), "stopped").when(F.col("before") == F.col("after"), "continued").otherwise("changed").alias("state"))
+
+
+@query("with o as (select doc_id, source, sha256('cohort:' || doc_id) as h from documents where source not in (select source from documents join labels using (doc_id) group by source having avg(toxic) > 0.2)) select doc_id, source from (select *, row_number() over (partition by source order by h, doc_id) as r from o) where r = 1 order by h, doc_id limit 10")
+def q_hash_cohort(spark, d):
+    bad = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.avg("toxic").alias("t")).filter("t > 0.2").select("source")
+    return sample.hash_cohort(table(spark, d, "documents").select("doc_id", "source"), "doc_id", "source", bad, "cohort", 10)
+
+
+@query("select doc_id, lang, turn::int as turn from (select doc_id, lang, row_number() over (partition by lang order by doc_id) as turn from documents) order by turn, lang limit 40")
+def q_round_robin(spark, d):
+    return sample.round_robin(table(spark, d, "documents"), "doc_id", "lang", 40)
+
+
+@query("with o as (select doc_id, row_number() over (order by doc_id) - 1 as position, count(*) over () as n from documents) select position, doc_id from o where position in (select floor(i * (select max(n) from o) / 25.0)::bigint from range(25) t(i))")
+def q_even_sample(spark, d):
+    return sample.even_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 25)
+
+
+def _rouge_sql(n: int) -> str:
+    gram = "w[i]" if n == 1 else "w[i] || ' ' || w[i + 1]"
+    side = lambda c, name: f"(select conv_id, g, count(*) as {name} from (select conv_id, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: {gram})) as g from (select conv_id, {WORDS.replace('text', c)} as w from notes)) group by 1, 2)"
+    return f"with {NOTES}, b as (select conv_id, coalesce(r, 0) as r, coalesce(c, 0) as c from {side('source', 'r')} full join {side('note', 'c')} using (conv_id, g)), t as (select conv_id, coalesce(sum(least(r, c)), 0)::bigint as overlap, coalesce(sum(r), 0)::bigint as n_reference, coalesce(sum(c), 0)::bigint as n_candidate from notes left join b using (conv_id) group by 1), p as (select *, coalesce(overlap / nullif(n_candidate, 0)::double, 0) as p, coalesce(overlap / nullif(n_reference, 0)::double, 0) as q from t) select conv_id, overlap, n_reference, n_candidate, round(p, 6) as precision, round(q, 6) as recall, round(case when p + q > 0 then 2 * p * q / (p + q) else 0 end, 6) as f1 from p"
+
+
+@query(_rouge_sql(1))
+def q_rouge1(spark, d):
+    return rouge.rouge_n(notes(spark, d), "conv_id", "source", "note", 1)
+
+
+@query(_rouge_sql(2))
+def q_rouge2(spark, d):
+    return rouge.rouge_n(notes(spark, d), "conv_id", "source", "note", 2)
+
+
+@query()
+def q_rouge_l(spark, d):
+    return rouge.rouge_l(notes(spark, d), "conv_id", "source", "note")
+
+
+@query(f"with {NOTES}, w as (select conv_id, {WORDS.replace('text', 'source')} as s, {WORDS.replace('text', 'note')} as t from notes), g as (select *, list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1]) as s2, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) as t2 from w) select conv_id, len(t)::int as tokens, round(case when len(t) > 0 then len(list_filter(t, lambda x: list_contains(s, x))) / len(t)::double else 0 end, 6) as token_support, round(case when len(t2) > 0 then len(list_filter(t2, lambda x: list_contains(s2, x))) / len(t2)::double else 0 end, 6) as bigram_support from g")
+def q_source_support(spark, d):
+    return rouge.source_support(notes(spark, d), "conv_id", "source", "note")
+
+
+@query(f"with {NOTES}, w as (select conv_id, {WORDS.replace('text', 'source')} as s, least(len({WORDS.replace('text', 'note')}), len({WORDS.replace('text', 'source')})) as k from notes) select conv_id, array_to_string(s[1:k], ' ') as lead, array_to_string(s[len(s) - k + 1:len(s)], ' ') as tail from w")
+def q_lead_tail_baseline(spark, d):
+    return rouge.lead_tail(notes(spark, d), "conv_id", "source", "note")
+
+
+@query(r"select page_id, p::int as ordinal, trim(regexp_replace(x[p], '<[^>]*>', '', 'g'), ' ') as text from (select page_id, x, unnest(range(1, len(x) + 1)) as p from (select page_id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) as x from pages))")
+def q_html_sentences(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))).alias("p", "x"))
+    return rows.select("page_id", (F.col("p") + 1).alias("ordinal"), F.trim(F.regexp_replace("x", "<[^>]*>", "")).alias("text"))
+
+
+@query("with c as (select o_orderpriority as cell, l_discount as v, l_quantity as w from orders join lineitem on o_orderkey = l_orderkey) select cell, count(*) as n, round(sum(v * w) / sum(w), 6) as weighted_mean from c group by rollup (cell)")
+def q_weighted_rollup(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("cell")).join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_discount", "l_quantity"), "o_orderkey")
+    return rows.rollup("cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity"), 6).alias("weighted_mean"))
