@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Largest number of text bytes worked on at once (a longer single text is taken whole).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C55 | 1

@@ -140,8 +140,19 @@ def train(x: np.ndarray, y: np.ndarray, at: np.ndarray, *, steps: int = 80, l2:
 
 def fit(data: np.ndarray, at: np.ndarray, label: np.ndarray, *, rounds: int = 2) -> Field:
     """Fit on whole texts with their labels. No rows give a field that finds everything good."""
-    line_at, doc_at = lines(data, at)
-    x = features(data, line_at, doc_at)
+    parts, line_sizes, line_counts = [], [], []
+    i = 0
+    while i < len(at) - 1:  # a part of the texts at a time; only the features are held for all
+        j = max(i + 1, int(np.searchsorted(at, at[i] + T.CHUNK_BYTES, "right")) - 1)
+        own = data[at[i] : at[j]]
+        part_at, counts = lines(own, at[i : j + 1] - at[i])
+        if len(part_at) > 1:
+            parts.append(features(own, part_at, counts))
+        line_sizes.append(np.diff(part_at))
+        line_counts.append(np.diff(counts))
+        i = j
+    x = np.concatenate(parts) if parts else np.zeros((0, 0), np.float32)
+    line_at, doc_at = (np.concatenate([[0], *(np.cumsum(np.concatenate(y))[None] if y else [])], axis=None) for y in (line_sizes, line_counts))
     if not len(x):
         return Field(np.zeros(1), np.zeros((2, 2)), (0.0, 3.0))
     doc_of = np.repeat(np.arange(len(at) - 1), np.diff(doc_at))
