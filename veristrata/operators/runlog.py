@@ -47,3 +47,29 @@ def missing(expected: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def cost(usage: DataFrame, prices: DataFrame, key: str, units: Column, price: str) -> DataFrame:
     """Priced and unpriced usage."""
     return usage.join(prices.select(key, price), key, "left").select("*", (units * F.col(price) / 1e6).alias("cost"))
+
+
+def spread(rows: DataFrame, arm: str, count: Column, last: int = 4) -> DataFrame:
+    """Rows of each arm by their count, `last` and more together, with their share of the arm."""
+    by = rows.groupBy(arm, F.when(count >= last, f"{last}+").otherwise(count.cast("string")).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    return by.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(arm)), 6))
+
+
+def classify(message: Column, classes: dict[str, str]) -> Column:
+    """The first class one of whose substrings (separated by |) stands in the lower-cased message; other, or none for no message."""
+    out = F.when(message.isNull() | (message == ""), "none")
+    for name, parts in classes.items():
+        hit = F.lit(False)
+        for part in parts.split("|"):
+            hit = hit | F.lower(message).contains(part)
+        out = out.when(hit, name)
+    return out.otherwise("other")
+
+
+def allocate(rows: DataFrame, issues: dict[str, Column], routes: list[tuple[str, list[str]]], otherwise: str) -> DataFrame:
+    """All columns with `issues`, the names whose rule holds, and `route`, the first one that any of its issues calls for."""
+    found = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in issues.items())))
+    route = F.lit(otherwise)
+    for name, names in reversed(routes):
+        route = F.when(F.arrays_overlap("issues", F.array(*(F.lit(n) for n in names))), name).otherwise(route)
+    return rows.withColumn("issues", found).withColumn("route", route)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def lines(x: Column) -> Column:
+    """Trimmed non-blank lines in order."""
+    return F.filter(F.transform(F.split(x, r"\r?\n"), lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "")
+
+
 def line_index(docs: DataFrame) -> DataFrame:
     """(doc_id, ordinal, line_id, text): trimmed non-blank lines, numbered from 1 in order inside the document; no shuffle."""
-    lines = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    rows = docs.select("doc_id", F.posexplode(lines).alias("p", "text"))
+    rows = docs.select("doc_id", F.posexplode(lines(F.col("text"))).alias("p", "text"))
     return rows.select("doc_id", (F.col("p") + 1).alias("ordinal"), F.concat(F.lit("L"), F.lpad((F.col("p") + 1).cast("string"), 4, "0")).alias("line_id"), "text")
 
 
@@ -30,3 +34,79 @@ def complexity(docs: DataFrame, words: int = 1800, doses: int = 18) -> DataFrame
     """Route of each document: two stages for long or dose-rich ones."""
     n, d = F.regexp_count("text", F.lit("[A-Za-z0-9_]+")), F.regexp_count("text", F.lit(r"[0-9]+(?:\.[0-9]+)?\s*(?:mg|mcg|g|units?|ml|meq)"))
     return docs.select("doc_id", n.alias("note_words"), d.alias("dose_mentions"), F.when((n >= words) | (d >= doses), "two_stage_complex").otherwise("single_stage_standard").alias("route"))
+
+
+# Line patterns that announce a domain (matched on lower case).
+SIGNALS = {
+    "medication_changes": r"discharge medications?|medications? on discharge|medications?\s*:",
+    "diagnosis_changes": r"discharge diagnos[ei]s|final diagnos[ei]s|principal diagnos[ei]s",
+    "procedures_and_tests": r"major surgical or invasive procedure|procedures?|operations?|ct|mri|x-?ray|echocardiogram|ultrasound",
+    "labs": r"pertinent results?|laborator(?:y|ies)|wbc|hemoglobin|hgb|creatinine|sodium|potassium",
+    "follow_up_actions": r"follow\s*-?\s*up|discharge instructions?|appointments?",
+}
+
+
+def has_word(x: Column, pattern: str) -> Column:
+    """Whether lower-cased x has the pattern between characters that aren't ASCII word characters."""
+    return F.lower(x).rlike(f"(^|[^a-z0-9_])(?:{pattern})([^a-z0-9_]|$)")
+
+
+def signals(docs: DataFrame, domains: dict[str, str] = SIGNALS) -> DataFrame:
+    """(doc_id, domain, matches, first_line) for each domain that a document's lines announce."""
+    rows = line_index(docs)
+    found = F.array_compact(F.array(*(F.when(has_word(F.col("text"), p), F.lit(d)) for d, p in domains.items())))
+    return rows.select("doc_id", "ordinal", F.explode(found).alias("domain")).groupBy("doc_id", "domain").agg(F.count(F.lit(1)).alias("matches"), F.min("ordinal").alias("first_line"))
+
+
+def uncovered_signals(found: DataFrame, items: DataFrame) -> DataFrame:
+    """Announced domains of a document for which items(doc_id, domain) has no row."""
+    return found.join(items.select("doc_id", "domain"), ["doc_id", "domain"], "left_anti")
+
+
+def sections(docs: DataFrame, lexicon: dict[str, str]) -> DataFrame:
+    """line_index with the section each line stands in: the last line at or above it that the lexicon names, first match first, else unknown."""
+    from pyspark.sql import Window
+
+    named = F.coalesce(*(F.when(has_word(F.col("text"), p), F.lit(name)) for name, p in lexicon.items()))
+    above = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return line_index(docs).withColumn("section", F.coalesce(F.last(named, ignorenulls=True).over(above), F.lit("unknown")))
+
+
+def pointed(pointers: DataFrame, docs: DataFrame, most: int = 12) -> DataFrame:
+    """pointers(doc_id, first, last) with `status` and the `quote` of those lines (ordinals from 1, both inside).
+
+    A reversed pointer is turned round. An ordinal that the document doesn't have is unknown_line, more than `most` lines are
+    too_long, a document that isn't there is unknown_document; these have no quote. Lines are sliced from the row's own array, so the
+    only shuffle is the join on doc_id.
+    """
+    rows = pointers.join(docs.select("doc_id", lines(F.coalesce("text", F.lit(""))).alias("__lines")), "doc_id", "left")
+    low, high, n = F.least("first", "last"), F.greatest("first", "last"), F.size("__lines")
+    status = (
+        F.when(F.col("__lines").isNull(), "unknown_document").when(F.col("first").isNull() | F.col("last").isNull() | (low < 1) | (high > n), "unknown_line")
+        .when(high - low + 1 > most, "too_long").when(F.col("first") > F.col("last"), "reversed").otherwise("as_given")
+    )
+    rows = rows.withColumn("status", status)
+    return rows.withColumn("quote", F.when(F.col("status").isin("reversed", "as_given"), F.array_join(F.slice("__lines", low.cast("int"), (high - low + 1).cast("int")), "\n"))).drop("__lines")
+
+
+# What items that point at spans may say.
+ASSERTIONS = ["present", "absent", "uncertain", "conditional", "historical"]
+SUPPORT = ["supported", "insufficient_evidence", "not_found"]
+
+
+def span_errors(ids: Column, known: Column, support: Column, assertion: Column, most: int = 3) -> Column:
+    """Error codes of an item that points at spans: an array, empty for a valid item. A null `ids` isn't an array of spans."""
+    unknown = F.transform(F.filter(ids, lambda s: ~F.array_contains(known, s)), lambda s: F.concat(F.lit("unknown_span_id:"), s))
+    codes = [
+        F.when(~F.coalesce(support.isin(SUPPORT), F.lit(False)), "invalid_support_status"),
+        F.when(~F.coalesce(assertion.isin(ASSERTIONS), F.lit(False)), "invalid_assertion"),
+        F.when(ids.isNull(), "span_ids_not_array"),
+        F.when((F.size(ids) == 0) & (support == "supported"), "empty_supported_span_ids"),
+        F.when(F.size(ids) > most, "too_many_span_ids"),
+    ]
+    return F.concat(F.array_compact(F.array(*codes)), F.coalesce(unknown, F.array().cast("array<string>")))
+
+
+def span_policy(errors: Column, retries: Column, most: int = 2) -> Column:
+    """What follows from an item's errors: accept, retry, or exhausted (the item then points at nothing and is not found)."""
+    return F.when(F.size(errors) == 0, "accept").when(retries < most, "retry").otherwise("exhausted")

@@ -71,3 +71,50 @@ def paired(rows: DataFrame, case: str, arm: str, value: str, first: str, second:
     t = wide.agg(F.count(F.lit(1)).alias("cases"), F.avg(F.col("b") - F.col("a")).alias("m"), F.stddev_samp(F.col("b") - F.col("a")).alias("s"))
     half = 1.96 * F.col("s") / F.sqrt("cases")
     return t.select("cases", F.round("m", 4).alias("mean_delta"), F.round(F.col("m") - half, 4).alias("low"), F.round(F.col("m") + half, 4).alias("high"))
+
+
+def diagnostic(rows: DataFrame, truth: Column, flag: Column, least_unsafe: int = 20, least_sensitivity: float = 0.9) -> DataFrame:
+    """A judge's flags against the truth: the four counts, sensitivity, specificity, predictive values and whether they pass the gate."""
+    t = rows.agg(F.count_if(truth & flag).alias("tp"), F.count_if(~truth & flag).alias("fp"), F.count_if(truth & ~flag).alias("fn"), F.count_if(~truth & ~flag).alias("tn"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    six = lambda a, b: F.round(T.ratio(a, b), 6)
+    gate = (tp + fn >= least_unsafe) & F.coalesce(T.ratio(tp, tp + fn) >= least_sensitivity, F.lit(False))
+    return t.select("tp", "fp", "fn", "tn", six(tp, tp + fn).alias("sensitivity"), six(tn, tn + fp).alias("specificity"), six(tp, tp + fp).alias("ppv"), six(tn, tn + fn).alias("npv"), gate.alias("released"))
+
+
+def mcnemar(rows: DataFrame, a: Column, b: Column) -> DataFrame:
+    """Pairs on which two raters differ, the risk difference with its interval, and the exact two-sided p of a fair coin.
+
+    The tail is summed over a sequence as long as the smaller discordant count, on one row.
+    """
+    t = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(a & ~b).alias("only_first"), F.count_if(~a & b).alias("only_second"))
+    n, x, y = F.col("n"), F.col("only_first"), F.col("only_second")
+    m, k = x + y, F.least(x, y)
+    # log C(m, i) grows by log((m - i + 1) / i); (sum of terms, log of the last one)
+    start = F.struct(F.exp(-m * F.log(F.lit(2.0))).alias("s"), (-m * F.log(F.lit(2.0))).alias("l"))
+    step = lambda acc, i: F.struct((acc["s"] + F.exp(acc["l"] + F.log((m - i + 1) / i))).alias("s"), (acc["l"] + F.log((m - i + 1) / i)).alias("l"))
+    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), start, step)["s"]
+    d = T.ratio(x - y, n)
+    half = 1.96 * F.sqrt(m - (x - y) * (x - y) / n) / n
+    return t.select("n", "only_first", "only_second", F.round(d, 6).alias("difference"), F.round(d - half, 6).alias("low"), F.round(d + half, 6).alias("high"), F.round(F.least(F.lit(1.0), 2 * tail), 6).alias("p"))
+
+
+def together(rows: DataFrame, features: dict[str, Column], failures: dict[str, Column]) -> DataFrame:
+    """How often each feature and failure occur in the same row; pairs that never do have no row."""
+    named = lambda cs: F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in cs.items()))))
+    own = rows.select(*(c.alias(f"f{i}") for i, c in enumerate(features.values())), *(c.alias(f"g{i}") for i, c in enumerate(failures.values())))
+    own = own.withColumn("feature", named({k: F.col(f"f{i}") for i, k in enumerate(features)}))
+    return own.withColumn("failure", named({k: F.col(f"g{i}") for i, k in enumerate(failures)})).groupBy("feature", "failure").agg(F.count(F.lit(1)).alias("n"))
+
+
+def capped_risk(counts: dict[str, tuple[Column, float, float]]) -> Column:
+    """Sum over signals of weight * count, no more than each one's cap; counts maps a name to (count, weight, cap)."""
+    return sum((F.least(F.lit(float(cap)), F.coalesce(n, F.lit(0)) * float(w)) for n, w, cap in counts.values()), F.lit(0.0))
+
+
+def selective(rows: DataFrame, accepted: Column, bad: Column) -> DataFrame:
+    """Yield, risk among accepted, false acceptance, sensitivity of holding back, and safe acceptance."""
+    t = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(accepted).alias("accepted"), F.count_if(accepted & bad).alias("unsafe"), F.count_if(bad).alias("bad"))
+    six = lambda a, b: F.round(T.ratio(a, b), 6)
+    n, k, u, b = (F.col(c) for c in ("n", "accepted", "unsafe", "bad"))
+    return t.select("n", "accepted", "unsafe", "bad", six(k, n).alias("yield"), six(u, k).alias("selective_risk"), six(u, b).alias("false_acceptance"), six(b - u, b).alias("sensitivity"), six(k - u, n - b).alias("safe_acceptance"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veristrata.functions import text as T
-from veristrata.operators import cluster, conformal, provenance, rouge, runlog, sample, segment, stats
+from veristrata.operators import assertion, cluster, conformal, gates, matching, provenance, retrieval, rouge, runlog, sample, segment, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -354,3 +354,156 @@ def q_html_sentences(spark, d):
 def q_weighted_rollup(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("cell")).join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_discount", "l_quantity"), "o_orderkey")
     return rows.rollup("cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity"), 6).alias("weighted_mean"))
+
+
+# Claims: each benchmark passage in the documents that hold it; its first four words stand in for a label.
+def _claims(spark, d):
+    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    pairs = provenance.contained(items, docs).join(items, "item_id")
+    return pairs.select("item_id", "doc_id", F.col("text").alias("quote"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("label")), docs
+
+
+_in = lambda sql, column: sql.replace("text", column)
+LINES = r"list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: regexp_replace(x, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')), lambda x: x <> '')"
+_HAS = lambda a, b: f"(case when len(list_distinct({a})) > 0 then len(list_intersect(list_distinct({a}), {b})) / len(list_distinct({a}))::double else 0 end)"
+RANKED = f"""c as (select item_id, doc_id, d.text as source, i.text as quote, array_to_string(string_split(i.text, ' ')[1:4], ' ') as label from (select *, {EXACT} as e from benchmark) i join (select *, {EXACT} as e from documents) d on contains(d.e, i.e)),
+ln as (select *, {_in(LINES, 'source')} as x from c), u as (select item_id, doc_id, quote, label, unnest(range(1, len(x) + 1)) as ordinal, x from ln),
+tk as (select *, x[ordinal] as line, {_in(TOKENS, 'quote')} as q, {_in(TOKENS, 'label')} as l, {_in(TOKENS, 'x[ordinal]')} as t from u),
+sc as (select *, {_HAS('q', 't')} as qc, {_HAS('l', 't')} as lc, contains({_in(LOOSE, 'line')}, {_in(LOOSE, 'quote')}) as ex, contains({_in(LOOSE, 'line')}, {_in(LOOSE, 'label')}) as nm from tk),
+ranked as (select *, greatest(qc, 0.95::double * lc, ex::int::double, nm::int * 0.92::double) as score, len({_in(WORDS, 'line')}) as words, row_number() over (partition by item_id, doc_id order by greatest(qc, 0.95::double * lc, ex::int::double, nm::int * 0.92::double) desc, ex desc, qc desc, lc desc, ordinal) as rank from sc)"""
+
+
+@query(f"with {RANKED} select item_id, doc_id, rank::int as rank, ordinal::int as ordinal, round(score, 6) as score, round(qc, 6) as quote_coverage from ranked where rank <= 3")
+def q_ranked_lines(spark, d):
+    ranked = retrieval.ranked_lines(*_claims(spark, d)).filter("rank <= 3")
+    return ranked.select("item_id", "doc_id", "rank", "ordinal", F.round("score", 6).alias("score"), F.round("quote_coverage", 6).alias("quote_coverage"))
+
+
+@query(f"with {RANKED}, b as (select unnest([1, 2, 4, 8])::int as budget), g as (select budget, item_id, doc_id, {_HAS('any_value(q)', 'flatten(list(t))')} as c, sum(words) as w from ranked join b on rank <= budget group by 1, 2, 3) select budget, count(*) as claims, count(*) filter (c >= 0.72) as supported, round(avg(c), 6) as mean_coverage, round(avg(w), 6) as mean_words from g group by 1")
+def q_budget_curve(spark, d):
+    return retrieval.budget_curve(retrieval.ranked_lines(*_claims(spark, d)), [1, 2, 4, 8])
+
+
+@query()
+def q_minimal_selector(spark, d):
+    return retrieval.select_minimal(retrieval.ranked_lines(*_claims(spark, d)))
+
+
+@query(f"with w as (select quality = 1 as ok, len({WORDS}) as words, len(regexp_extract_all(text, '[0-9]+')) as items from documents join labels using (doc_id)), g as (select case when words < 1500 then 'short' else 'long' end as length, case when items * 1000.0::double / greatest(words, 1) >= 16 then 'high' else 'low' end as density, count(*) as n, count(*) filter (ok) as passed from w group by 1, 2) select length, density, n, passed, {WILSON('passed', 'n')[0]} as low, {WILSON('passed', 'n')[1]} as high from g")
+def q_length_density(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select((F.col("quality") == 1).alias("ok"), F.size(T.word_tokens(F.col("text"))).alias("words"), F.regexp_count("text", F.lit("[0-9]+")).alias("items"))
+    return retrieval.length_density(rows, F.col("words"), F.col("items"), F.col("ok"))
+
+
+_word = lambda x, p: f"regexp_matches(lower({x}), '(^|[^a-z0-9_])(?:{p})([^a-z0-9_]|$)')"
+SENTENCES = r"s as (select doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?;:\n]+[.!?;:]*'), lambda s: trim(s)), lambda s: s <> '')) as s from documents)"
+BARE = f"regexp_replace(regexp_replace(' ' || lower(s) || ' ', '([^a-z0-9_])(?:{assertion.PSEUDO})([^a-z0-9_])', '\\1 \\2', 'g'), '([^a-z0-9_])(?:{assertion.PSEUDO})([^a-z0-9_])', '\\1 \\2', 'g')"
+
+
+@query(f"with {SENTENCES}, a as (select doc_id, case when {_word(BARE, assertion.SPECULATION)} then 'possible' when {_word(BARE, assertion.NEGATION)} then 'absent' else 'present' end as status from s) select status, count(*) as sentences, count(distinct doc_id) as docs from a group by 1")
+def q_assertion_sentences(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.explode(segment.sentences(F.col("text"))).alias("s"))
+    by = rows.groupBy("doc_id", assertion.of_sentence(F.col("s")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return by.groupBy("status").agg(F.sum("n").alias("sentences"), F.count(F.lit(1)).alias("docs"))
+
+
+@query("with n as (select doc_id, unnest([{" + "}, {".join(f"'domain': '{k}', 'p': '{v}'" for k, v in segment.SIGNALS.items()) + f"}}], recursive := true) as _, text from documents), l as (select doc_id, domain, p, unnest(range(1, len({LINES}) + 1)) as o, {LINES} as x from n) select doc_id, domain, count(*) as matches, min(o)::int as first_line from l where regexp_matches(lower(x[o]), '(^|[^a-z0-9_])(?:' || p || ')([^a-z0-9_]|$)') group by 1, 2")
+def q_signals(spark, d):
+    return segment.signals(table(spark, d, "documents"))
+
+
+@query(f"with l as (select doc_id, {LINES} as x from documents), p as (select doc_id, x, 1 + doc_id % 3 as f, 1 + doc_id % 7 as t from l) select doc_id, case when greatest(f, t) > len(x) then 'unknown_line' when f > t then 'reversed' else 'as_given' end as status, case when greatest(f, t) <= len(x) then length(array_to_string(x[least(f, t):greatest(f, t)], chr(10))) end::int as chars from p")
+def q_pointed_lines(spark, d):
+    docs = table(spark, d, "documents")
+    return segment.pointed(docs.select("doc_id", (1 + F.col("doc_id") % 3).alias("first"), (1 + F.col("doc_id") % 7).alias("last")), docs).select("doc_id", "status", F.length("quote").alias("chars"))
+
+
+@query("select l_orderkey, l_linenumber, f as first_at from (select l_orderkey, l_linenumber, min(l_linenumber) over (partition by l_orderkey, l_returnflag, l_linestatus) as f from lineitem) where l_linenumber > f")
+def q_repeated_items(spark, d):
+    return gates.repeats(table(spark, d, "lineitem"), ["l_orderkey", "l_returnflag", "l_linestatus"], "l_linenumber").select("l_orderkey", "l_linenumber", "first_at")
+
+
+@query("select l_orderkey, l_linestatus, count(distinct l_returnflag) as states from lineitem group by 1, 2 having count(distinct l_returnflag) > 1")
+def q_state_conflicts(spark, d):
+    return gates.conflicts(table(spark, d, "lineitem"), ["l_orderkey", "l_linestatus"], "l_returnflag")
+
+
+@query("with o as (select l_orderkey, count(*) as n, count(distinct l_linestatus) as s, count(distinct l_returnflag) as f, max(l_discount) as m from lineitem group by 1), c as (select n < 2 as short, n > s * f as repeated, f > 2 as conflict, m > 0.095 as missing from o), a as (select case when not (short or repeated or conflict or missing) then 'accept' when short and not (repeated or conflict or missing) then 'summary_only_regeneration' when repeated and not (short or conflict or missing) then 'deterministic_duplicate_review' when missing then 'targeted_evidence_reextraction' when conflict then 'medication_reconciliation_reextraction' else 'full_json_schema_reextraction' end as action from c) select action, count(*) as orders from a group by 1")
+def q_recovery_actions(spark, d):
+    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_linestatus").alias("s"), F.count_distinct("l_returnflag").alias("f"), F.max("l_discount").alias("m"))
+    rules = {"empty_or_short_summary": F.col("n") < 2, "duplicate_evidence_item": F.col("n") > F.col("s") * F.col("f"), "medication_state_conflict": F.col("f") > 2, "source_quote_not_found": F.col("m") > 0.095}
+    codes = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))
+    return o.groupBy(gates.recovery(codes).alias("action")).agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query("with f as (select l_suppkey, l_partkey, l_returnflag as r from lineitem group by all), p as (select a, b, l_suppkey, count(*) filter (x and y) / nullif(count(*) filter (x or y), 0)::double as j from (select l_suppkey, l_partkey, p.a, p.b, bool_or(r = p.a) as x, bool_or(r = p.b) as y from f, (values ('A', 'N'), ('A', 'R'), ('N', 'R')) p(a, b) group by all) group by all) select a as first_run, b as second_run, count(*) as cases, round(avg(j), 6) as mean_jaccard, round(min(j), 6) as least_jaccard from p where j is not null group by 1, 2")
+def q_run_agreement(spark, d):
+    return matching.run_agreement(table(spark, d, "lineitem"), "l_suppkey", "l_returnflag", "l_partkey", ["A", "N", "R"])
+
+
+@query("select votes, count(*) as items from (select count(distinct l_returnflag) as votes from lineitem group by l_suppkey, l_partkey) group by 1")
+def q_consensus(spark, d):
+    return matching.consensus(table(spark, d, "lineitem"), "l_suppkey", "l_returnflag", "l_partkey")
+
+
+@query()
+def q_item_assignment(spark, d):
+    """Assistant sentences of a conversation matched one to one with user sentences."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.posexplode(segment.sentences(F.col("text"))).alias("p", "label"))
+    side = lambda role: turns.filter(F.col("role") == role).select(F.col("conv_id").alias("record_id"), F.lit("turn").alias("domain"), (F.col("turn") * 1000 + F.col("p")).alias("item_id"), "label", F.col("label").alias("source_quote"), F.lit("unknown").alias("assertion"))
+    predicted, gold = side("assistant"), side("user")
+    return matching.matched_scores(predicted, gold, matching.matches(matching.candidates(predicted, gold, 0.3)))
+
+
+@query(f"{RATERS}, t as (select count(*) filter (gold = 0 and predicted = 0) as tp, count(*) filter (gold = 1 and predicted = 0) as fp, count(*) filter (gold = 0 and predicted = 1) as fn, count(*) filter (gold = 1 and predicted = 1) as tn from r) select *, round(tp / nullif(tp + fn, 0)::double, 6) as sensitivity, round(tn / nullif(tn + fp, 0)::double, 6) as specificity, round(tp / nullif(tp + fp, 0)::double, 6) as ppv, round(tn / nullif(tn + fn, 0)::double, 6) as npv, tp + fn >= 20 and coalesce(tp / nullif(tp + fn, 0)::double >= 0.9, false) as released from t")
+def q_judge_validation(spark, d):
+    return stats.diagnostic(_raters(spark, d), F.col("gold") == 0, F.col("predicted") == 0)
+
+
+@query(f"{RATERS}, t as (select count(*) as n, count(*) filter (gold = 1 and predicted = 0) as only_first, count(*) filter (gold = 0 and predicted = 1) as only_second from r), p as (select *, only_first + only_second as m, (only_first - only_second) / n::double as df, 1.96 * sqrt(only_first + only_second - (only_first - only_second)::double * (only_first - only_second) / n) / n as h from t) select n, only_first, only_second, round(df, 6) as difference, round(df - h, 6) as low, round(df + h, 6) as high, round(least(1.0::double, 2 * (select sum(exp(lgamma(m + 1.0) - lgamma(i + 1.0) - lgamma(m - i + 1.0) - m * ln(2.0::double))) from range(0, 100000) r(i) where i <= least(only_first, only_second))), 6) as p from p")
+def q_mcnemar(spark, d):
+    return stats.mcnemar(_raters(spark, d), F.col("gold") == 1, F.col("predicted") == 1)
+
+
+@query(f"with {SCORED}, x as (select ok, tox, unnest(list_filter([case when lang = 'en' then 'english' end, case when n_chars > 15000 then 'long' end, case when n_chars < 2500 then 'sparse' end], lambda v: v is not null)) as feature from scored), y as (select feature, unnest(list_filter([case when not ok then 'bad' end, case when tox then 'toxic' end], lambda v: v is not null)) as failure from x) select feature, failure, count(*) as n from y group by 1, 2")
+def q_cooccurrence(spark, d):
+    return stats.together(scored(spark, d), {"english": F.col("lang") == "en", "long": F.col("n_chars") > 15000, "sparse": F.col("n_chars") < 2500}, {"bad": ~F.col("ok"), "toxic": F.col("tox")})
+
+
+RISK = "least(18.0::double, 3.0::double * len(regexp_extract_all(text, '[|]'))) + least(12.0::double, 2.0::double * len(regexp_extract_all(text, '!!'))) + least(20.0::double, 4.0::double * len(regexp_extract_all(text, '###')))"
+
+
+def _risk(spark, d):
+    count = lambda p: F.regexp_count("text", F.lit(p))
+    risk = stats.capped_risk({"bars": (count("[|]"), 3, 18), "marks": (count("!!"), 2, 12), "heads": (count("###"), 4, 20)})
+    return table(spark, d, "documents").select("doc_id", risk.alias("risk"))
+
+
+@query(f"select doc_id, {RISK} as risk from documents")
+def q_capped_risk(spark, d):
+    return _risk(spark, d)
+
+
+@query(f"with t as (select count(*) as n, count(*) filter (a) as accepted, count(*) filter (a and b) as unsafe, count(*) filter (b) as bad from (select {RISK} < 4 as a, quality = 0 as b from documents join labels using (doc_id))) select n, accepted, unsafe, bad, round(accepted / nullif(n, 0)::double, 6) as yield, round(unsafe / nullif(accepted, 0)::double, 6) as selective_risk, round(unsafe / nullif(bad, 0)::double, 6) as false_acceptance, round((bad - unsafe) / nullif(bad, 0)::double, 6) as sensitivity, round((accepted - unsafe) / nullif(n - bad, 0)::double, 6) as safe_acceptance from t")
+def q_selective_metrics(spark, d):
+    return stats.selective(_risk(spark, d).join(table(spark, d, "labels"), "doc_id"), F.col("risk") < 4, F.col("quality") == 0)
+
+
+@query("with c as (select event_type, user_id, count(*) filter (value > 150) as k from events group by 1, 2), s as (select event_type, case when k >= 4 then '4+' else k::varchar end as size, count(*) as n from c group by 1, 2) select *, round(n / sum(n) over (partition by event_type)::double, 6) as share from s")
+def q_span_spread(spark, d):
+    by = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count_if(F.col("value") > 150).alias("k"))
+    return runlog.spread(by, "event_type", F.col("k"))
+
+
+@query("with m as (select o_orderkey, o_orderpriority as p from orders) select case when p is null or p = '' then 'none' when contains(lower(p), 'urgent') or contains(lower(p), 'high') then 'rate_limit' when contains(lower(p), 'medium') then 'timeout' when contains(lower(p), 'low') then 'parse' else 'other' end as class, count(*) as n from m group by 1")
+def q_error_classes(spark, d):
+    kind = runlog.classify(F.col("o_orderpriority"), {"rate_limit": "urgent|high", "timeout": "medium", "parse": "low"})
+    return table(spark, d, "orders").groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with i as (select doc_id, list_filter([case when length(text) > 15000 then 'long' end, case when length(text) < 2500 then 'sparse' end, case when contains(text, '|') then 'table' end, case when lang <> 'en' then 'foreign' end], lambda x: x is not null) as issues from documents) select case when list_has_any(issues, ['foreign']) then 'translate' when list_has_any(issues, ['long', 'table']) then 'two_stage' when list_has_any(issues, ['sparse']) then 'review' else 'single_stage' end as route, count(*) as docs, sum(len(issues))::bigint as issues from i group by 1")
+def q_routing(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("chars"), F.col("text").contains("|").alias("bars"))
+    rules = {"long": F.col("chars") > 15000, "sparse": F.col("chars") < 2500, "table": F.col("bars"), "foreign": F.col("lang") != "en"}
+    routed = runlog.allocate(rows, rules, [("translate", ["foreign"]), ("two_stage", ["long", "table"]), ("review", ["sparse"])], "single_stage")
+    return routed.groupBy("route").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("issues")).alias("issues"))
