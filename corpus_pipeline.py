@@ -30,8 +30,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link through shared shingles, that with the smallest id, once. Rows without an id can't be told apart and go."""
-    keep = ngram_join.join_documents(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """Of documents that link through shared shingles (five words, 0.8 or more), that with the smallest id, once. Rows without an id can't be told apart and go."""
+    keep = ngram_join.join_documents(docs, ngram_join.NEAR).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.select(COLUMNS).join(keep, "doc_id", "left_semi")
     again = _shared.settle(kept.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
     if again.isEmpty():

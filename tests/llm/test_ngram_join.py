@@ -4,16 +4,17 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from veristrata.llm import ngram_join as J
 
 
-def brute(rows):
+def brute(rows, words=4, num=85):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
     for _, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
-        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set()))
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set()))
     at = list(range(len(rows)))
 
     def top(i):
@@ -23,7 +24,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
                 at[top(i)] = top(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -57,16 +58,20 @@ def made(seed, families):
     return rows
 
 
-def check(spark, rows, parts=3):
+def check(spark, rows, parts=3, rule=J.RULE):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts).selectExpr("doc_id", "text", "1 as node", "2 as component_id")
-    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in J.join_documents(docs).collect())
-    assert got == brute(rows)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in J.join_documents(docs, rule).collect())
+    assert got == brute(rows, rule.words, rule.num)
 
 
 def test_against_all_pairs(spark):
     check(spark, made(1, [random.Random(9).choice([1, 3, 5, 8, 12, 20, 33, 50, 80, 120, 300]) for _ in range(70)]))
 
 
+def test_five_words(spark):
+    check(spark, made(4, [random.Random(7).choice([1, 5, 9, 10, 15, 25, 60, 150]) for _ in range(60)]), rule=J.NEAR)
+
+
 def test_cut_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_POSTINGS", 300)
     monkeypatch.setattr(J, "HELD_KEYS", 50)
@@ -77,21 +82,22 @@ def test_empty(spark):
     assert J.join_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_every_link_shares_a_key():
+@pytest.mark.parametrize("rule", [J.RULE, J.NEAR])
+def test_every_link_shares_a_key(rule):
     """Sets at the edge of the threshold, of all sizes, with the prefix keys where parts stay empty."""
     rng = np.random.default_rng(3)
     missed = pairs = prefixed = 0
-    for n in [6, 7, 8, 9, 10, 12, 13, 17, 20, 25, 31, 40, 57, 80, 111, 200, 451, 1200]:
+    for n in [4, 5, 6, 7, 8, 9, 10, 12, 13, 17, 20, 25, 31, 40, 57, 80, 111, 200, 451, 1200]:
         for _ in range(60):
-            common = -(-85 * n // 100)
+            common = rule.least(n)
             m = int(rng.integers(common, n + 1))
-            both = common if m == common else -(-85 * (n + m) // 185)
+            both = common if m == common else -(-rule.num * (n + m) // (100 + rule.num))
             a = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
             b = np.sort(np.concatenate([rng.permutation(a)[:both], rng.integers(0, 2**63, m - both, dtype=np.uint64)]))
-            if 100 * both < 85 * (n + m - both):
+            if 100 * both < rule.num * (n + m - both):
                 continue
             pairs += 1
-            ka, kb = (J.keys(x, np.array([0, len(x)]))[0] for x in (a, b))
+            ka, kb = (J.keys(x, np.array([0, len(x)]), rule)[0] for x in (a, b))
             missed += not len(np.intersect1d(ka, kb)) and len(np.setxor1d(a, b)) > 0
             prefixed += len(ka) != len(np.unique(ka))
     assert pairs > 500 and not missed

@@ -1,6 +1,6 @@
 """N-gram Jaccard join by T-occurrence search.
 
-Two documents link if 100 * |A and B| >= 85 * |A or B| for their sets of 4-word shingles. Documents with equal sets are one node.
+Two documents link if den * |A and B| >= num * |A or B| for their sets of word shingles, by a rule that names num, den and the words. Documents with equal sets are one node.
 
 Sharding without loss. Sets that link differ in at most H shingles (H follows from their sizes). A size group's shingles are dealt by
 hash to more than H parts, so some part holds the same shingles in both: the hash of a part's content is a routing key, and linked
@@ -17,6 +17,7 @@ its postings is cut, and each pair of its parts is searched as a block of its ow
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _shared, _text as T
 
-WORDS = 4
-#: Links need NUM * union <= DEN * intersection.
-NUM, DEN = 85, 100
+
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, and the similarity num / den from which two sets link: num * union <= den * intersection."""
+
+    words: int = 4
+    num: int = 85
+    den: int = 100
+
+    def bounds(self) -> np.ndarray:
+        """Powers of den / num, between which sizes are classed."""
+        return (self.den / self.num) ** np.arange(0, 260)
+
+    def least(self, n):
+        """The fewest shingles that a set must share, and have, to link with one of n."""
+        return -(-self.num * n // self.den)
+
+
+#: Four words and 0.85; near-duplicate stages take five words and 0.8.
+RULE, NEAR = Rule(), Rule(5, 80, 100)
 #: Postings of a block that one task searches at once.
 BLOCK_POSTINGS = 4_000_000
 #: Keys that a map task holds before it hangs equal ones together.
@@ -34,30 +52,24 @@ HELD_KEYS = 2_000_000
 #: Document ids that are sent to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
-_GROWTH = DEN / NUM
-_BOUNDS = _GROWTH ** np.arange(0, 260)
-
 
-def groups(n: int) -> list[tuple[int, int, int]]:
+def groups(n: int, rule: Rule = RULE) -> list[tuple[int, int, int]]:
     """(size group, parts, spare parts) that a set of n shingles belongs to; nothing where only equal sets link.
 
-    Sizes are classed by powers of 100/85. Group g joins classes g - 1 and g, and those of class g - 1 with each other.
+    Sizes are classed by powers of den / num. Group g joins classes g - 1 and g, and those of class g - 1 with each other.
     """
-    own = int(np.searchsorted(_BOUNDS, n, "right")) - 1
+    bounds = rule.bounds()
+    below = lambda g: int(np.ceil(bounds[max(g, 0)])) - 1  # noqa: E731  the largest size under the g-th bound
+    own = int(np.searchsorted(bounds, n, "right")) - 1
     out = []
     for g in (own, own + 1):
-        differ = (DEN - NUM) * (_below(g) + _below(g + 1)) // (DEN + NUM)
+        differ = (rule.den - rule.num) * (below(g) + below(g + 1)) // (rule.den + rule.num)
         if differ:
             spare = 2 + differ // 40
             out.append((g, differ + 1 + spare, spare))
     return out
 
 
-def _below(g: int) -> int:
-    """The largest size under the g-th bound."""
-    return int(np.ceil(_BOUNDS[max(g, 0)])) - 1
-
-
 def nodes(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 64-bit name for each set; empty sets have 0."""
     size = np.diff(at)
@@ -66,10 +78,10 @@ def nodes(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return name
 
 
-def keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keys(sets: np.ndarray, at: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray]:
     """Routing keys of some sets, and the row of each."""
     size = np.diff(at)
-    plan = {int(n): groups(int(n)) for n in np.unique(size) if n}
+    plan = {int(n): groups(int(n), rule) for n in np.unique(size) if n}
     placed, content = T.mix(sets ^ T.RUN[2]), T.mix(sets ^ T.RUN[3])
     out, rows = [], []
     for side in (0, 1):
@@ -91,7 +103,7 @@ def keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         empty = parts - np.bincount(of, minlength=len(size))
         for r in np.flatnonzero((empty > spare) & (parts > 0)):  # sorted by hash: the prefix is a slice
             n = int(size[r])
-            prefix = sets[at[r] : at[r] + n - -(-NUM * n // DEN) + 1]
+            prefix = sets[at[r] : at[r] + n - rule.least(n) + 1]
             out.append(T.mix(prefix + np.array([g[r]], np.uint64) * T.RUN[2] + T.RUN[3]))
             rows.append(np.full(len(prefix), r))
     if not out:
@@ -109,7 +121,7 @@ def hang(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return key[new], node[new], edge[:, 0], edge[:, 1]
 
 
-def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def search(sets: list[np.ndarray], rule: Rule = RULE) -> list[tuple[int, int]]:
     """Links (i, j) that connect all sets which link directly or through others; a spanning part of all links."""
     n = len(sets)
     order = sorted(range(n), key=lambda i: len(sets[i]))
@@ -124,12 +136,12 @@ def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     for q in range(1, n):
         own = token[at[q] : at[q + 1]]
         # of each list, the part before q; and only sizes that can link
-        least = int(np.searchsorted(size, -(-NUM * size[q] // DEN), "left"))
+        least = int(np.searchsorted(size, rule.least(size[q]), "left"))
         if least >= q:
             continue
         length = list_at[own + 1] - list_at[own]
         own = own[np.argsort(length, kind="stable")]
-        needed = -(-NUM * int(size[q]) // DEN)
+        needed = rule.least(int(size[q]))
         longest = int(list_at[own[-1] + 1] - list_at[own[-1]])
         many = min(needed - 1, int(needed / (0.0085 * np.log2(longest + 1) + 1)))
         short, long = own[: len(own) - many], own[len(own) - many :]
@@ -140,7 +152,7 @@ def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         candidate, count = found_at + least, found[found_at]
         other = component[candidate] != component[q]
         candidate, count = candidate[other], count[other]
-        wanted = -(-NUM * (size[q] + size[candidate]) // (DEN + NUM))
+        wanted = -(-rule.num * (size[q] + size[candidate]) // (rule.den + rule.num))
         for i, t in enumerate(long[::-1].tolist()):
             if not len(candidate):
                 break
@@ -157,18 +169,18 @@ def search(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-def shingle_nodes(docs: DataFrame) -> DataFrame:
+def shingle_nodes(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, node, n_shingles of each row of docs(doc_id, text)."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in T.pieces(batches, "text"):
-            sets, to = T.shingle_sets(data, at, WORDS)
+            sets, to = T.shingle_sets(data, at, rule.words)
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(nodes(sets, to)), pa.array(np.diff(to))], ["doc_id", "node", "n_shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(named, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_shingles long")
 
 
-def routed(docs: DataFrame) -> DataFrame:
+def routed(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Edges (a, b) with a > b between nodes that share a routing key, or hang on one that does."""
     names = ["key", "node", "top"]
 
@@ -182,8 +194,8 @@ def routed(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, T.mix((a ^ b).view(np.uint64)).view(np.int64)])), pa.array(np.concatenate([node, a])), top], names)
 
         for _, data, at in T.pieces(batches, "text"):
-            sets, to = T.shingle_sets(data, at, WORDS)
-            key, row = keys(sets, to)
+            sets, to = T.shingle_sets(data, at, rule.words)
+            key, row = keys(sets, to, rule)
             held.append((key, nodes(sets, to)[row]))
             if sum(len(k) for k, _ in held) >= HELD_KEYS:
                 yield flush()
@@ -237,10 +249,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         mark = seen
 
 
-def links(docs: DataFrame, named: DataFrame) -> DataFrame:
+def links(docs: DataFrame, named: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Edges (a, b) between nodes of different sets that link; all links' connections, and only links."""
     spark = docs.sparkSession
-    of_block = components(routed(docs), "ngram-routes")
+    of_block = components(routed(docs, rule), "ngram-routes")
     of_block = _shared.settle(of_block.unionByName(of_block.select(F.col("root").alias("node"), "root").distinct()), "ngram-blocks")
     first = named.join(of_block, "node").groupBy("node", "root", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
     first = _shared.settle(first, "ngram-first")
@@ -256,7 +268,7 @@ def links(docs: DataFrame, named: DataFrame) -> DataFrame:
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, at in T.pieces(batches, "text"):
-            sets, to = T.shingle_sets(data, at, WORDS)
+            sets, to = T.shingle_sets(data, at, rule.words)
             raw = sets.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(nodes(sets, to)), pa.array([raw[8 * a : 8 * b] for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)], pa.binary())], ["node", "shingles"])
 
@@ -266,7 +278,7 @@ def links(docs: DataFrame, named: DataFrame) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             name = list(held)
-            got = search(list(held.values())) if len(held) > 1 else []
+            got = search(list(held.values()), rule) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([name[i] for i, _ in got], pa.int64()), pa.array([name[j] for _, j in got], pa.int64())], ["a", "b"])
 
         for part in batches:
@@ -285,16 +297,16 @@ def links(docs: DataFrame, named: DataFrame) -> DataFrame:
     return rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(searched, "a long, b long")
 
 
-def join_documents(docs: DataFrame) -> DataFrame:
+def join_documents(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text).
 
     component_id is the smallest doc_id reachable by links. A null or empty text, or one of white space, has no shingles and is its
     own component. Repeated rows and equal sets are linked. A null doc_id takes part; it never names a component of others. Other
     columns are ignored. An empty table gives no rows.
     """
-    named = _shared.settle(shingle_nodes(docs), "ngram-nodes")
+    named = _shared.settle(shingle_nodes(docs, rule), "ngram-nodes")
     full = named.filter("n_shingles > 0")
-    roots = components(links(docs, full), "ngram-links")
+    roots = components(links(docs, full, rule), "ngram-links")
     full = full.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = full.join(least, "root").select("doc_id", "n_shingles", "component_id")

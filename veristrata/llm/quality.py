@@ -112,7 +112,7 @@ class Field:
     curve: tuple[float, float]
 
     def mean_chance(self, x: np.ndarray, line_at: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
-        chance = marginals(x @ self.weight.astype(np.float32), doc_at, self.pair)[0] if len(x) else np.zeros(0)
+        chance = marginals(x @ self.weight.astype(np.float32), doc_at, self.pair)[0] if len(x) and len(self.weight) else np.zeros(len(x))
         size = np.diff(line_at).astype(np.float64)
         return T.summed(chance * size, doc_at) / np.maximum(T.summed(size, doc_at), 1)
 
@@ -154,7 +154,7 @@ def fit(data: np.ndarray, at: np.ndarray, label: np.ndarray, *, rounds: int = 2)
     x = np.concatenate(parts) if parts else np.zeros((0, 0), np.float32)
     line_at, doc_at = (np.concatenate([[0], *(np.cumsum(np.concatenate(y))[None] if y else [])], axis=None) for y in (line_sizes, line_counts))
     if not len(x):
-        return Field(np.zeros(1), np.zeros((2, 2)), (0.0, 3.0))
+        return Field(np.zeros(0), np.zeros((2, 2)), (0.0, 3.0))
     doc_of = np.repeat(np.arange(len(at) - 1), np.diff(doc_at))
     y = label[doc_of].astype(np.int64)
     weight, pair = train(x, y, doc_at)

@@ -20,4 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.op9_mixing,
     "op10_warc": warc.op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": """with p as (select page_id, coalesce(html, '') as body from pages), s as (select page_id, octet_length(encode(body)) as payload_bytes, sha256(body) as payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) as first from s)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and first < page_id then 'revisit' else 'response' end as record_type, case when payload_bytes >= 100 and first < page_id then first end as refers_to from f""",
+}
