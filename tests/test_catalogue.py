@@ -69,6 +69,27 @@ def test_connected(spark):
     assert {r["id"]: r["root"] for r in cluster.connected(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
 
 
+@pytest.mark.parametrize("chunk", [cluster.CHUNK, 50])
+def test_large_buckets(spark, monkeypatch, chunk):
+    """Copies and near copies by the hundred, in buckets of any size, against all pairs."""
+    monkeypatch.setattr(cluster, "CHUNK", chunk)
+    rng = random.Random(4)
+    near = rng.getrandbits(64)
+    prints = [near] * 230 + [near ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(150)] + [rng.getrandbits(56) << 8 | 7 for _ in range(250)] + [2**64 - 1] * 2
+    rows = [(i, p - (p >> 63 << 64)) for i, p in enumerate(prints)]
+    shares = lambda x: any(not x >> 8 * b & 255 for b in range(8))
+    want = {(i, j, x.bit_count()) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (x := prints[i] ^ prints[j]).bit_count() <= 10 and shares(x)}
+    df = spark.createDataFrame(rows, "doc_id long, fp long")
+    got = [tuple(r) for r in cluster.hamming_pairs(df).collect()]
+    assert len(got) == len(want) and set(got) == want
+    root = list(range(len(prints)))
+    for _ in range(2):
+        for i, j, _ in sorted(want):
+            root[j] = root[i] = min(root[i], root[j])
+    want = {i: root[i] for i in {x for i, j, _ in want for x in (i, j)}}
+    assert {r["id"]: r["root"] for r in cluster.near_clusters(df).collect()} == want and len(want) >= 382
+
+
 def test_risk_control_on_average(spark):
     from pyspark.sql import functions as F
 

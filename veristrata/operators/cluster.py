@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veristrata.functions import text as T
@@ -33,27 +35,99 @@ def simhash(docs: DataFrame, most: int = 1500) -> DataFrame:
     return rows.select("doc_id", value.alias("fp"))
 
 
-def hamming_pairs(prints: DataFrame, most: int = 10, bucket: int = 200) -> DataFrame:
-    """(a, b, distance) of fingerprints that share one of eight 8-bit bands in a bucket of at most `bucket` and differ in `most` bits."""
-    bands = prints.select("doc_id", "fp", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.expr("1") * 0 + i)).alias("band", "x"))
-    bands = bands.select("doc_id", "fp", "band", F.expr("shiftrightunsigned(fp, band * 8) & 255").alias("value"))
-    small = bands.groupBy("band", "value").count().filter((F.col("count") > 1) & (F.col("count") <= bucket)).drop("count")
-    kept = bands.join(small, ["band", "value"])
-    other = kept.select("band", "value", F.col("doc_id").alias("b"), F.col("fp").alias("fb"))
-    pairs = kept.join(other, ["band", "value"]).filter("doc_id < b").select(F.col("doc_id").alias("a"), "b", F.bit_count(F.col("fp").bitwiseXOR(F.col("fb"))).alias("distance"))
-    return pairs.filter(F.col("distance") <= most).distinct()
+#: Fingerprints of a bucket are dealt out to chunks of about so many; each pair of chunks is compared by itself.
+CHUNK = 2048
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(id, root): smallest id connected to each id of edges(a, b); labels spread along edges until none changes."""
-    spark = edges.sparkSession
+def _near_prints(nodes: DataFrame, most: int, schema: str, found) -> DataFrame:
+    """found(values, i, j, distance) of each pair of chunks of nodes(fp), distinct: places of the pairs that share a band and differ in `most` bits.
+
+    All pairs of a bucket are compared, however large it is: its chunks meet two by two, each two in a group of their own. A pair that
+    shares several bands is found at its first.
+    """
+    bands = nodes.select("fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", 8 * b).bitwiseAND(255) for b in range(8)])).alias("band", "value"))
+    # 2048 rows at most
+    sizes = bands.groupBy("band", "value").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    dealt = bands.join(F.broadcast(sizes), ["band", "value"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("band", "value", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "fp")
+
+    def compared(key, table):
+        band, one, two = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        fp, side = table["fp"].to_numpy(), table["own"].to_numpy()
+        values = np.concatenate([np.sort(fp[side == one]), np.sort(fp[side == two])]) if one != two else np.sort(fp)
+        left, start = (int((side == one).sum()), int((side == one).sum())) if one != two else (len(values), 0)
+        bits, hits = values.view(np.uint64), []
+        for at in range(0, left, 256):
+            x = bits[at : min(at + 256, left), None] ^ bits[None, start:]
+            a, b = np.nonzero(np.bitwise_count(x) <= most)
+            x = x[a, b]
+            a, b = a + at, b + start
+            new = a < b
+            for k in range(band):
+                new &= (x >> np.uint64(8 * k)) & np.uint64(255) != 0
+            hits.append((a[new], b[new], np.bitwise_count(x[new]).astype(np.int32)))
+        return found(values, *(np.concatenate(c) if hits else np.zeros(0, np.int64) for c in zip(*hits, strict=True)))
+
+    return dealt.groupBy("band", "value", "one", "two").applyInArrow(compared, schema)
+
+
+def hamming_pairs(prints: DataFrame, most: int = 10) -> DataFrame:
+    """(a, b, distance) of all fingerprints that share one of eight 8-bit bands and differ in `most` bits; equal ones are pairs too.
+
+    Distinct values are compared, then their documents are joined to the pairs of values.
+    """
+    prints = settle(prints.select("doc_id", "fp"), "prints")
+
+    def pairs(values, i, j, distance):
+        return pa.table({"fa": values[i], "fb": values[j], "distance": distance})
+
+    near = _near_prints(prints.select("fp").distinct(), most, "fa long, fb long, distance int", pairs)
+    left, right = prints.select(F.col("doc_id").alias("x"), F.col("fp").alias("fa")), prints.select(F.col("doc_id").alias("y"), F.col("fp").alias("fb"))
+    equal = left.join(right, F.col("fa") == F.col("fb")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("distance"))
+    other = near.join(left, "fa").join(right, "fb").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    return equal.union(other).distinct()
+
+
+def near_clusters(prints: DataFrame, most: int = 10) -> DataFrame:
+    """(id, root): smallest id connected by hamming_pairs to each document that has a pair.
+
+    Values are connected, so that copies add no edges and a group compared gives one edge for each value at most; then each document takes
+    the root of its value. Values that share a repeated id are connected too.
+    """
+    prints = settle(prints.select("doc_id", "fp").filter("doc_id is not null"), "prints")
+    def stars(values, i, j, _):
+        root = np.arange(len(values))
+        while len(i):
+            low = np.minimum(root[i], root[j])
+            if (low == root[i]).all() and (low == root[j]).all():
+                break
+            np.minimum.at(root, i, low)
+            np.minimum.at(root, j, low)
+            root = root[root]
+        far = np.flatnonzero(root != np.arange(len(values)))
+        return pa.table({"a": values[root[far]], "b": values[far]})
+
+    near = _near_prints(prints.select("fp").distinct(), most, "a long, b long", stars)
+    twice = prints.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).filter("a < most").select("doc_id", "a")
+    same = prints.join(twice, "doc_id").select("a", F.col("fp").alias("b")).filter("a <> b")
+    roots = connected(near.union(same)).select(F.col("id").alias("fp"), F.col("root").alias("value"))
+    rows = settle(prints.join(roots, "fp", "left").select("doc_id", F.coalesce("value", "fp").alias("value")), "values")
+    first = rows.groupBy("value").agg(F.min("doc_id").alias("root"), F.max("doc_id").alias("last")).filter("root < last").select("value", "root")
+    return rows.join(first, "value").select(F.col("doc_id").alias("id"), "root").distinct()
+
+
+def settle(df: DataFrame, name: str = "connected") -> DataFrame:
+    """The rows, written under the folder that all executors share and read again."""
+    spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../checkpoints"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    def settle(df: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/connected-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(id, root): smallest id connected to each id of edges(a, b); labels spread along edges until none changes."""
     both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("root")))
     while True:

@@ -154,8 +154,8 @@ def q_simhash_pairs(spark, d):
 
 @query(f"{PAIRS.replace('with w as', 'with recursive w as', 1)}, e as (select a, b from near union select b, a from near), r(id, root) as (select a, a from e union select e.b, r.root from r join e on e.a = r.id) select id as doc_id, min(root) as cluster_id from r group by 1")
 def q_dup_clusters(spark, d):
-    near = cluster.hamming_pairs(cluster.simhash(table(spark, d, "documents")))
-    return cluster.connected(near).select(F.col("id").alias("doc_id"), F.col("root").alias("cluster_id"))
+    near = cluster.near_clusters(cluster.simhash(table(spark, d, "documents")))
+    return near.select(F.col("id").alias("doc_id"), F.col("root").alias("cluster_id"))
 
 
 @query(f"with t as (select doc_id, unnest({TOKENS}) as token from documents), tf as (select doc_id, token, count(*) as tf from t group by 1, 2), n as (select count(*) as n from documents), df as (select token, count(*) as df from tf group by 1), w as (select doc_id, token, round((1 + ln(tf)) * (ln((1.0::double + n) / (1 + df)) + 1), 6) as weight from tf join df using (token), n where df >= 3 and df <= 0.85 * n) select doc_id, row_number() over (partition by doc_id order by weight desc, token)::int as rank, token, weight from w qualify rank <= 5")
