@@ -58,3 +58,46 @@ def test_probabilities_sum_to_one(spark):
     m = L.fit_model(spark.createDataFrame([("abcabd",), ("b",)], "text string"))
     for a, b in ((97, 98), (32, 97), (120, 121), (120, 98)):
         assert abs(np.exp(-m.loss((np.int64(a) * 257 + b) * 257 + np.arange(257))).sum() - 1) < 1e-9
+
+
+def test_word_pairs(spark, monkeypatch):
+    """Word-pair losses against dictionaries, with and without hot pairs; what is gathered grows with the corpus."""
+    rng = random.Random(3)
+    make = lambda n: " ".join(rng.choice(["alpha", "Beta", "gamma", "delta,", "naïve", f"w{rng.randrange(400)}"]) for _ in range(n))
+    docs = [(i, make(rng.randint(0, 40))) for i in range(80)] + [(80, None), (81, ""), (82, "alpha beta gamma"), (82, "alpha beta gamma"), (None, "zeta")]
+    target = [make(12) for _ in range(6)]
+
+    def walk(t):
+        w = ["<", *"".join(c if c.isalnum() else " " for c in (t or "").lower()).split(), ">"]
+        return list(zip(w, w[1:]))
+
+    def slow(texts):
+        two, one, head = Counter(), Counter(), Counter()
+        for t in texts:
+            for a, b in walk(t):
+                two[a, b] += 1
+                one[b] += 1
+                head[a] += 1
+
+        def loss(t):
+            out = []
+            for a, b in walk(t):
+                p = L.WORD_MIX[1] * one[b] / max(sum(one.values()), 1) + (1 - sum(L.WORD_MIX)) / L.TEXT_START
+                out.append(-math.log(L.WORD_MIX[0] * two[a, b] / head[a] + p if head[a] else p / (1 - L.WORD_MIX[0])))
+            return sum(out) / len(out)
+
+        return loss
+
+    a, b = slow(target), slow([t for _, t in docs])
+    want = sorted((str(d), len(walk(t)), a(t), b(t)) for d, t in docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for hot, held in ((L.HOT, L.HELD), (20, 50)):
+        monkeypatch.setattr(L, "HOT", hot)
+        monkeypatch.setattr(L, "HELD", held)
+        words = L.word_statistics(spark.createDataFrame([(t,) for t in target], "text string"), df)
+        got = sorted((str(r["doc_id"]), r["n_tokens"], r["loss_target"], r["loss_background"]) for r in L.word_score(df, words).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert all(abs(p - q) < 1e-9 for x, y in zip(got, want) for p, q in zip(x[2:], y[2:]))
+    assert L.word_score(df.limit(0), words).count() == 0
+    size = lambda rows: sum(len(r["key"]) for r in L.word_statistics(df.limit(0), rows).table.collect())
+    assert size(df) > 2 * size(df.filter("doc_id < 20"))
