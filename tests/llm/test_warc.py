@@ -37,6 +37,26 @@ def test_round_trip_and_damage():
     assert list(W.read(b"")) == [] and [f.type for f in W.read(b"nothing here")] == ["gap"]
 
 
+def test_members_of_several_records():
+    rng = random.Random(8)
+    payloads = [rng.randbytes(rng.randint(100, 900)) for _ in range(30)]
+    parts = archive(payloads, True)
+    blocks = lambda data: [f.block for f in W.read(data) if f.type == "response"]
+    gaps = lambda data: [f.reason for f in W.read(data) if f.type == "gap"]
+    bad = bytearray(parts[12])
+    bad[-60] ^= 0xFF
+    one = W.member(b"".join([*parts[:12], bytes(bad), *parts[13:]]))
+    assert blocks(one) == payloads[:12] + payloads[13:] and len(gaps(one)) == 1 and "digest" in gaps(one)[0]
+    whole, after = W.member(b"".join(parts)), W.member(archive([b"after"], True)[0])
+    assert blocks(whole + after) == [*payloads, b"after"] and not gaps(whole + after)
+    cut = whole[: len(whole) * 2 // 3]
+    assert len(blocks(cut)) >= 17 and blocks(cut) == payloads[: len(blocks(cut))] and gaps(cut)
+    # a wrong checksum costs nothing that has a digest
+    wrong = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    assert blocks(wrong + after) == [*payloads, b"after"] and gaps(wrong + after)
+    assert sum(f.length for f in W.read(wrong + after)) == len(wrong + after)
+
+
 def test_query(spark):
     big, small = "<p>" + "é" * 90, "<p>short"
     rows = [(7, "u", big, 1), (3, "u", big, 1), (9, None, big, 2), (9, None, big, 2), (4, "a\r\nb", small, 1), (5, "", small, 1), (6, "x", None, 1), (None, "x", big, 1), (3, "u", big, 1), (8, "u", "x" * 50_000, 1)]

@@ -2,7 +2,7 @@
 
 The reader checks each gzip member (checksum and length) and each record (version line, content length, closing blank lines, block
 digest). After a failed check it searches for the next member or version line that passes, goes on from there, and logs the bytes
-between as a quarantined gap. Archives are rows of a table, which Spark's own writers commit, so no task touches a file system.
+between as a quarantined gap, inside a member too. Archives are rows of a table, which Spark's own writers commit, so no task touches a file system.
 """
 
 from __future__ import annotations
@@ -83,27 +83,59 @@ def _parse(data: bytes, at: int) -> tuple[Found | None, str]:
     return Found(at, stop + 4 - at, headers.get("warc-type", ""), headers, block), ""
 
 
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at a position holds, as far as it can be read; where it ends, or -1 and what is wrong with it."""
+    z, out, i = zlib.decompressobj(31), [], at
+    while i < len(data) and not z.eof:
+        before, part = z.copy(), data[i : i + (16 << 10)]
+        try:
+            out.append(z.decompress(part))
+        except zlib.error as e:
+            # once more by single bytes, to keep what stands before the error
+            for j in range(len(part)):
+                try:
+                    out.append(before.decompress(part[j : j + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), -1, str(e)
+        i += len(part)
+    return (b"".join(out), i - len(z.unused_data), "") if z.eof else (b"".join(out), -1, "member is cut short")
+
+
 def _member(data: bytes, at: int) -> tuple[list[Found], int, str]:
-    """Records of the gzip member at a position and where it ends, or what is wrong with it."""
-    z = zlib.decompressobj(31)
-    try:
-        plain = z.decompress(memoryview(data)[at:]) + z.flush()
-    except zlib.error as e:
-        return [], at, str(e)
-    if not z.eof:
-        return [], at, "member is cut short"
-    end, inner, out = len(data) - len(z.unused_data), 0, []
+    """Records of the gzip member at a position, gaps between them, and where it ends; -1 and the reason if the member itself is damaged.
+
+    After a record that fails, the next version line inside the member is tried. In a member with an error in its data or checksum, only
+    records with a SHA-256 block digest that agrees count. What comes from a damaged member, and each gap inside one, has the
+    member's offset and no length: the bytes are counted with the member. Without any record the list is empty.
+    """
+    plain, end, reason = _inflated(data, at)
+    sure, length = end >= 0 or reason == "member is cut short", max(end - at, 0)
+    inner, gap, why, out = 0, -1, "", []
     while inner < len(plain):
-        got, why = _parse(plain, inner)
-        if not got:
-            return [], at, why
-        inner += got.length
-        out.append(Found(at, end - at, got.type, got.headers, got.block))
-    return out, end, "" if out else "empty member"
+        got, wrong = _parse(plain, inner)
+        if got and not sure and not got.headers.get("warc-block-digest", "").startswith("sha256:"):
+            got, wrong = None, "no digest in a damaged member"
+        if got:
+            if gap >= 0:
+                out.append(Found(at, 0, "gap", {}, b"", f"{why}, bytes {gap} to {inner} of the member"))
+                gap = -1
+            inner += got.length
+            out.append(Found(at, length, got.type, got.headers, got.block))
+            continue
+        if gap < 0:
+            gap, why = inner, wrong
+        line = _VERSION.search(plain, inner + 1)
+        inner = line.start() if line else len(plain)
+    if not any(f.type != "gap" for f in out):
+        return [], end, reason or why or "empty member"
+    if gap >= 0:
+        out.append(Found(at, 0, "gap", {}, b"", f"{why}, bytes {gap} to {len(plain)} of the member"))
+    return out, end, reason
 
 
 def read(data: bytes) -> Iterator[Found]:
-    """Records of an archive, plain or with a gzip member for each, and the gaps between them, in order. Every byte is in one of both."""
+    """Records of an archive, plain or in gzip members of one or several, and the gaps between them, in order. Every byte is in one of both."""
     at, gap, why = 0, -1, ""
     while at < len(data):
         if data[at : at + 3] == _MAGIC:
@@ -116,8 +148,9 @@ def read(data: bytes) -> Iterator[Found]:
                 yield Found(gap, at - gap, "gap", {}, b"", why)
                 gap = -1
             yield from got
-            at = end
-            continue
+            if end >= 0:
+                at = end
+                continue
         if gap < 0:
             gap, why = at, reason
         line = _VERSION.search(data, at + 1)
