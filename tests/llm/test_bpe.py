@@ -33,6 +33,28 @@ def test_matches_library(coders):
         assert own.decode(got) == (text or "").encode()
 
 
+def test_pieces_that_share_a_hash(coders, monkeypatch):
+    """Words that a polynomial hash confuses, in either order, and any words under a hash that confuses all."""
+    own, library = coders
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    want = lambda texts: [library.encode_ordinary(t) for t in texts]
+    for texts in ([word, other], [other, word], [other + " " + word, word + "x"]):
+        assert ids_of(own, texts) == want(texts)
+    monkeypatch.setattr(bpe.T, "hashed", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = ["one two three", "two  one", "a", "two three one"]
+    assert ids_of(own, texts) == want(texts)
+
+
+def test_long_pieces(coders):
+    own, library = coders
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abethinrs") for _ in range(n)) for n in (257, 511, 512, 513, 1025, 5000)] + ["=" * 3001, "abc" * 900, "日本" * 700]
+    assert ids_of(own, texts) == [library.encode_ordinary(t) for t in texts]
+
+
 def test_query_rows(spark, coders):
     docs = spark.createDataFrame([(1, "Hello  world", "x"), (2, None, "x"), (2, "", None), (None, "Hello  world", "x")], "doc_id long, text string, ids string")
     rows = bpe.digests(docs, PATH).collect()

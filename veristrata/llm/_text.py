@@ -1,8 +1,9 @@
 """Vectorised text primitives shared by the document operators.
 
 Everything works on one flat byte buffer and row offsets, the layout Arrow hands over, so a batch of documents costs a few numpy
-passes and no Python loop over characters or words. Hashes are 64-bit; two different words or word runs are taken as equal with
-probability about 2**-64 a pair.
+passes and no Python loop over characters or words. Hashes are 64-bit: a run's hash adds a fixed random number for each byte at its
+place in the run, so two different words or word runs have equal hashes with probability about 2**-64 a pair, unless they were made
+to collide by someone who knows the numbers.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Largest number of text bytes worked on at once (a longer single text is taken whole).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C55 | 1
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Odd multipliers by word position in a run of words.
 RUN = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -31,7 +31,9 @@ TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Places in a run that have random numbers of their own; beyond, they are mixed with the number of such spans before.
+_SPAN = 64
+_RANDOM = np.random.default_rng(20240607).integers(0, 1 << 64, _SPAN * 256, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,20 +46,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base modulo 2**64, and of its inverse."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        both = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            x = np.full(size, U(b))
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        _powers = (both[0], both[1])
-    return _powers[0][:n], _powers[1][:n]
-
-
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values and the row offsets into them; a null is empty."""
     column = pc.fill_null(column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string()), b"" if pa.types.is_binary(column.type) else "")
@@ -96,17 +84,21 @@ def runs(data: np.ndarray, at: np.ndarray, kind: np.ndarray = NOT_SPACE) -> tupl
 
 
 def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes: differences of one running polynomial, shifted to a common power."""
+    """A 64-bit hash of each run of bytes. Runs may begin at the same byte; otherwise they don't overlap."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
+    place = np.arange(len(data))
+    begin = np.zeros(len(data), np.int64)
+    begin[starts] = starts
+    place -= np.maximum.accumulate(begin, out=begin)
+    value = _RANDOM[(place & (_SPAN - 1)) << 8 | data]
+    far = np.flatnonzero(place >= _SPAN)
+    if len(far):
+        value[far] = mix(value[far] + (place[far] // _SPAN).astype(np.uint64) * RUN[0])
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(data * up[: len(data)], out=total[1:])
-    h = total[ends] - total[starts]
-    h *= down[starts]
-    h += (ends - starts).astype(np.uint64) * RUN[4]
-    return mix(h)
+    np.cumsum(value, out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64) * RUN[4])
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

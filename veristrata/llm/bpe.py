@@ -2,14 +2,14 @@
 
 A text is cut into pieces by character class (the split pattern of the rank files), equal pieces are encoded once, and pieces of like
 length share a matrix with a row each. In every round each row merges its leftmost pair of least rank: the ranks of neighbouring
-pairs come from one open-addressed hash table, the merged position is closed up, and rows without a pair left drop out.
+pairs come from one open-addressed hash table, the merged position is closed up, and rows without a pair left drop out. A long piece
+is folded into a matrix of its own, whose rows keep their least ranks, so that a round costs one row and not the whole piece.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import _shared, _text as T
 
 NONE = np.int32(0x7FFFFFFF)
-#: Longer pieces are merged through a heap (n log n) instead of a matrix row (n times n); the ids are the same.
+#: Longer pieces are folded to rows of this width.
 LONG_PIECE = 256
-#: Pieces that a worker remembers between batches.
-REMEMBERED = 80_000
+#: Pieces that a worker remembers between batches, and the longest of them in bytes.
+REMEMBERED, LONGEST_REMEMBERED = 80_000, 64
 
 _LETTER, _NUMBER, _OTHER, _WHITE, _BLANK = 0, 1, 2, 3, 4
 _classes: np.ndarray | None = None
@@ -115,7 +115,7 @@ class Vocabulary:
                 step += 1
             self.keys[s + step], self.values[s + step] = k, v
             self.probes = max(self.probes, step + 1)
-        self.text: dict[int, tuple[bytes, int, list[int]]] = {}
+        self.text: dict[bytes, list[int]] = {}
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * T.U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -174,35 +174,50 @@ class Vocabulary:
         return out, out_size
 
     def merge_long(self, data: bytes) -> list[int]:
-        """The same merges for one long piece, by a heap of (rank, position) over a linked list."""
-        ids = self.of_byte[np.frombuffer(data, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        size = [1] * n
-        start = 0
-        spot = [0]
-        for s in size:
-            start += s
-            spot.append(start)
-        ranks = self.ranks
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, length = heapq.heappop(heap)
-            j = after[i]
-            if size[i] == 0 or j >= n or size[i] + size[j] != length:
-                continue
-            size[i], size[j] = length, 0
-            ids[i] = r
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] < n:
-                    total = size[a] + size[after[a]]
-                    if (x := ranks.get(data[a : a + total])) is not None:
-                        heapq.heappush(heap, (x, a, total))
-        return [ids[i] for i in range(n) if size[i]]
+        """The same merges for one long piece. pair[r, c] is the rank of the token at (r, c) with the one behind it, which may begin a later row."""
+        width, n = LONG_PIECE, len(data)
+        rows = -(-n // width)
+        ids = np.zeros((rows, width), np.int32)
+        ids.ravel()[:n] = self.of_byte[np.frombuffer(data, np.uint8)]
+        pair = np.full((rows, width), NONE, np.int32)
+        pair.ravel()[: n - 1] = self.rank(ids.ravel()[: n - 1], ids.ravel()[1:n])
+        size = np.full(rows, width)
+        size[-1] = n - (rows - 1) * width
+        least = pair.min(axis=1)
+        after, before = list(range(1, rows + 1)), list(range(-1, rows - 1))  # rows that aren't empty
+
+        def close(r: int, c: int) -> None:
+            k = size[r]
+            ids[r, c : k - 1], pair[r, c : k - 1] = ids[r, c + 1 : k], pair[r, c + 1 : k]
+            pair[r, k - 1] = NONE
+            size[r] = k - 1
+            if k == 1:
+                if before[r] >= 0:
+                    after[before[r]] = after[r]
+                if after[r] < rows:
+                    before[after[r]] = before[r]
+
+        def refresh(r: int, c: int) -> None:
+            """The rank of the pair that begins at (r, c)."""
+            nxt = (r, c + 1) if c + 1 < size[r] else (after[r], 0)
+            pair[r, c] = self.rank(ids[r, c : c + 1], ids[nxt[0], nxt[1] : nxt[1] + 1])[0] if nxt[0] < rows else NONE
+            least[r] = pair[r].min()
+
+        while True:
+            r = int(least.argmin())
+            if least[r] == NONE:
+                return [x for k in range(rows) for x in ids[k, : size[k]].tolist()]
+            c = int(pair[r].argmin())
+            ids[r, c] = least[r]
+            gone = (r, c + 1) if c + 1 < size[r] else (after[r], 0)
+            close(*gone)
+            if gone[0] != r:
+                least[gone[0]] = pair[gone[0]].min()
+            refresh(r, c)
+            if c:
+                refresh(r, c - 1)
+            elif before[r] >= 0:
+                refresh(before[r], size[before[r]] - 1)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece."""
@@ -234,16 +249,22 @@ class Vocabulary:
         starts = split(points, np.searchsorted(wide, at))
         a = wide[starts]
         b = np.append(a[1:], len(data)).astype(np.int64)
-        hashes = T.hashed(data, a, b)
-        known, where = np.unique(hashes, return_index=True)
+        _, where, same = np.unique(T.hashed(data, a, b), return_index=True, return_inverse=True)
+        # pieces of one hash are compared by their bytes; one that differs from its hash's first piece stands for itself
+        size, lead = b - a, where[same]
+        owner = np.repeat(np.arange(len(a)), size)
+        differs = size != size[lead]
+        differs[owner[data != data[np.minimum((a[lead] - a)[owner] + np.arange(len(data)), len(data) - 1)]]] = True
+        odd = np.flatnonzero(differs)
+        same[odd] = len(where) + np.arange(len(odd))
+        parts = [raw[a[i] : b[i]] for i in (*where.tolist(), *odd.tolist())]
         if len(self.text) > REMEMBERED:
             self.text.clear()
-        keys = known.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.text]
-        parts = [raw[a[where[i]] : b[where[i]]] for i in new]
-        for i, ids in zip(new, self.encode_pieces(parts), strict=True):
-            self.text[keys[i]] = ids
-        got = list(map(self.text.__getitem__, hashes.tolist()))
+        new = [p for p in parts if p not in self.text]
+        made = dict(zip(new, self.encode_pieces(new), strict=True))
+        lists = [made[p] if p in made else self.text[p] for p in parts]
+        self.text.update((p, x) for p, x in made.items() if len(p) <= LONGEST_REMEMBERED)
+        got = list(map(lists.__getitem__, same.tolist()))
         first = np.searchsorted(a, at)
         for i in range(len(at) - 1):
             yield got[first[i] : first[i + 1]]
@@ -274,6 +295,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids and decode to nothing. Every row gives one row; equal texts give equal ids. Columns of docs
     named ids or decoded are replaced. Whole texts are encoded, whatever their length.
     """
+    _shared.small_batches(docs.sparkSession)
     rest = [f for f in docs.schema if f.name not in ("ids", "decoded")]
     names = ["ids", "decoded", *(f.name for f in rest)]
 
@@ -288,6 +310,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: tokenize() without shipping the ids out of the Python worker."""
+    _shared.small_batches(docs.sparkSession)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
@@ -307,4 +330,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(_shared.small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
