@@ -16,38 +16,60 @@ LEAST_CERTAIN = 0.15
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field keeps (score >= 0.3); it is fitted on the labelled ones among those given."""
-    _shared.small_batches(spark)
+    """Documents that the line field keeps (score >= 0.3); it is fitted on the labelled ones among those given.
+
+    A null or empty text scores the lowest; without labelled rows the field scores every text alike, and high. A row is judged on its
+    own text, whole however long: repeated rows and texts share their fate, and null ids don't matter. An empty table gives no rows;
+    columns other than those of documents are left out.
+    """
     field = quality.fit_field(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score_quality(docs.select(COLUMNS), field).filter("predicted = 1").select(COLUMNS)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
-    _shared.small_batches(spark)
+    """Documents whose language is recognised with a score of LEAST_CERTAIN or more.
+
+    Texts that are null, empty or without a letter have no language and go; so do all where no row has a language to learn. Equal
+    texts share their fate, whole however long; ids don't matter. An empty table gives no rows; columns other than those of documents are left out.
+    """
     named = language.identify(docs.select(COLUMNS), language.fit_discriminator(docs))
     return named.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_CERTAIN)).select(COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link through shared shingles (five words, 0.8 or more), that with the smallest id, once. Rows without an id can't be told apart and go."""
-    keep = ngram_join.join_documents(docs, ngram_join.NEAR).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(keep, "doc_id", "left_semi")
-    again = _shared.settle(kept.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    """Of documents that link through shared shingles (five words, 0.8 or more) the one with the smallest id (null last), once.
+
+    Rows that share an id but not a text are documents of their own. Of rows with equal ids and texts one stays, that with the least
+    other columns. Null, empty and blank texts link with nothing: each id with such a text stays, once. An empty table gives no rows;
+    columns other than those of documents are left out.
+    """
+    rows = docs.select(COLUMNS).withColumn("text_key", ngram_join.text_key(F.col("text")))
+    same = lambda other: rows["doc_id"].eqNullSafe(other["doc_id"]) & (rows["text_key"] == other["text_key"])
+    gone = _shared.settle(ngram_join.repeated(docs), "pipeline-repeated")
+    again = _shared.settle(rows.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key"), "pipeline-equal")
     if again.isEmpty():
-        return kept.select(COLUMNS)
-    first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*(c for c in COLUMNS if c != "doc_id"))).alias("r")).select("doc_id", "r.*")
-    return kept.join(again, "doc_id", "left_anti").select(COLUMNS).unionByName(first.select(COLUMNS))
+        return rows.join(gone, same(gone), "left_anti").select(COLUMNS)
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    once = rows.join(again, same(again), "left_semi").join(gone, same(gone), "left_anti").groupBy("doc_id", "text_key").agg(F.min(F.struct(*rest)).alias("r"))
+    kept = rows.join(gone, same(gone), "left_anti").join(again, same(again), "left_anti")
+    return kept.select(COLUMNS).unionByName(once.select("doc_id", "r.*").select(COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's rows: documents as often, and as far, as the sources' targets take them."""
+    """The mix's rows: documents as often, and as far, as the sources' targets take them.
+
+    Null and blank texts have no words and go. A null source is a source like any other. Repeated rows are taken one by one, whatever
+    their ids. Ties of sources go to the earlier one by code point. An empty table gives no rows; columns other than those of documents are left out.
+    """
     return mixing.materialize(mixing.mix(docs.select(COLUMNS))).select(COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the token ids of each row of the mix."""
-    _shared.small_batches(spark)
+    """doc_id, source, n_tokens and the token ids of each row of the mix.
+
+    Null and empty texts have no ids; whole texts are encoded, however long. Every row gives one row, and equal texts equal ids; null
+    ids and sources pass through. An empty table gives no rows.
+    """
     coded = bpe.tokenize(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -2,11 +2,12 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from veristrata.llm import ngram_join as J
+from veristrata.llm import _text as T, ngram_join as J
 
 
 def brute(rows, words=4, num=85):
@@ -74,8 +75,34 @@ def test_five_words(spark):
 
 def test_cut_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_POSTINGS", 300)
-    monkeypatch.setattr(J, "HELD_KEYS", 50)
+    monkeypatch.setattr(J, "LEADERS", 2)
+    monkeypatch.setattr(J, "REMEMBERED", 5)
+    monkeypatch.setattr(J, "HEAPED", 0)
     check(spark, made(2, [10, 30, 30, 60, 100] * 3))
+    monkeypatch.setattr(J, "GROUP", 3)
+    monkeypatch.setattr(J, "BLOCK_POSTINGS", 60)
+    monkeypatch.setattr(J, "CONTRACTED", 4)
+    check(spark, made(3, [10, 30, 30, 60, 100] * 3), rule=J.NEAR)
+
+
+def test_large_groups_and_common_shingles(spark, monkeypatch):
+    for name, value in (("GROUP", 3), ("SEEN", 1), ("OFTEN", 2), ("COUNTED", 100)):
+        monkeypatch.setattr(J, name, value)
+    check(spark, made(6, [10, 30, 30, 60, 100] * 4), rule=J.NEAR)
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)])
+    assert len(set(T.hashed(*flat([word, word.translate(str.maketrans("ab", "ba")), word + "a"])).tolist())) == 3
+
+
+def flat(words):
+    raw = "".join(words).encode()
+    ends = np.cumsum([len(w) for w in words])
+    return np.frombuffer(raw, np.uint8), np.concatenate([[0], ends[:-1]]), ends
 
 
 def test_empty(spark):
@@ -84,23 +111,36 @@ def test_empty(spark):
 
 @pytest.mark.parametrize("rule", [J.RULE, J.NEAR])
 def test_every_link_shares_a_key(rule):
-    """Sets at the edge of the threshold, of all sizes, with the prefix keys where parts stay empty."""
+    """Sets at the edge of the threshold, of all sizes, share a prefix shingle and pass by their bitmaps."""
     rng = np.random.default_rng(3)
-    missed = pairs = prefixed = 0
-    for n in [4, 5, 6, 7, 8, 9, 10, 12, 13, 17, 20, 25, 31, 40, 57, 80, 111, 200, 451, 1200]:
+    missed = pairs = 0
+    at = lambda x: np.array([0, len(x)])
+    for n in [4, 5, 6, 7, 8, 9, 10, 12, 13, 17, 20, 25, 31, 40, 57, 80, 111, 200, 451, 520, 1030, 1200, 2100]:
         for _ in range(60):
             common = rule.least(n)
             m = int(rng.integers(common, n + 1))
             both = common if m == common else -(-rule.num * (n + m) // (100 + rule.num))
             a = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
             b = np.sort(np.concatenate([rng.permutation(a)[:both], rng.integers(0, 2**63, m - both, dtype=np.uint64)]))
-            if 100 * both < rule.num * (n + m - both):
+            if 100 * both < rule.num * (n + m - both) or not len(np.setxor1d(a, b)):
                 continue
             pairs += 1
-            ka, kb = (J.keys(x, np.array([0, len(x)]), rule)[0] for x in (a, b))
-            missed += not len(np.intersect1d(ka, kb)) and len(np.setxor1d(a, b)) > 0
-            prefixed += len(ka) != len(np.unique(ka))
-    assert pairs > 500 and not missed
+            often = rng.permutation(np.union1d(a, b))[: int(rng.integers(0, n))]
+            order = J.Order(often, rng.integers(1, 9, len(often)))
+            ka, kb = (order.prefixes(x, at(x), rule)[0] for x in (a, b))
+            missed += not len(np.intersect1d(ka, kb))
+            own = J.Bitmaps(np.array([n, m]), J.bitmaps(np.concatenate([a, b]), np.array([0, n, n + m])), rule)
+            missed += not own.passing(np.array([0, 1]), np.array([1, 0])).all()
+    assert pairs > 400 and not missed
+
+
+def test_many_near_copies_take_seconds():
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.integers(0, 2**63, 31, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 31, 1)), rng.integers(0, 2**63, 1, dtype=np.uint64)])) for _ in range(8000)]
+    began = time.process_time()
+    assert len(J.search(sets)) == 7999
+    assert time.process_time() - began < 8
 
 
 def test_search_matches_all_pairs():

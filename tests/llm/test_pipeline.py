@@ -50,6 +50,23 @@ def test_one_of_each_group(stages):
     assert set(kept) == want and len(kept) == len(want) < len(rows)
 
 
+COPIES = [
+    (1, "a b c d e f g h", "en", "x", 15), (1, "a b c d e f g h", "de", "x", 15), (1, "other words of the very same id", "en", "x", 31), (None, "a b c d e f g h", "en", "x", 15), (2, "A B C D E F G H", "en", "x", 15),
+    (None, "words without an id at all", None, None, 26), (None, "words without an id at all", None, None, 26), (3, None, None, None, None), (4, "", None, None, 0), (3, None, None, None, None),
+]
+
+
+def test_repeated_ids_and_texts(spark, stages):
+    docs = spark.createDataFrame(COPIES, stages[0].schema).withColumn("group", F.lit(1)).withColumn("text_key", F.lit("x"))
+    got = sorted((str(r["doc_id"]), str(r["text"]), str(r["lang"])) for r in P.one_of_each_group(spark, docs, SF).collect())
+    assert got == [("1", "a b c d e f g h", "de"), ("1", "other words of the very same id", "en"), ("3", "None", "None"), ("4", "", "None"), ("None", "words without an id at all", "None")]
+
+
+def test_empty_tables(spark, stages):
+    for _, stage in P.STAGES:
+        assert stage(spark, stages[0].limit(0), SF).count() == 0
+
+
 def test_mix(stages):
     before, after = {r["doc_id"]: r for r in stages[3].collect()}, collections.defaultdict(list)
     for r in stages[4].collect():

@@ -8,18 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in local tests, one beside the warehouse."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../checkpoints"
+    """The folder in spark.checkpoint.dir; where that is unset, one beside the warehouse, in local mode alone: a cluster must name it."""
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir")
+    if not base:
+        if not conf.get("spark.master", "local").startswith("local") or conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../checkpoints"
     return base.rstrip("/")
 
 
-#: Rows that a Python worker is handed at once; the default of 10,000 may be a gigabyte of long texts.
-BATCH_ROWS = 500
+#: Rows and bytes that a Python worker is handed at once (one longer row is handed over whole); the defaults allow a gigabyte of long texts.
+BATCH_ROWS, BATCH_BYTES = 10_000, "1m"
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches small enough for two workers beside an executor's heap."""
+    """The session, with Arrow batches small enough for two workers beside an executor's heap.
+
+    A DataFrame's batches are made when it runs, so the setting has to stay; every operator with Python code makes it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -27,4 +36,14 @@ def settle(rows: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows, written as Parquet under a name of their own and read again."""
     path = f"{folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     rows.write.options(**options).parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again, for instance once what was made of them is settled."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.settled_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -19,6 +19,8 @@ from . import _fit, _shared, _text as T
 
 #: Texts that the machines are fitted on, about; twice as many at most.
 FIT_ROWS = 2_000
+#: Languages that are learned, at most.
+MOST_LANGS = 200
 BITS = 12
 #: Which languages are closely related; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -135,15 +137,24 @@ def fit(x: np.ndarray, lang: list[str], bits: int = BITS, families: dict[str, tu
 
 
 def fit_discriminator(docs: DataFrame, *, most: int = FIT_ROWS) -> Discriminator:
-    """Fit on a bounded sample of the texts with a language, a letter, and crc32(doc_id as text) mod 4 other than 2."""
-    rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fit.remainder(F.col("doc_id"), 4) != 2))
+    """Fit on a bounded sample of the texts with a language, a letter, and crc32(doc_id as text) mod 4 other than 2.
+
+    Each language has an equal share of the sample, or all its texts if these are fewer, so that a rare one is learned too; languages
+    beyond the MOST_LANGS most frequent ones aren't learned. Ids may be of any kind; a text of more than 1 MB isn't fitted on.
+    """
+    _shared.small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fit.remainder(F.col("doc_id"), 4) != 2) & (F.octet_length("text") <= 1 << 20))
+    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGS).collect()
+    each = most / max(1, len(counts))
+    odds = docs.sparkSession.createDataFrame([(r["lang"], int(1_000_003 * min(1.0, each / r["count"])) + 1) for r in counts], "lang string, odds long")
+    chosen = rows.join(F.broadcast(odds), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) < F.col("odds")).limit(2 * most)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in T.pieces(batches, "text", 1 << 20):
             x = shares(data, at)
-            yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["lang"], pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], ["doc_id", "lang", "shares"])
+            yield pa.RecordBatch.from_arrays([part["key"], part["lang"], pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], ["key", "lang", "shares"])
 
-    got = _fit.sample(rows, F.col("doc_id"), most).filter(F.col("text").rlike(r"\p{L}")).mapInArrow(shared, "doc_id long, lang string, shares binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    got = chosen.filter(F.col("text").rlike(r"\p{L}")).select(_fit.order_key().alias("key"), "lang", "text").mapInArrow(shared, "key long, lang string, shares binary").toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
     x = np.frombuffer(T.flat(got["shares"].combine_chunks())[0], np.float32).reshape(-1, 1 << BITS).copy() if got.num_rows else np.zeros((0, 1 << BITS), np.float32)
     return fit(x, got["lang"].to_pylist())
 
@@ -154,22 +165,24 @@ def identify(docs: DataFrame, model: Discriminator) -> DataFrame:
     A text that is null or has no letter is `und` with score 0; so is every text if no language was learned. Whole texts count. Equal
     texts get equal answers. Columns of docs named lang_pred or lang_score are replaced. An empty table gives no rows.
     """
+    _shared.small_batches(docs.sparkSession)
     rest = [f for f in docs.schema if f.name not in ("lang_pred", "lang_score")]
     names = ["lang_pred", "lang_score", *(f.name for f in rest)]
+    letter = "_" * (1 + max([0, *(len(f.name) for f in rest)]))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in T.pieces(batches, "text"):
-            letters = part["__letter"].to_numpy(zero_copy_only=False).astype(bool)
+            letters = part[letter].to_numpy(zero_copy_only=False).astype(bool)
             best, score = model.predict(data, at) if model.langs else (np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows))
             known = letters & bool(model.langs)
             lang = np.where(known, np.array(model.langs or [UNKNOWN], object)[best], UNKNOWN)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0)), *(part[f.name] for f in rest)], names)
 
-    rows = docs.select(*(f.name for f in rest), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    rows = docs.select(*(f.name for f in rest), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter))
     return rows.mapInArrow(named, "lang_pred string, lang_score double, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _shared.small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "text", (_fit.remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
     return identify(rows, fit_discriminator(docs)).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))

@@ -21,7 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 16
 SEED = 20240229
 #: Words of a shard, at least; and shards at most, besides one for each source.
-SHARD_WORDS, SHARDS = 1_000_000, 100_000
+SHARD_WORDS, SHARDS = 100_000, 100_000
+#: Rows of the tables of sources and shards that are sent to every task; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 SHARE, MOST_PASSES, WEIGHTS = 1.5, 2, (3, 1, 2)
 
 
@@ -83,6 +85,10 @@ def _coprime(n: int) -> int:
     return a
 
 
+def _sent(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def mix(docs: DataFrame, texts: bool = True) -> DataFrame:
     """All columns of docs with size, source_size, target, taken and the block columns that materialize() needs.
 
@@ -106,7 +112,7 @@ def mix(docs: DataFrame, texts: bool = True) -> DataFrame:
     words = max(SHARD_WORDS, -(-total // SHARDS))
     shards = {k: max(1, -(-n // words)) for k, n in zip(keys, sizes, strict=True)}
     of_source = spark.createDataFrame(list(zip(keys, sizes, target, [shards[k] for k in keys], strict=True)), "__key string, source_size long, target double, __shards long")
-    rows = rows.join(of_source, "__key").withColumn("__shard", F.pmod(F.col("__hash"), F.col("__shards"))).drop("__shards")
+    rows = rows.join(_sent(of_source, len(keys)), "__key").withColumn("__shard", F.pmod(F.col("__hash"), F.col("__shards"))).drop("__shards")
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in keys}
     for r in rows.groupBy("__key", "__shard").agg(F.sum("size").alias("size")).collect():
         found[r["__key"]].append((r["__shard"], r["size"]))
@@ -119,7 +125,7 @@ def mix(docs: DataFrame, texts: bool = True) -> DataFrame:
             passes, some = divmod(n, b) if b else (0, 0)
             table.append((k, shard, passes, some, _coprime(b) if b else 1, random.Random(f"{SEED}/{k}/{shard}").randrange(max(1, b)), max(1, b)))
     of_shard = spark.createDataFrame(table, "__key string, __shard long, __passes long, __some long, __step long, __shift long, __blocks long")
-    rows = rows.join(of_shard, ["__key", "__shard"])
+    rows = rows.join(_sent(of_shard, len(table)), ["__key", "__shard"])
     line = Window.partitionBy("__key", "__shard").orderBy("__hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__start", F.sum("size").over(line) - F.col("size"))
     end = F.col("__start") + F.col("size")

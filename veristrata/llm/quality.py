@@ -19,6 +19,8 @@ from . import _fit, _shared, _text as T
 
 #: Labelled rows that the field is fitted on, about; twice as many at most.
 FIT_ROWS = 2_500
+#: Bytes of their texts, about, at most.
+FIT_BYTES = 16 << 20
 #: A document is kept (predicted 1) from this score on.
 KEEP = 0.3
 
@@ -178,8 +180,8 @@ def fit(data: np.ndarray, at: np.ndarray, label: np.ndarray, *, rounds: int = 2)
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, label: str = "quality", *, most: int = FIT_ROWS) -> Field:
-    """Fit on a bounded sample of labelled rows whose crc32(doc_id as text) mod 5 isn't 0."""
-    rows = _fit.labelled_texts(docs, labels, label, 5, 0, most).toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+    """Fit on a bounded sample of labelled rows whose crc32(doc_id as text) mod 5 isn't 0. Ids may be of any kind."""
+    rows = _fit.labelled_texts(docs, labels, label, 5, 0, most, FIT_BYTES).toArrow().sort_by([("key", "ascending")]).combine_chunks()
     text = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
     return fit(*T.flat(text), rows["label"].to_numpy().astype(np.float64))
 
@@ -190,6 +192,7 @@ def score_quality(docs: DataFrame, field: Field) -> DataFrame:
     A null or empty text has no line, so its mean chance is 0 and it scores the lowest. One very long line is one line. Equal texts
     score alike. An empty table gives no rows. Columns of docs named score or predicted are replaced.
     """
+    _shared.small_batches(docs.sparkSession)
     rest = [f for f in docs.schema if f.name not in ("score", "predicted")]
     names = ["score", "predicted", *(f.name for f in rest)]
 
@@ -202,7 +205,6 @@ def score_quality(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _shared.small_batches(spark)
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_quality(docs.select("doc_id", "text", (_fit.remainder(F.col("doc_id"), 5) == 0).alias("held_out")), fit_field(docs, labels))
     return scored.select("doc_id", "held_out", "score", "predicted")

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import _fit, _text as T
+from . import _fit, _shared, _text as T
 
 #: Labelled rows that the machine is fitted on, about; twice as many at most.
 FIT_ROWS = 12_000
@@ -30,6 +30,9 @@ LEAST_TEXTS = 4
 #: A bucket takes part if its share of toxic texts is so many standard errors from that of all texts, or if so large a part of the
 #: texts hold it that its pairs can be told from chance.
 CLEAR, COMMON = 3.5, 0.2
+#: Buckets also take part in pairs: if the share of toxic texts among those that hold both is so many standard errors from what
+#: their own shares add up to. Pairs are tried among so many of the most frequent buckets, if so many texts hold both.
+CLEAR_PAIR, PAIRED, LEAST_BOTH = 6.5, 1_024, 8
 
 
 @dataclass
@@ -82,7 +85,32 @@ def terms(data: np.ndarray, at: np.ndarray, bits: int = BITS) -> tuple[np.ndarra
     return key & ((1 << bits) - 1), np.searchsorted(key >> bits, np.arange(len(at)))
 
 
-def fit(buckets: np.ndarray, at: np.ndarray, label: np.ndarray, *, bits: int = BITS, k: int = FACTORS, epochs: int = 12, rate: float = 0.08, l2: float = 1e-3, seed: int = 7) -> Machine:
+def telling_pairs(buckets: np.ndarray, at: np.ndarray, label: np.ndarray, held: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Buckets of pairs that say more together than apart, such as two words that are harmless alone."""
+    rows, share = len(label), float(label.mean())
+    often = np.flatnonzero((held >= LEAST_BOTH) & (held <= rows / 2))
+    often = np.sort(often[np.argsort(-held[often], kind="stable")[:PAIRED]])
+    place = np.full(len(held), -1)
+    place[often] = np.arange(len(often))
+    column = place[buckets]
+    inside = column >= 0
+    both, bad = np.zeros((2, len(often), len(often)), np.float32)
+    row = np.repeat(np.arange(rows), np.diff(at))[inside]
+    column = column[inside]
+    for i in range(0, rows, 2_000):  # a part of the texts at a time
+        j, k = np.searchsorted(row, [i, i + 2_000])
+        x = np.zeros((min(2_000, rows - i), len(often)), np.float32)
+        x[row[j:k] - i, column[j:k]] = 1
+        both += x.T @ x
+        bad += (x * label[i : i + 2_000, None]).T @ x
+    own = toxic[often] / np.maximum(held[often], 1)
+    wanted = np.clip(own[:, None] + own[None, :] - share, share / 4, 1 - share / 4)
+    apart = np.abs(bad - wanted * both) / np.sqrt(wanted * (1 - wanted) * both + 1e-9)
+    apart[(both < LEAST_BOTH) | np.eye(len(often), dtype=bool)] = 0
+    return often[(apart >= CLEAR_PAIR).any(axis=0)]
+
+
+def fit(buckets: np.ndarray, at: np.ndarray, label: np.ndarray, *, bits: int = BITS, k: int = FACTORS, epochs: int = 24, rate: float = 0.08, l2: float = 5e-4, seed: int = 7) -> Machine:
     """Adagrad on the log loss, in batches. No rows, or labels of one kind, give a constant score."""
     size = 1 << bits
     rng = np.random.default_rng(seed)
@@ -94,6 +122,7 @@ def fit(buckets: np.ndarray, at: np.ndarray, label: np.ndarray, *, bits: int = B
         toxic = np.bincount(buckets, np.repeat(label, np.diff(at)), size)
         sure = np.abs(toxic - share * held) >= CLEAR * np.sqrt(share * (1 - share) * held + 1e-9)
         used = (held >= LEAST_TEXTS) & (sure | (held >= COMMON * len(label)))
+        used[telling_pairs(buckets, at, label, held, toxic)] = True
         factors[used] = rng.normal(0, 0.02, (int(used.sum()), k))
         keep = used[buckets]
         n = T.summed(keep.astype(np.int64), at)
@@ -128,14 +157,15 @@ def fit(buckets: np.ndarray, at: np.ndarray, label: np.ndarray, *, bits: int = B
 
 
 def fit_machine(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most: int = FIT_ROWS) -> Packed:
-    """Fit on a bounded sample of labelled rows whose crc32(doc_id as text) mod 5 isn't 0."""
+    """Fit on a bounded sample of labelled rows whose crc32(doc_id as text) mod 5 isn't 0. Ids may be of any kind."""
+    _shared.small_batches(docs.sparkSession)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in T.pieces(batches, "text"):
             buckets, at = terms(data, at)
-            yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["label"].cast(pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(buckets, pa.int32()))], ["doc_id", "label", "terms"])
+            yield pa.RecordBatch.from_arrays([part["key"], part["label"].cast(pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(buckets, pa.int32()))], ["key", "label", "terms"])
 
-    rows = _fit.labelled_texts(docs, labels, label, 5, 0, most).mapInArrow(features, "doc_id long, label int, terms array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    rows = _fit.labelled_texts(docs, labels, label, 5, 0, most).mapInArrow(features, "key long, label int, terms array<int>").toArrow().sort_by([("key", "ascending")])
     lists = rows["terms"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
     at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
     return fit(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), at, rows["label"].to_numpy().astype(np.float32)).packed()
@@ -153,6 +183,7 @@ def score_toxicity(docs: DataFrame, machine: Packed) -> DataFrame:
             score = machine.score(*terms(data, at))
             yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
+    _shared.small_batches(docs.sparkSession)
     rows = docs.select("doc_id", (_fit.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return rows.mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 

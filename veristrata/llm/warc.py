@@ -196,6 +196,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
         if pending:
             yield flush()
 
+    _shared.small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "payload", "digest", "payload_bytes", "refers_to").mapInArrow(archived, ARCHIVE)
 
 
