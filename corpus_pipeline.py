@@ -45,8 +45,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     rows = docs.select(COLUMNS).withColumn("text_key", ngram_join.text_key(F.col("text")))
     same = lambda other: rows["doc_id"].eqNullSafe(other["doc_id"]) & (rows["text_key"] == other["text_key"])
-    gone = _shared.settle(ngram_join.repeated(docs), "pipeline-repeated")
+    gone = _shared.sent(_shared.settle(ngram_join.repeated(docs), "pipeline-repeated"))
     again = _shared.settle(rows.groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key"), "pipeline-equal")
+    again = _shared.sent(again)
     if again.isEmpty():
         return rows.join(gone, same(gone), "left_anti").select(COLUMNS)
     rest = [c for c in COLUMNS if c != "doc_id"]

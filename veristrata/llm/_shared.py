@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -41,6 +41,15 @@ def settle(rows: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+#: Rows of a settled table of a few numbers each that are sent to every task; a longer one is joined by a shuffle.
+SENT_ROWS = 500_000
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A settled table, to be sent to every task if it has SENT_ROWS rows at most."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete settled tables that nothing will read again, for instance once what was made of them is settled."""
     for table in tables:

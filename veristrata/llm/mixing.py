@@ -22,8 +22,6 @@ BLOCK = 16
 SEED = 20240229
 #: Words of a shard, at least; and shards at most, besides one for each source.
 SHARD_WORDS, SHARDS = 100_000, 100_000
-#: Rows of the tables of sources and shards that are sent to every task; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 SHARE, MOST_PASSES, WEIGHTS = 1.5, 2, (3, 1, 2)
 
 
@@ -86,7 +84,7 @@ def _coprime(n: int) -> int:
 
 
 def _sent(table: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+    return F.broadcast(table) if rows <= _shared.SENT_ROWS else table
 
 
 def mix(docs: DataFrame, texts: bool = True) -> DataFrame:

@@ -71,8 +71,6 @@ BLOCK_POSTINGS, LEADERS = 2_000_000, 16
 PIVOTS, HEAPED = 64, 4_096
 #: Names that a map task remembers, so as not to send them twice.
 REMEMBERED = 1_000_000
-#: Document ids that are sent to every task; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def nodes(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -558,7 +556,7 @@ def links(docs: DataFrame, known: DataFrame, grouped: DataFrame, rule: Rule = RU
 
     members = blocks(candidates(grouped, known.drop("doc_id"), rule))
     wanted = members.select(F.col("doc_id").alias("__id")).distinct()
-    few = wanted.count() <= BROADCAST_ROWS
+    few = wanted.count() <= _shared.SENT_ROWS
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -635,7 +633,7 @@ def grouped_documents(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     grouped = _shared.settle(groups(docs, common_order(found.filter("node is null").select("shingle", "times")), rule), "ngram-groups")
     roots = components(links(docs, known, grouped, rule), "ngram-links")
     _shared.drop(grouped)
-    full = full.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    full = full.join(_shared.sent(roots), "node", "left").withColumn("group", F.coalesce("root", "node"))
     columns = ["doc_id", "text_key", "n_shingles", "group"]
     return full.select(columns).unionByName(named.filter("n_shingles = 0").withColumn("group", F.lit(None).cast("long")).select(columns))
 
@@ -649,7 +647,9 @@ def join_documents(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """
     rows = _shared.settle(grouped_documents(docs, rule).drop("text_key"), "ngram-grouped")
     full = rows.filter("group is not null")
-    linked = full.join(full.groupBy("group").agg(F.min("doc_id").alias("component_id")), "group").select("doc_id", "n_shingles", "component_id")
+    least = _shared.settle(full.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "ngram-least")
+    linked = full.join(_shared.sent(least.withColumn("several", F.lit(True))), "group", "left")
+    linked = linked.select("doc_id", "n_shingles", F.when(F.col("several"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return linked.unionByName(rows.filter("group is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -657,8 +657,8 @@ def repeated(docs: DataFrame, rule: Rule = NEAR) -> DataFrame:
     """(doc_id, text_key) of the rows of docs that aren't the first of their group: the first has the smallest doc_id, null last, then the smallest text_key."""
     rows = _shared.settle(grouped_documents(docs, rule).filter("group is not null").select("doc_id", "text_key", "group").distinct(), "ngram-grouped")
     first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = first.select("group", F.col("f.doc_id").alias("__id"), F.col("f.text_key").alias("__key"))
-    return rows.join(first, "group").filter(~(F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))).select("doc_id", "text_key").distinct()
+    first = _shared.settle(first.select("group", F.col("f.doc_id").alias("__id"), F.col("f.text_key").alias("__key")), "ngram-first")
+    return rows.join(_shared.sent(first), "group").filter(~(F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))).select("doc_id", "text_key").distinct()
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
