@@ -38,7 +38,7 @@ def test_choices(spark):
             continue
         want = []
         for a in range(max(1, len(runs) - 7)):
-            window = [(x >> 24, -(a + j)) for j, x in enumerate(runs[a : a + 8])]
+            window = [(x >> 31, -(a + j)) for j, x in enumerate(runs[a : a + 8])]
             best = min(window)
             if (best[0], -best[1]) not in want:
                 want.append((best[0], -best[1]))
@@ -64,4 +64,19 @@ def test_query(spark):
     assert sum(r["near_edited"] for r in long) / len(long) > 0.35 and all(0 <= r["near_next"] <= 1 for r in got)
     assert Wn.fingerprints(docs.limit(0)).count() == 0
     one = Wn.fingerprints(docs.filter("doc_id = 10000000")).collect()
-    assert one[0]["near_next"] == 1.0 and one[0]["fingerprint"] == ""
+    assert one[0]["near_next"] == 1.0 and one[0]["fingerprint"] == one[0]["positions"] == ""
+
+
+def test_match_guarantee_and_positions(spark):
+    """Any passage of w + k - 1 units in two texts leaves them a hash in common, and the positions point at it in both."""
+    rng = random.Random(12)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    rows, spots = [], []
+    for i in range(40):
+        passage = [word() for _ in range(Wn.W + Wn.K - 1)]
+        a, b = ([word() for _ in range(rng.randint(0, 40))] for _ in range(2))
+        spots.append((len(a), len(b)))
+        rows += [(2 * i, " ".join(a + passage + [word() for _ in range(9)])), (2 * i + 1, " ".join(b + passage))]
+    got = {r["doc_id"]: list(zip(r["fingerprint"].split(), map(int, r["positions"].split()))) for r in Wn.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (a, b) in enumerate(spots):
+        assert any(h == g and p - a == q - b and 0 <= p - a < Wn.W for h, p in got[2 * i] for g, q in got[2 * i + 1])

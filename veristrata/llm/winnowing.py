@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 K, W = 4, 8
-#: Bits of a choice that hold its position (counted down, so that of equal hashes the rightmost is least); positions beyond repeat.
-POSITION_BITS = 23
+#: Bits of a choice that hold its position (counted down, so that of equal hashes the rightmost is least). A string has at most 2^31
+#: bytes and a unit takes two at least, so every position fits.
+POSITION_BITS = 30
 _LAST = (1 << POSITION_BITS) - 1
 #: Buckets of neighbouring ids for each shuffle partition, and at most.
 BUCKETS, MOST_BUCKETS = 4, 2_000
@@ -28,7 +29,7 @@ def _behind(column: str, n: int) -> Column:
 
 
 def with_choices(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """rows with `out`: the text's choices in order of position, each a long of 40 hash bits over 23 position bits. Null or blank: none.
+    """rows with `out`: the text's choices in order of position, each a long of 33 hash bits over 30 position bits. Null or blank: none.
 
     A text of fewer than k units is one run; one of fewer than w runs is one window.
     """
@@ -40,7 +41,7 @@ def with_choices(rows: DataFrame, text: str, out: str) -> DataFrame:
         rows = rows.withColumn(h, F.when(F.size(h) > span, F.zip_with(h, _behind(h, span), lambda a, b: F.when(b.isNull(), a).otherwise(_left(a, span).bitwiseXOR(b)))).otherwise(F.col(h)))  # noqa: B023
         span *= 2
     # runs that end behind the text aren't whole: only the first n - k + 1 count; a short text's first run holds all its units
-    rows = rows.withColumn(g, F.transform(F.slice(h, F.lit(1), F.when(F.col(n) == 0, 0).otherwise(F.greatest(F.col(n) - (K - 1), F.lit(1)))), lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 64 - (63 - POSITION_BITS)), POSITION_BITS).bitwiseOR((F.lit(_LAST) - i % (_LAST + 1)).cast("long"))))
+    rows = rows.withColumn(g, F.transform(F.slice(h, F.lit(1), F.when(F.col(n) == 0, 0).otherwise(F.greatest(F.col(n) - (K - 1), F.lit(1)))), lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 64 - (63 - POSITION_BITS)), POSITION_BITS).bitwiseOR((F.lit(_LAST) - i).cast("long"))))
     rows = rows.withColumn(n, F.size(g))
     span = 1
     while span < W:
@@ -64,6 +65,11 @@ def spelled(choices: str) -> Column:
     return F.array_join(F.transform(choices, lambda x: F.lower(F.hex(F.shiftrightunsigned(x, POSITION_BITS)))), " ")
 
 
+def placed(choices: str) -> Column:
+    """The positions of the fingerprint's hashes: the number of the first unit of each chosen run, counted from 0."""
+    return F.array_join(F.transform(choices, lambda x: (F.lit(_LAST) - x.bitwiseAND(F.lit(_LAST))).cast("string")), " ")
+
+
 def likeness(a: str, b: str) -> Column:
     """Jaccard likeness of two arrays of distinct hashes; 1 for two empty ones."""
     both = F.size(F.array_intersect(a, b))
@@ -97,8 +103,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """The fingerprint of each text and of an edited text: its last third replaced by the start of the next document.
 
     docs has doc_id and text; a null text is empty. The next document is that with the next smaller doc_id (of equal ids, ordered by
-    a hash of the text), and the first one's after the last. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next;
-    one row for each row; extra columns are ignored. Equal texts have equal fingerprints; an empty one has an empty fingerprint.
+    a hash of the text), and the first one's after the last. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    and positions and edited_positions, which go with the hashes of the fingerprints one by one; one row for each row; extra columns are ignored. Equal texts have equal fingerprints; an empty one has an empty fingerprint.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(with_choices(rows, "text", "chosen"), "doc_id", F.xxhash64("text"), ["text", "chosen"])
@@ -111,6 +117,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spelled("chosen").alias("fingerprint"), spelled("edited_chosen").alias("edited_fingerprint"),
         likeness(own, edited).alias("near_edited"), likeness(own, follower).alias("near_next"),
+        placed("chosen").alias("positions"), placed("edited_chosen").alias("edited_positions"),
     )
 
 
