@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 from veristrata.llm import warc as W
 
@@ -70,4 +71,16 @@ def test_query(spark):
         assert r["type"] == ("revisit" if r["refers_to"] else "response")
         if r["type"] == "response":
             assert bytes(r["payload"]) == own.encode()
+    named = pages.filter("page_id in (3, 7)").selectExpr("concat('p/', page_id) as page_id", "url", "html")
+    got = W.read_archives(W.write_archives(W.deduplicated(named)), page_id="string").collect()
+    assert sorted((r["page_id"], r["refers_to"]) for r in got) == [("p/3", None), ("p/3", None), ("p/7", "p/3")]
     assert W.read_archives(W.write_archives(W.deduplicated(pages.limit(0)))).count() == 0
+
+
+def test_large_archives_take_linear_time():
+    payloads = [bytes([i % 251]) * 300_000 + random.Random(i).randbytes(20_000) for i in range(400)]
+    for plain in (False, True):
+        data = b"".join(archive(payloads, plain))
+        began = time.process_time()
+        assert sum(1 for f in W.read(data) if f.type == "response") == 400
+        assert time.process_time() - began < 8

@@ -26,6 +26,9 @@ BROADCAST_ROWS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r?\n")
+_BLANK = re.compile(rb"\r?\n\r?\n")
+#: Longer headers are damage; so a search for their end costs no more.
+HEADER_BYTES = 1 << 20
 
 
 @dataclass
@@ -56,7 +59,7 @@ def _parse(data: bytes, at: int) -> tuple[Found | None, str]:
     m = _VERSION.match(data, at)
     if not m:
         return None, "no version line"
-    end = re.compile(rb"\r?\n\r?\n").search(data, m.end() - 1)
+    end = _BLANK.search(data, m.end() - 1, m.end() + HEADER_BYTES)
     if not end:
         return None, "no end of headers"
     headers: dict[str, str] = {}
@@ -200,20 +203,25 @@ def write_archives(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "payload", "digest", "payload_bytes", "refers_to").mapInArrow(archived, ARCHIVE)
 
 
-RECORD = "archive string, offset long, length long, type string, reason string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+RECORD = "archive string, offset long, length long, type string, reason string, page_id {0}, url string, payload_bytes long, payload_digest string, refers_to {0}, payload binary"
 
 
-def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, payloads: bool = True, page_id: str = "long") -> DataFrame:
     """A row for each record and each quarantined gap (type `gap`) of archives(archive, content).
 
     A response's payload length and digest are those of its block as read; a revisit's are those that its headers state. Null and
-    empty archives have no rows. payloads=False leaves the payload column null.
+    empty archives have no rows. payloads=False leaves the payload column null. page_id names the type of the pages' ids; an id that
+    isn't of it is read as null.
     """
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = lambda h, k: int(x) if (x := h.get(k, "").removeprefix("<urn:page:").removesuffix(">")).lstrip("-").isdigit() else None
+        def ids(headers: dict[str, str], key: str) -> int | str | None:
+            name = headers.get(key, "").removeprefix("<urn:page:").removesuffix(">")
+            return (name or None) if page_id == "string" else int(name) if name.removeprefix("-").isdigit() else None
+
+        kind = pa.string() if page_id == "string" else pa.int64()
         names = [x.split(" ")[0] for x in RECORD.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), kind, pa.string(), pa.int64(), pa.string(), kind, pa.binary()]
         for part in batches:
             for archive, content in zip(part["archive"].to_pylist(), part["content"], strict=True):
                 rows = []
@@ -226,7 +234,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return archives.select("archive", "content").mapInArrow(scanned, RECORD)
+    _shared.small_batches(archives.sparkSession)
+    return archives.select("archive", "content").mapInArrow(scanned, RECORD.format(page_id))
 
 
 def deduplicated(pages: DataFrame) -> DataFrame:
@@ -249,5 +258,5 @@ def deduplicated(pages: DataFrame) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     archives = _shared.settle(write_archives(deduplicated(pages)), "warc-archives", compression="none")
-    found = read_archives(archives, payloads=False).filter(F.col("type").isin("response", "revisit"))
+    found = read_archives(archives, payloads=False, page_id="string" if pages.schema["page_id"].dataType.simpleString() == "string" else "long").filter(F.col("type").isin("response", "revisit"))
     return found.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
