@@ -51,8 +51,9 @@ def test_assignment_is_best():
                     best = max(best, (len(part), round(sum(e[2] for e in part), 6)))
         got = matching.assign(edges)
         assert (len(got), round(sum(e[2] for e in got), 6)) == best
-    many = [(i, j, 1.0 if i == j else 0.8) for i in range(25) for j in range(25)]
-    assert matching.assign(many) == [(i, i, 1.0) for i in range(25)]
+    many = [(i, j, 1.0 if i == j else 0.8) for i in range(60) for j in range(60)]
+    assert matching.assign(many) == [(i, i, 1.0) for i in range(60)]
+    assert matching.assign([]) == []
 
 
 def test_matches(spark):
@@ -77,9 +78,6 @@ def test_assertions(spark):
         assert r["assertion"] == r["want"], r
     s = spark.createDataFrame([("It may rain", "possible"), ("not only rain", "present"), ("no rain", "absent"), (None, "present")], "s string, want string").select("want", assertion.of_sentence(F.col("s")).alias("got"))
     assert all(r["want"] == r["got"] for r in s.collect())
-    p = spark.createDataFrame([("no fever", "fever", "absent", "fever", 1.0, "assertion_conflict"), ("no fever", "no fever", "absent", "fever", 1.0, "direct_quote"), ("Sodium, 128", "x", "present", "sodium 128", 0.9, "normalized"), ("a", "x", "present", None, 0.0, "unsupported"), ("abc", "x", "present", "q", 0.5, "inferential"), (None, None, "present", "q", 0.1, "unsupported")], "source string, label string, status string, quote string, best double, want string")
-    for r in p.select("want", assertion.provenance_type(F.col("quote"), F.col("source"), F.col("label"), F.col("status"), F.col("best")).alias("got")).collect():
-        assert r["want"] == r["got"], r
 
 
 def test_exact_test(spark):

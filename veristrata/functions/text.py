@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, functions as F
 
 # Words that carry no content when quotes are matched with their source.
@@ -13,14 +17,52 @@ STOP_WORDS = [
 ]
 
 
+# A number and a unit of dose, words of ASCII characters on both sides' boundaries.
+DOSE = r"(?<![A-Za-z0-9_])\d+(?:\.\d+)?\s*(?:mg|mcg|g|units?|ml|meq)(?![A-Za-z0-9_])"
+
+
+def bounded(pattern: str) -> str:
+    """The pattern between boundaries of ASCII words, whatever its case; its alternatives share the boundaries."""
+    return f"(?i)(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
+
+
 def normal_exact(x: Column) -> Column:
     """Lower case, white space as single spaces, trimmed."""
     return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
 
 
+@cache
+def _compatible() -> tuple[dict[str, str], str]:
+    """Characters whose NFKC form holds an ASCII letter, digit or full stop, with that form; a pattern of letters that a mark composes with."""
+    forms, composed = {}, {}
+    for c in range(0x80, sys.maxunicode + 1):
+        form = unicodedata.normalize("NFKC", chr(c))
+        if form != chr(c) and any(x < "\x80" and (x.isalnum() or x == ".") for x in form):
+            forms[chr(c)] = form
+        parts = unicodedata.normalize("NFD", chr(c))
+        if len(parts) > 1 and parts[0] < "\x80" and parts[0].isalpha() and unicodedata.normalize("NFC", parts[:2]) != parts[:2]:
+            composed.setdefault(parts[0], set()).add(parts[1])
+    return forms, "|".join(f"{a}[{''.join(sorted(marks))}]" for a, marks in sorted(composed.items()))
+
+
+def nfkc_ascii(x: Column) -> Column:
+    """x with the ASCII letters, digits and full stops that its NFKC form has; other characters that this form changes may stay or become spaces.
+
+    All inside the JVM: texts of ASCII alone are left as they are, and only those with a character whose form has several go through a map.
+    """
+    forms, composed = _compatible()
+    single = {c: f for c, f in forms.items() if len(f) == 1}
+    several = {c: f for c, f in forms.items() if len(f) > 1}
+    plain = F.translate(x, "".join(single), "".join(single.values()))
+    table = F.create_map(*(F.lit(v) for pair in several.items() for v in pair))
+    spelled = F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(c > "\x7f", F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")
+    marked = F.when(plain.rlike(f"[{''.join(several)}]"), spelled).otherwise(plain)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(marked, composed, " ")).otherwise(x)
+
+
 def normal_loose(x: Column) -> Column:
-    """Lower case, [**...**] marks dropped, everything but ASCII letters, digits and full stops as single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"\[\*\*.*?\*\*\]", " "), r"[^a-z0-9.]+", " "))
+    """NFKC, lower case, [**...**] marks dropped, everything but ASCII letters, digits and full stops as single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(nfkc_ascii(x)), r"\[\*\*[^\]]+\*\*\]", " "), r"[^a-z0-9.]+", " "))
 
 
 def normal_quote(x: Column) -> Column:
@@ -30,7 +72,7 @@ def normal_quote(x: Column) -> Column:
 
 def normal_dose(x: Column) -> Column:
     """A drug's name without its doses."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"\d+(?:\.\d+)?\s*(?:mg|mcg|g|units?|ml|meq)", " "), r"[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(normal_exact(x), DOSE, ""), r"[^a-z0-9]+", " "))
 
 
 def normal_cluster(x: Column) -> Column:

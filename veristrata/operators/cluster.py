@@ -16,22 +16,27 @@ def exact_groups(docs: DataFrame, form=T.normal_cluster) -> DataFrame:
     return docs.groupBy(F.sha2(form(F.col("text")), 256).alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
 
 
-def simhash(docs: DataFrame, most: int = 1500) -> DataFrame:
-    """(doc_id, fp): 64-bit SimHash over word trigrams, taken at a stride that keeps to about `most`.
+def simhash(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, fp): 64-bit SimHash over all word trigrams; with `most`, over those at a stride that keeps to about so many.
 
     Each trigram's first eight SHA-256 bytes vote on every bit, and a tie counts as one; so a text without a trigram has all ones.
-    The votes are summed over an array inside the row: nothing is exploded or shuffled.
+    Trigrams are exploded and the votes on two bits at a time summed in halves of a long, before anything is shuffled.
     """
-    words = F.filter(F.split(T.normal_cluster(F.col("text")), " "), lambda w: w != "")
-    rows = docs.select("doc_id", words.alias("w")).withColumn("k", F.greatest(F.size("w") - 2, F.lit(0)))
-    stride = F.greatest(F.lit(1), F.floor(F.greatest(F.lit(1), F.col("k")) / most)).cast("int")
-    starts = F.when(F.col("k") > 0, F.sequence(F.lit(1), F.col("k"), stride)).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: F.conv(F.substring(F.sha2(F.array_join(F.slice("w", i, 3), " "), 256), 1, 16), 16, -10).cast("long"))
-    rows = rows.select("doc_id", hashed.alias("h")).withColumn("n", F.size("h"))
-    one = lambda b: F.size(F.filter("h", lambda x: F.shiftrightunsigned(x, b).bitwiseAND(1) == 1)) * 2 >= F.col("n")
+    words = F.filter(F.split(T.normal_cluster(F.coalesce("text", F.lit(""))), " "), lambda w: w != "")
+    rows = docs.select("doc_id", words.alias("w"), F.monotonically_increasing_id().alias("row"))
+    grams = T.ngrams(F.col("w"), 3)
+    if most is not None:
+        stride = F.greatest(F.lit(1), F.floor(F.greatest(F.lit(1), F.size("w") - 2) / most))
+        grams = F.filter(grams, lambda _, i: i % stride == 0)
+    rows = rows.select("doc_id", "row", F.explode_outer(grams).alias("g"))
+    rows = rows.select("doc_id", "row", F.conv(F.substring(F.sha2("g", 256), 1, 16), 16, -10).cast("long").alias("h"))
+    votes = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"v{b}") for b in range(32)]
+    rows = rows.groupBy("row", "doc_id").agg(F.count("h").alias("n"), *votes)
     value = F.lit(0).cast("long")
-    for b in range(64):
-        value = value.bitwiseOR(F.when(one(b), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    for b in range(32):
+        low, high = F.col(f"v{b}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"v{b}", 32)
+        for half, bit in ((low, b), (high, b + 32)):
+            value = value.bitwiseOR(F.when(F.coalesce(half, F.lit(0)) * 2 >= F.col("n"), F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long")))
     return rows.select("doc_id", value.alias("fp"))
 
 
@@ -39,14 +44,21 @@ def simhash(docs: DataFrame, most: int = 1500) -> DataFrame:
 CHUNK = 2048
 
 
+def bands_for(most: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of most + 1 bands of a fingerprint: two that differ in `most` bits agree on one of them at least."""
+    cuts = [64 * i // (most + 1) for i in range(most + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def _near_prints(nodes: DataFrame, most: int, schema: str, found) -> DataFrame:
     """found(values, i, j, distance) of each pair of chunks of nodes(fp), distinct: places of the pairs that share a band and differ in `most` bits.
 
     All pairs of a bucket are compared, however large it is: its chunks meet two by two, each two in a group of their own. A pair that
     shares several bands is found at its first.
     """
-    bands = nodes.select("fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", 8 * b).bitwiseAND(255) for b in range(8)])).alias("band", "value"))
-    # 2048 rows at most
+    cut = bands_for(most)
+    bands = nodes.select("fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", a).bitwiseAND((1 << n) - 1) for a, n in cut])).alias("band", "value"))
+    # no more rows than bands have values
     sizes = bands.groupBy("band", "value").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     dealt = bands.join(F.broadcast(sizes), ["band", "value"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -65,7 +77,7 @@ def _near_prints(nodes: DataFrame, most: int, schema: str, found) -> DataFrame:
             a, b = a + at, b + start
             new = a < b
             for k in range(band):
-                new &= (x >> np.uint64(8 * k)) & np.uint64(255) != 0
+                new &= (x >> np.uint64(cut[k][0])) & np.uint64((1 << cut[k][1]) - 1) != 0
             hits.append((a[new], b[new], np.bitwise_count(x[new]).astype(np.int32)))
         return found(values, *(np.concatenate(c) if hits else np.zeros(0, np.int64) for c in zip(*hits, strict=True)))
 
@@ -73,7 +85,7 @@ def _near_prints(nodes: DataFrame, most: int, schema: str, found) -> DataFrame:
 
 
 def hamming_pairs(prints: DataFrame, most: int = 10) -> DataFrame:
-    """(a, b, distance) of all fingerprints that share one of eight 8-bit bands and differ in `most` bits; equal ones are pairs too.
+    """(a, b, distance) of all fingerprints that differ in `most` bits at the most; equal ones are pairs too.
 
     Distinct values are compared, then their documents are joined to the pairs of values.
     """
@@ -127,15 +139,25 @@ def settle(df: DataFrame, name: str = "connected") -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(id, root): smallest id connected to each id of edges(a, b); labels spread along edges until none changes."""
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("root")))
+    """(id, root): smallest id connected to each id of edges(a, b), by alternating large and small stars, in rounds that grow with the logarithm of the ids.
+
+    Minima are pre-aggregated and settled, so no node's edges are gathered and a hot node's rows can be split in the join.
+    """
+    pair = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    now = settle(edges.select(pair("a", "b").alias("e")).select("e.*").distinct())
+    ids = settle(now.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    mark = None
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        new = settle(labels.join(near, "id").select("id", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved")))
-        if new.filter("moved").isEmpty():
-            return new.select("id", "root")
-        labels = new.select("id", "root")
+        own = now.filter("a != b")
+        both = own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = settle(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
+        lower = settle(large.groupBy("a").agg(F.min("b").alias("m")))
+        now = settle(large.join(lower, "a").select(F.explode(F.array(pair("b", "m"), pair("a", "m"))).alias("e")).select("e.*").filter("a != b").distinct())
+        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if seen == mark or seen[0] == 0:
+            return ids.join(now.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+        mark = seen
 
 
 def tfidf_top(docs: DataFrame, top: int = 5, least: int = 3, most: float = 0.85) -> DataFrame:
@@ -147,7 +169,3 @@ def tfidf_top(docs: DataFrame, top: int = 5, least: int = 3, most: float = 0.85)
     rows = tf.join(df, "token").select("doc_id", "token", weight.alias("weight"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "token"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= top).select("doc_id", "rank", "token", "weight")
-
-
-def simhash_value(fp: Column) -> Column:
-    return fp.cast("string")

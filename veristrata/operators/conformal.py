@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -51,13 +54,20 @@ def benjamini_hochberg(tests: DataFrame, key: str, q: float) -> DataFrame:
     return tests.join(F.broadcast(cut)).select(key, "p", F.coalesce(F.col("p") <= F.col("cut"), F.lit(False)).alias("selected"))
 
 
+def ranked(rows: DataFrame, score: str, group: list[str], rank) -> DataFrame:
+    """(group..., n, q): of each group's n scores the smallest one with at least rank(n) scores at or below it; null where there are fewer.
+
+    Found from counts by distinct score, so a group's rows are never gathered.
+    """
+    by = rows.groupBy(F.col(score).alias("__score"), *group).agg(F.count(F.lit(1)).alias("__k"))
+    n = by.groupBy(*group).agg(F.sum("__k").alias("n"))
+    at = running(by, "__score", group).join(n, group)
+    return n.join(at.filter(F.col("__k__below") >= rank(F.col("n"))).groupBy(*group).agg(F.min("__score").alias("q")), group, "left")
+
+
 def quantiles(rows: DataFrame, score: str, alpha: float, group: list[str]) -> DataFrame:
-    """Conformal quantile of each group: the ceil((n + 1)(1 - alpha))-th smallest score, infinite beyond n."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    k = F.row_number().over(Window.partitionBy(*group).orderBy(score))
-    own = rows.withColumn("__n", n).withColumn("__k", k)
-    rank = F.ceil((F.col("__n") + 1) * (1 - alpha) - 1e-9)
-    return own.groupBy(*group).agg(F.max("__n").alias("n"), F.max(F.when(F.col("__k") == rank, F.col(score))).alias("q")).select(*group, "n", F.coalesce("q", F.lit(math.inf)).alias("q"))
+    """Conformal quantile of each group: the ceil((n + 1)(1 - alpha))-th smallest score, infinite beyond n. Null scores count as the largest."""
+    return ranked(rows, score, group, lambda n: F.ceil((n + 1) * (1 - alpha) - 1e-9)).select(*group, "n", F.coalesce("q", F.lit(math.inf)).alias("q"))
 
 
 def risk_threshold(rows: DataFrame, risk: str, unsafe: Column, alpha: float) -> DataFrame:
@@ -65,3 +75,88 @@ def risk_threshold(rows: DataFrame, risk: str, unsafe: Column, alpha: float) ->
     by = rows.groupBy(F.col(risk).alias("risk")).agg(F.count(F.lit(1)).alias("n"), F.count_if(unsafe).cast("long").alias("bad"))
     ok = running(by, "risk").filter(F.col("bad__below") <= alpha * F.col("n__below"))
     return ok.agg(F.max("risk").alias("threshold"), F.max("n__below").alias("accepted"))
+
+
+def binomial_cdf(k: int, n: int, p: float) -> float:
+    """Chance of at most k hits in n, by the continued fraction of the incomplete beta function; its cost doesn't grow with k or n."""
+    if p <= 0 or k >= n:
+        return 1.0
+    if p >= 1 or k < 0:
+        return 0.0
+    a, b, x = n - k, k + 1, 1 - p
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        a, b, x = b, a, 1 - x
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / max(1 - (a + b) * x / (a + 1), tiny)
+    f = d
+    for m in range(1, 10_000):
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + t * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + t / c
+            c = c if abs(c) > tiny else tiny
+            f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    out = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) * f / a
+    return min(1.0, max(0.0, 1 - out if flip else out))
+
+
+def clopper_pearson(errors: int, n: int, delta: float) -> float:
+    """The upper bound of a rate that so many errors exceed with chance delta at most; 1 without trials or successes."""
+    if n <= 0 or errors >= n:
+        return 1.0
+    low, high = errors / n, 1.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if binomial_cdf(errors, n, middle) > delta else (low, middle)
+    return high
+
+
+def bounded_threshold(rows: DataFrame, risk: str, unsafe: Column, target: float, delta: float = 0.05) -> DataFrame:
+    """(threshold, accepted, bound): the largest risk score up to which the Clopper-Pearson bound of the unsafe share stays within the target.
+
+    delta is shared out over the distinct scores (Bonferroni). Bounds are found in Arrow batches from running counts; nothing is gathered.
+    """
+    by = rows.groupBy(F.col(risk).alias("risk")).agg(F.count(F.lit(1)).alias("n"), F.count_if(unsafe).cast("long").alias("bad"))
+    at = running(by, "risk").join(F.broadcast(by.filter("risk is not null").agg(F.count(F.lit(1)).alias("tests"))))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            got = [clopper_pearson(k, n, delta / max(1, m)) for k, n, m in zip(part["k"].to_pylist(), part["n"].to_pylist(), part["tests"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part["risk"], part["n"], pa.array(got, pa.float64())], ["risk", "n", "bound"])
+
+    found = at.select(F.col("risk").cast("double").alias("risk"), F.col("n__below").cast("long").alias("n"), F.col("bad__below").cast("long").alias("k"), F.col("tests").cast("long").alias("tests")).mapInArrow(bound, "risk double, n long, bound double")
+    return found.filter(F.col("bound") <= target).agg(F.max(F.struct("risk", "n", "bound")).alias("t")).select(F.col("t.risk").alias("threshold"), F.col("t.n").alias("accepted"), F.round("t.bound", 6).alias("bound"))
+
+
+def fdr_report(rows: DataFrame, selected: Column, good: Column) -> DataFrame:
+    """Tests, selected ones, false discoveries among them, power over the good ones and coverage."""
+    t = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(selected).alias("selected"), F.count_if(selected & ~good).alias("false_selected"), F.count_if(good).alias("good"))
+    six = lambda a, b: F.round(T.ratio(a, b), 6)
+    return t.select("n", "selected", "false_selected", "good", F.coalesce(six(F.col("false_selected"), F.col("selected")), F.lit(0.0)).alias("fdr"), six(F.col("selected") - F.col("false_selected"), F.col("good")).alias("power"), six(F.col("selected"), F.col("n")).alias("coverage"))
+
+
+def prediction_sets(rows: DataFrame, key: str, scores: dict[str, Column], truth: Column, calibration: Column, alpha: float, by_label: bool = True) -> DataFrame:
+    """(key, truth, labels): for each row outside the calibration the labels whose 1 - score is within the quantile, in order of their names.
+
+    by_label takes a quantile for each label from its own calibration rows; else there is one for all. scores maps labels to their scores.
+    """
+    rows = rows.select(key, truth.alias("truth"), calibration.alias("__cal"), *(c.alias(f"__{i}") for i, c in enumerate(scores.values())))
+    own = F.coalesce(*(F.when(F.col("truth") == name, 1 - F.col(f"__{i}")) for i, name in enumerate(scores)))
+    cal = rows.filter("__cal").select(F.col("truth") if by_label else F.lit("").alias("truth"), own.alias("s"))
+    q = quantiles(cal, "s", alpha, ["truth"]).select(F.col("truth").alias("label"), "q")
+    test = rows.filter("not __cal")
+    long = test.select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("label"), (1 - F.col(f"__{i}")).alias("s")) for i, n in enumerate(scores)))).alias("x")).select(key, "x.*")
+    inside = (long.join(F.broadcast(q), "label") if by_label else long.join(F.broadcast(q.drop("label")))).filter("s <= q")
+    sets = inside.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"))
+    return test.select(key, "truth").join(sets, key, "left").withColumn("labels", F.coalesce("labels", F.lit("")))
+
+
+def stratified(rows: DataFrame, key: str, stratum: str, seed: str, share: float) -> DataFrame:
+    """(key, stratum, first): the share of each stratum (rounded up) that comes first by a seeded hash; strata are never gathered."""
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256), 1, 12), 16, 10).cast("long")
+    own = rows.select(key, stratum, h.alias("__h"))
+    cut = ranked(own, "__h", [stratum], lambda n: F.ceil(n * share)).select(stratum, F.col("q").alias("__q"))
+    return own.join(cut, stratum).select(key, stratum, (F.col("__h") <= F.col("__q")).alias("first"))

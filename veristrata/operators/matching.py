@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,25 +23,45 @@ def candidates(predicted: DataFrame, gold: DataFrame, least: float = 0.72) -> Da
     return both.withColumn("score", score).filter(F.col("score") >= least).select("record_id", "prediction", "gold", "score")
 
 
-def assign(edges: list[tuple[int, int, float]], exact_up_to: int = 20) -> list[tuple[int, int, float]]:
-    """One-to-one pairs of most number, then highest total score; beyond `exact_up_to` on a side, by descending score."""
+def assign(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """One-to-one pairs of most number, then highest total score, of any size, by shortest augmenting paths (n * n * m steps).
+
+    A pair counts 1 + its score / (2 * pairs): no number of scores outweighs one pair more. Missing pairs cost nothing and are left out.
+    """
     left, right = sorted({a for a, _, _ in edges}), sorted({b for _, b, _ in edges})
-    if max(len(left), len(right)) > exact_up_to:
-        pairs, used, taken = [], set(), set()
-        for a, b, s in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
-            if a not in used and b not in taken:
-                pairs.append((a, b, s))
-                used.add(a)
-                taken.add(b)
-        return sorted(pairs)
-    best: dict[int, tuple[int, float, tuple]] = {0: (0, 0.0, ())}  # by the set of right sides in use
-    for a in left:
-        for taken, (n, total, pairs) in list(best.items()):
-            for _, b, s in (e for e in edges if e[0] == a):
-                bit = 1 << right.index(b)
-                if not taken & bit and (n + 1, total + s) > best.get(taken | bit, (-1, 0.0))[:2]:
-                    best[taken | bit] = (n + 1, total + s, (*pairs, (a, b, s)))
-    return sorted(max(best.values(), key=lambda v: v[:2])[2])
+    if not edges:
+        return []
+    if len(left) > len(right):
+        return sorted((a, b, s) for b, a, s in assign([(b, a, s) for a, b, s in edges]))
+    row, column = {a: i for i, a in enumerate(left)}, {b: j for j, b in enumerate(right)}
+    value = np.zeros((len(left), len(right)))
+    known = {}
+    for a, b, s in edges:
+        if s >= known.get((a, b), s):
+            known[a, b] = s
+            value[row[a], column[b]] = 1 + s / (2 * len(left) * max(1.0, max(abs(e[2]) for e in edges)))
+    n, m = value.shape
+    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.full(m + 1, -1)  # column m stands for the row being placed
+    for i in range(n):
+        owner[m] = i
+        least, way, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
+        j = m
+        while owner[j] != -1:
+            done[j] = True
+            open_ = ~done[:m]
+            cost = -value[owner[j]] - u[owner[j]] - v[:m]
+            better = open_ & (cost < least)
+            least[better], way[better] = cost[better], j
+            nxt = int(np.where(open_, least, np.inf).argmin())
+            step = least[nxt]
+            u[owner[np.flatnonzero(done)]] += step
+            v[done] -= step
+            least[open_] -= step
+            j = nxt
+        while j != m:
+            owner[j] = owner[way[j]]
+            j = int(way[j])
+    return sorted((left[owner[j]], right[j], known[left[owner[j]], right[j]]) for j in range(m) if owner[j] >= 0 and value[owner[j], j] > 0)
 
 
 def matches(pairs: DataFrame) -> DataFrame:

@@ -23,14 +23,36 @@ def shared_tokens(items: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def contained(items: DataFrame, docs: DataFrame, form=T.normal_exact) -> DataFrame:
-    """(item_id, doc_id) of each item whose normalised text stands in the document's.
+    """(item_id, doc_id) of each item whose normalised text stands in the document's, as whole words or not. An empty one stands nowhere.
 
-    All but the first and last of a contained text's words are whole words of the document, so pairs that share fewer tokens than all
-    but two are left out before any text is compared; an item of so few tokens meets the documents with at least one of them.
+    The words of a contained text but the first and the last are whole words of the document, so an item meets only the documents that
+    have the rarest of them. An item of one or two words has none; it meets the documents that have the rarest three characters in a
+    row of it (of a shorter one: all of it). Rarity is counted over the documents, for the items' words and characters alone.
     """
-    near = shared_tokens(items, docs).filter(F.col("shared") >= F.greatest(F.col("n_tokens") - 2, F.lit(1)))
-    pairs = near.join(items.select("item_id", form(F.col("text")).alias("quote")), "item_id").join(docs.select("doc_id", form(F.col("text")).alias("source")), "doc_id")
-    return pairs.filter(F.col("source").contains(F.col("quote"))).select("item_id", "doc_id")
+    quotes = items.select("item_id", form(F.col("text")).alias("quote")).filter("quote != ''")
+    sources = docs.select("doc_id", form(F.col("text")).alias("source"))
+    words, characters = F.split("quote", " "), F.split("quote", "")
+
+    def grams(x: Column, size: Column) -> Column:
+        """Runs of 1 to 3 characters of an array, by its size."""
+        behind = lambda n: F.slice(x, F.lit(n + 1), F.greatest(F.size(x) - n, F.lit(0)))
+        glued = lambda a, b: F.concat(a, b)
+        two, three = F.zip_with(x, behind(1), glued), F.zip_with(F.zip_with(x, behind(1), glued), behind(2), glued)
+        return F.array_distinct(F.filter(F.when(size >= 3, three).when(size == 2, two).otherwise(x), lambda g: g.isNotNull()))
+
+    inner = F.when(F.size(words) >= 3, F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2)))
+    keys = quotes.select("item_id", "quote", F.explode(F.when(inner.isNotNull(), F.transform(inner, lambda w: F.struct(F.lit(0).alias("size"), w.alias("key")))).otherwise(F.transform(grams(characters, F.length("quote")), lambda g: F.struct(F.least(F.lit(3), F.length("quote")).alias("size"), g.alias("key"))))).alias("k")).select("item_id", "quote", "k.*")
+    sizes = [r["size"] for r in keys.select("size").distinct().collect()]
+    parts = [sources.select("doc_id", F.lit(n).alias("size"), F.explode(F.array_distinct(F.split("source", " ")) if n == 0 else grams(F.split("source", ""), F.lit(n))).alias("key")) for n in sizes]
+    if not parts:
+        return quotes.join(sources).select("item_id", "doc_id").limit(0)
+    have = parts[0]
+    for other in parts[1:]:
+        have = have.unionByName(other)
+    df = have.join(keys.select("size", "key").distinct(), ["size", "key"]).groupBy("size", "key").agg(F.count(F.lit(1)).alias("df"))
+    rarest = keys.join(df, ["size", "key"], "left").groupBy("item_id", "quote").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "size", "key")).alias("r")).filter("r.df > 0")
+    pairs = have.join(rarest.select("item_id", "quote", "r.size", "r.key"), ["size", "key"])
+    return pairs.join(sources, "doc_id").filter(F.col("source").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
 
 
 def classify(exact: Column, loose: Column, covered: Column) -> Column:

@@ -28,7 +28,7 @@ def ranked_lines(claims: DataFrame, docs: DataFrame) -> DataFrame:
     score = F.greatest("quote_coverage", LABEL_WEIGHT * F.col("label_coverage"), F.col("exact").cast("double"), F.col("named").cast("double") * LABEL_HELD)
     targets = F.array_union("q", "l")
     rows = rows.select(
-        "item_id", "doc_id", (F.col("p") + 1).alias("ordinal"), F.concat(F.lit("L"), F.lpad((F.col("p") + 1).cast("string"), 4, "0")).alias("line_id"), score.alias("score"), "exact",
+        "item_id", "doc_id", (F.col("p") + 1).alias("ordinal"), segment.line_id(F.col("p") + 1).alias("line_id"), score.alias("score"), "exact",
         "quote_coverage", "label_coverage", F.array_intersect(targets, "t").alias("shared"), targets.alias("targets"), "q", "l", F.size(T.word_tokens(F.col("line"))).alias("words"),
     )
     best = Window.partitionBy("item_id", "doc_id").orderBy(F.col("score").desc(), F.col("exact").desc(), F.col("quote_coverage").desc(), F.col("label_coverage").desc(), "ordinal")

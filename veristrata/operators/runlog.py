@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veristrata.functions import text as T
+from veristrata.operators.conformal import ranked
 
 
 def summary(runs: DataFrame, model: str, value: str, failed: Column) -> DataFrame:
@@ -15,11 +16,10 @@ def summary(runs: DataFrame, model: str, value: str, failed: Column) -> DataFram
 
 
 def percentiles(runs: DataFrame, model: str, value: str) -> DataFrame:
-    """Nearest-rank P50 and P90 of each model."""
-    n = Window.partitionBy(model)
-    ranked = runs.select(model, value).withColumn("k", F.row_number().over(n.orderBy(value))).withColumn("n", F.count(F.lit(1)).over(n))
-    at = lambda q: F.max(F.when(F.col("k") == F.ceil(F.col("n") * q), F.col(value)))
-    return ranked.groupBy(model).agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+    """Nearest-rank P50 and P90 of each model's values, null ones left out."""
+    own = runs.filter(F.col(value).isNotNull())
+    at = lambda q, name: ranked(own, value, [model], lambda n: F.ceil(n * q)).select(model, F.col("q").alias(name))
+    return at(0.5, "p50").join(at(0.9, "p90"), model)
 
 
 def matched_volume(runs: DataFrame, case: str, arm: str, order: str, first: str, second: str) -> DataFrame:
@@ -55,6 +55,14 @@ def spread(rows: DataFrame, arm: str, count: Column, last: int = 4) -> DataFrame
     return by.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(arm)), 6))
 
 
+def recovery_by_attempt(runs: DataFrame, case: str, order: str, passed: Column, most: int) -> DataFrame:
+    """(attempt, recovered, so_far): cases whose first passing attempt is the first, second, ... of `most`."""
+    turn = F.row_number().over(Window.partitionBy(case).orderBy(order))
+    first = runs.select(case, passed.alias("ok"), turn.alias("attempt")).filter(F.col("attempt") <= most).groupBy(case).agg(F.min(F.when(F.col("ok"), F.col("attempt"))).alias("attempt")).dropna(subset=["attempt"])
+    by = first.groupBy("attempt").agg(F.count(F.lit(1)).alias("recovered"))  # `most` rows at most
+    return by.withColumn("so_far", F.sum("recovered").over(Window.orderBy("attempt")))
+
+
 def classify(message: Column, classes: dict[str, str]) -> Column:
     """The first class one of whose substrings (separated by |) stands in the lower-cased message; other, or none for no message."""
     out = F.when(message.isNull() | (message == ""), "none")

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from veristrata.functions import text as T
+
 
 def lines(x: Column) -> Column:
     """Trimmed non-blank lines in order."""
     return F.filter(F.transform(F.split(x, r"\r?\n"), lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "")
 
 
+def line_id(ordinal: Column) -> Column:
+    """L and the ordinal in four digits, or as many as it has."""
+    return F.concat(F.lit("L"), F.lpad(ordinal.cast("string"), F.greatest(F.lit(4), F.length(ordinal.cast("string"))), F.lit("0")))
+
+
 def line_index(docs: DataFrame) -> DataFrame:
     """(doc_id, ordinal, line_id, text): trimmed non-blank lines, numbered from 1 in order inside the document; no shuffle."""
     rows = docs.select("doc_id", F.posexplode(lines(F.col("text"))).alias("p", "text"))
-    return rows.select("doc_id", (F.col("p") + 1).alias("ordinal"), F.concat(F.lit("L"), F.lpad((F.col("p") + 1).cast("string"), 4, "0")).alias("line_id"), "text")
+    return rows.select("doc_id", (F.col("p") + 1).alias("ordinal"), line_id(F.col("p") + 1).alias("line_id"), "text")
 
 
 def sentences(x: Column) -> Column:
@@ -30,31 +37,54 @@ def density(docs: DataFrame) -> DataFrame:
     )
 
 
-def complexity(docs: DataFrame, words: int = 1800, doses: int = 18) -> DataFrame:
-    """Route of each document: two stages for long or dose-rich ones."""
-    n, d = F.regexp_count("text", F.lit("[A-Za-z0-9_]+")), F.regexp_count("text", F.lit(r"[0-9]+(?:\.[0-9]+)?\s*(?:mg|mcg|g|units?|ml|meq)"))
-    return docs.select("doc_id", n.alias("note_words"), d.alias("dose_mentions"), F.when((n >= words) | (d >= doses), "two_stage_complex").otherwise("single_stage_standard").alias("route"))
+# Words and doses from which a document is complex, by profile; words that suffice with sections of labs and of procedures.
+PROFILES = {"high_sensitivity": (1800, 18), "balanced": (1800, 18), "conservative": (2200, 24)}
+COMBINED_WORDS = 1200
+LAB_SECTION, PROCEDURE_SECTION = r"(?i)LABORATOR|PERTINENT RESULTS", r"(?i)PROCEDURE|OPERATIONS?"
 
 
-# Line patterns that announce a domain (matched on lower case).
+def complexity(docs: DataFrame, profile: str = "high_sensitivity") -> DataFrame:
+    """Six features of each document and its route: two stages for long or dose-rich ones, with the reasons.
+
+    The profile high_sensitivity also takes documents of COMBINED_WORDS words that have sections of labs and of procedures.
+    """
+    words, doses = PROFILES[profile]
+    count = lambda p: F.regexp_count("text", F.lit(p))
+    rows = docs.select(
+        "doc_id", count("[A-Za-z0-9_]+").alias("note_words"), count(f"(?i){T.DOSE}").alias("dose_mentions"), F.col("text").rlike(LAB_SECTION).alias("has_lab_section"),
+        F.col("text").rlike(PROCEDURE_SECTION).alias("has_procedure_section"), count(r"\[\*\*").alias("deidentification_markers"), count(r"(?<![A-Za-z0-9_])\d+(?:\.\d+)?(?![A-Za-z0-9_])").alias("numeric_tokens"),
+    )
+    rules = [(F.col("note_words") >= words, f"note_words>={words}"), (F.col("dose_mentions") >= doses, f"dose_mentions>={doses}")]
+    if profile == "high_sensitivity":
+        rules.append(((F.col("note_words") >= COMBINED_WORDS) & F.col("has_lab_section") & F.col("has_procedure_section"), f"note_words>={COMBINED_WORDS}+lab_section+procedure_section"))
+    reasons = F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in rules))), ";")
+    return rows.withColumn("reasons", reasons).withColumn("route", F.when(F.col("reasons") != "", "two_stage_complex").otherwise("single_stage_standard"))
+
+
+# Patterns by which a line announces a domain, whatever their case.
 SIGNALS = {
-    "medication_changes": r"discharge medications?|medications? on discharge|medications?\s*:",
-    "diagnosis_changes": r"discharge diagnos[ei]s|final diagnos[ei]s|principal diagnos[ei]s",
-    "procedures_and_tests": r"major surgical or invasive procedure|procedures?|operations?|ct|mri|x-?ray|echocardiogram|ultrasound",
-    "labs": r"pertinent results?|laborator(?:y|ies)|wbc|hemoglobin|hgb|creatinine|sodium|potassium",
-    "follow_up_actions": r"follow\s*-?\s*up|discharge instructions?|appointments?",
+    "medication_changes": r"\bdischarge medications?\b|\bmedications? on discharge\b|\bmedications?\s*:",
+    "diagnosis_changes": r"\bdischarge diagnoses?\b|\bfinal diagnoses?\b|\bprincipal diagnoses?\b",
+    "procedures_and_tests": r"\bmajor surgical or invasive procedure\b|\bprocedures?\b|\boperations?\b|\b(?:ct|mri|x-?ray|echocardiogram|ultrasound)\b",
+    "labs": r"\bpertinent results?\b|\blaborator(?:y|ies)\b|\b(?:wbc|hemoglobin|hgb|creatinine|sodium|potassium)\b",
+    "follow_up_actions": r"\bfollow\s*-?\s*up\b|\bdischarge instructions?\b|\bappointments?\b",
 }
 
 
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with every \\b as a boundary of ASCII words, whatever its case."""
+    return "(?i)" + pattern.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+
+
 def has_word(x: Column, pattern: str) -> Column:
-    """Whether lower-cased x has the pattern between characters that aren't ASCII word characters."""
-    return F.lower(x).rlike(f"(^|[^a-z0-9_])(?:{pattern})([^a-z0-9_]|$)")
+    """Whether x has the pattern between boundaries of ASCII words, whatever its case."""
+    return x.rlike(T.bounded(pattern))
 
 
 def signals(docs: DataFrame, domains: dict[str, str] = SIGNALS) -> DataFrame:
     """(doc_id, domain, matches, first_line) for each domain that a document's lines announce."""
     rows = line_index(docs)
-    found = F.array_compact(F.array(*(F.when(has_word(F.col("text"), p), F.lit(d)) for d, p in domains.items())))
+    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(ascii_bounds(p)), F.lit(d)) for d, p in domains.items())))
     return rows.select("doc_id", "ordinal", F.explode(found).alias("domain")).groupBy("doc_id", "domain").agg(F.count(F.lit(1)).alias("matches"), F.min("ordinal").alias("first_line"))
 
 

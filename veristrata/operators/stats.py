@@ -7,20 +7,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from veristrata.functions import text as T
 
 
-def running(rows: DataFrame, score: str, buckets: int = 1000) -> DataFrame:
-    """rows(score, ...) with `__below` of each other column: its sum over all rows with a smaller or equal score.
+def running(rows: DataFrame, score: str, group: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    """rows(score, group..., ...) with `__below` of each other column: its sum over the group's rows with a smaller or equal score.
 
-    rows has one row for each score between 0 and 1. Sums run inside score buckets and are lifted by the totals of lower buckets, so
-    no task sees all scores.
+    rows has one row for each score and group; a row with a null score has no place in the order and is left out. Scores may be any
+    numbers: they are dealt to buckets between approximate quantiles. Sums run inside a bucket and are lifted by the totals of lower
+    buckets, so no task sees all scores of a group.
     """
-    names = [c for c in rows.columns if c != score]
-    rows = rows.withColumn("__b", F.least(F.greatest(F.floor(F.col(score) * buckets), F.lit(-1)), F.lit(buckets + 1)))
-    total = rows.groupBy("__b").agg(*(F.sum(c).alias(c) for c in names))
-    lower = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select(F.lit(0).alias("__one"), "__b", *(F.coalesce(F.sum(c).over(lower), F.lit(0)).alias(f"__{c}") for c in names)).drop("__one")
-    inside = Window.partitionBy("__b").orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.select(*rows.columns, *(F.sum(c).over(inside).alias(f"{c}__in") for c in names)).join(F.broadcast(total), "__b")
-    return rows.select(score, *names, *((F.col(f"{c}__in") + F.col(f"__{c}")).alias(f"{c}__below") for c in names))
+    group = group or []
+    names = [c for c in rows.columns if c not in (score, *group)]
+    rows = rows.filter(F.col(score).isNotNull())
+    cuts = rows.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 20 * buckets).alias("c")).first()["c"] or []
+    at = F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<double>")
+    rows = rows.withColumn("__b", F.size(F.filter(at, lambda c: c < F.col(score))))
+    total = rows.groupBy(*group, "__b").agg(*(F.sum(c).alias(c) for c in names))
+    lower = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(*group, "__b", *(F.coalesce(F.sum(c).over(lower), F.lit(0)).alias(f"__{c}") for c in names))
+    inside = Window.partitionBy(*group, "__b").orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(*rows.columns, *(F.sum(c).over(inside).alias(f"{c}__in") for c in names)).join(total, [*group, "__b"])
+    return rows.select(score, *group, *names, *((F.col(f"{c}__in") + F.col(f"__{c}")).alias(f"{c}__below") for c in names))
 
 
 def confusion(rows: DataFrame, gold: Column, predicted: Column) -> DataFrame:

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from veristrata.functions import text as T
 from veristrata.operators import assertion, cluster, conformal, gates, matching, provenance, retrieval, rouge, runlog, sample, segment, stats
 
+from veristrata.sources import readers
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 ALPHAS = [0.05, 0.1, 0.2]
 STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 # SQL pieces
-LOOSE = r"trim(regexp_replace(regexp_replace(lower(text), '\[\*\*.*?\*\*\]', ' ', 'g'), '[^a-z0-9.]+', ' ', 'g'))"
+LOOSE = r"trim(regexp_replace(regexp_replace(lower(text), '\[\*\*[^\]]+\*\*\]', ' ', 'g'), '[^a-z0-9.]+', ' ', 'g'))"
 EXACT = r"trim(regexp_replace(lower(text), '[ \t\n\v\f\r]+', ' ', 'g'))"
 TOKENS = rf"list_filter(list_transform(string_split({LOOSE}, ' '), lambda t: case when regexp_full_match(t, '\d+(\.\d+)?') then t else regexp_replace(t, '\.+$', '') end), lambda t: length(t) >= 3 and t not in ({STOPS}))"
 WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?')"
@@ -119,7 +121,8 @@ def q_density_features(spark, d):
     return segment.density(table(spark, d, "documents"))
 
 
-@query(r"with f as (select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+'))::int as note_words, len(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?\s*(?:mg|mcg|g|units?|ml|meq)'))::int as dose_mentions from documents) select *, case when note_words >= 1800 or dose_mentions >= 18 then 'two_stage_complex' else 'single_stage_standard' end as route from f")
+@query(r"""with f as (select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+'))::int as note_words, len(regexp_extract_all(text, '(?i)\b\d+(?:\.\d+)?\s*(?:mg|mcg|g|units?|ml|meq)\b'))::int as dose_mentions, regexp_matches(text, '(?i)laborator|pertinent results') as has_lab_section, regexp_matches(text, '(?i)procedure|operations?') as has_procedure_section, len(regexp_extract_all(text, '\[\*\*'))::int as deidentification_markers, len(regexp_extract_all(text, '\b\d+(?:\.\d+)?\b'))::int as numeric_tokens from documents),
+r as (select *, array_to_string(list_filter([case when note_words >= 1800 then 'note_words>=1800' end, case when dose_mentions >= 18 then 'dose_mentions>=18' end, case when note_words >= 1200 and has_lab_section and has_procedure_section then 'note_words>=1200+lab_section+procedure_section' end], lambda x: x is not null), ';') as reasons from f) select *, case when reasons <> '' then 'two_stage_complex' else 'single_stage_standard' end as route from r""")
 def q_complexity_route(spark, d):
     return segment.complexity(table(spark, d, "documents"))
 
@@ -134,7 +137,7 @@ def q_dup_exact(spark, d):
 
 BITS = " + ".join(f"(case when 2 * coalesce(sum((h >> {b}) & 1), 0) >= count(h) then {1 << b}::hugeint else 0 end)" for b in range(64))
 SIMHASH = f"""w as (select doc_id, list_filter(string_split({CLUSTERED}, ' '), lambda x: x <> '') as w from documents), k as (select doc_id, w, greatest(len(w) - 2, 0) as k from w),
-g as (select doc_id, unnest(case when k > 0 then range(1, k + 1, greatest(1, (greatest(1, k) // 1500))::bigint) else [null] end) as i, w from k), h as (select doc_id, case when i is not null then ('0x' || substr(sha256(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), 1, 16))::ubigint end as h from g),
+g as (select doc_id, unnest(case when k > 0 then range(1, k + 1) else [null] end) as i, w from k), h as (select doc_id, case when i is not null then ('0x' || substr(sha256(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), 1, 16))::ubigint end as h from g),
 fp as (select doc_id, coalesce({BITS}, 0)::hugeint as u from h group by 1), p as (select doc_id, u from fp)"""
 
 
@@ -143,8 +146,7 @@ def q_simhash(spark, d):
     return cluster.simhash(table(spark, d, "documents"))
 
 
-PAIRS = f"""with {SIMHASH}, b as (select doc_id, u::ubigint as u, unnest(range(8)) as band from p), v as (select *, (u >> (band * 8)::ubigint) & 255 as v from b), ok as (select band, v from v group by 1, 2 having count(*) between 2 and 200),
-pairs as (select distinct x.doc_id as a, y.doc_id as b, bit_count(xor(x.u, y.u))::int as distance from v x join ok using (band, v) join v y using (band, v) where x.doc_id < y.doc_id), near as (select * from pairs where distance <= 10)"""
+PAIRS = f"""with {SIMHASH}, near as (select x.doc_id as a, y.doc_id as b, bit_count(xor(x.u::ubigint, y.u::ubigint))::int as distance from p x join p y on x.doc_id < y.doc_id where bit_count(xor(x.u::ubigint, y.u::ubigint)) <= 10)"""
 
 
 @query(f"{PAIRS} select * from near")
@@ -344,10 +346,10 @@ def q_lead_tail_baseline(spark, d):
     return rouge.lead_tail(notes(spark, d), "conv_id", "source", "note")
 
 
-@query(r"select page_id, p::int as ordinal, trim(regexp_replace(x[p], '<[^>]*>', '', 'g'), ' ') as text from (select page_id, x, unnest(range(1, len(x) + 1)) as p from (select page_id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) as x from pages))")
+@query(r"""with x as (select page_id, regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1) as x from pages), u as (select page_id, x, unnest(range(1, len(x) + 1)) as p from x), t as (select page_id, p, regexp_replace(x[p], '<[^>]*>', '', 'g') as s from u)
+select page_id, p::int as ordinal, trim(regexp_replace(replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&'), '[ \t\n\v\f\r]+', ' ', 'g')) as text from t""")
 def q_html_sentences(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))).alias("p", "x"))
-    return rows.select("page_id", (F.col("p") + 1).alias("ordinal"), F.trim(F.regexp_replace("x", "<[^>]*>", "")).alias("text"))
+    return readers.marked_up(table(spark, d, "pages"), "page_id", "html", "p")
 
 
 @query("with c as (select o_orderpriority as cell, l_discount as v, l_quantity as w from orders join lineitem on o_orderkey = l_orderkey) select cell, count(*) as n, round(sum(v * w) / sum(w), 6) as weighted_mean from c group by rollup (cell)")
@@ -407,11 +409,22 @@ def q_assertion_sentences(spark, d):
     return by.groupBy("status").agg(F.sum("n").alias("sentences"), F.count(F.lit(1)).alias("docs"))
 
 
-@query("with n as (select doc_id, unnest([{" + "}, {".join(f"'domain': '{k}', 'p': '{v}'" for k, v in segment.SIGNALS.items()) + f"}}], recursive := true) as _, text from documents), l as (select doc_id, domain, p, unnest(range(1, len({LINES}) + 1)) as o, {LINES} as x from n) select doc_id, domain, count(*) as matches, min(o)::int as first_line from l where regexp_matches(lower(x[o]), '(^|[^a-z0-9_])(?:' || p || ')([^a-z0-9_]|$)') group by 1, 2")
+SIGNALS_SQL = "with n as (select doc_id, unnest([{" + "}, {".join(f"'domain': '{k}', 'p': '{v}'" for k, v in segment.SIGNALS.items()) + f"}}], recursive := true) as _, text from TABLE), l as (select doc_id, domain, p, unnest(range(1, len({LINES}) + 1)) as o, {LINES} as x from n) select doc_id, domain, count(*) as matches, min(o)::int as first_line from l where regexp_matches(x[o], '(?i)' || p) group by 1, 2"
+
+
+@query(SIGNALS_SQL.replace("TABLE", "documents"))
 def q_signals(spark, d):
     return segment.signals(table(spark, d, "documents"))
 
 
+SIGNAL_NOTES = [(1, "Medications:aspirin\nfinal diagnoses here\nCT of chest"), (2, "discharge diagnosis\nwbc 9 and XRAY\nfollow-up in clinic"), (3, "premedications: none\nprocedures"), (4, "")]
+
+
+@query("select * from (values (1, 'medication_changes', 1, 1), (1, 'diagnosis_changes', 1, 2), (1, 'procedures_and_tests', 1, 3), (2, 'procedures_and_tests', 1, 2), (2, 'labs', 1, 2), (2, 'follow_up_actions', 1, 3), (3, 'procedures_and_tests', 1, 2)) t(doc_id, domain, matches, first_line)")
+def q_signals_notes(spark, d):
+    return segment.signals(spark.createDataFrame(SIGNAL_NOTES, "doc_id int, text string"))
+
+
 @query(f"with l as (select doc_id, {LINES} as x from documents), p as (select doc_id, x, 1 + doc_id % 3 as f, 1 + doc_id % 7 as t from l) select doc_id, case when greatest(f, t) > len(x) then 'unknown_line' when f > t then 'reversed' else 'as_given' end as status, case when greatest(f, t) <= len(x) then length(array_to_string(x[least(f, t):greatest(f, t)], chr(10))) end::int as chars from p")
 def q_pointed_lines(spark, d):
     docs = table(spark, d, "documents")
@@ -507,3 +520,6 @@ def q_routing(spark, d):
     rules = {"long": F.col("chars") > 15000, "sparse": F.col("chars") < 2500, "table": F.col("bars"), "foreign": F.col("lang") != "en"}
     routed = runlog.allocate(rows, rules, [("translate", ["foreign"]), ("two_stage", ["long", "table"]), ("review", ["sparse"])], "single_stage")
     return routed.groupBy("route").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("issues")).alias("issues"))
+
+
+from veristrata.plans import fixtures, measures  # noqa: E402, F401  they register their queries
