@@ -50,7 +50,7 @@ def test_broken_files():
             if bad:
                 bad[rng.randrange(len(bad))] = rng.randrange(256)
         for track in M.parse(bytes(bad)).tracks:
-            if len(track.size) < 10000:
+            if track.samples() < 10000:
                 track.key_ranges()
 
 
@@ -70,3 +70,40 @@ def test_describe(spark):
     rows = spark.createDataFrame([(1, bytearray(M.pack(bytes(M.FRAME * 13))), "x"), (2, None, "y"), (3, bytearray(b"junk"), "z")], "id long, m binary, codec string")
     got = {r["id"]: r for r in M.describe(rows, "m").collect()}
     assert got[1]["samples"] == 13 and len(got[1]["key_ranges"]) == 2 and got[2]["codec"] == "" and got[3]["key_ranges"] == []
+
+
+def test_every_track_and_constant_sizes(spark):
+    """Two tracks: one of PCM samples whose table says a size once, however many there are, and one with a key."""
+    full = bytes(4)
+    n = 5_000_000_000 // 4
+
+    def track(number, handler, codec, *tables):
+        stbl = M.box(b"stbl", M.box(b"stsd", full, struct.pack(">I", 1), M.box(codec, bytes(20))), *tables)
+        media = M.box(b"mdia", M.box(b"mdhd", full, struct.pack(">IIII", 0, 0, 48000, 77)), M.box(b"hdlr", full, bytes(4), handler, bytes(12)), M.box(b"minf", stbl))
+        return M.box(b"trak", M.box(b"tkhd", full, struct.pack(">III", 0, 0, number), bytes(70)), media)
+
+    sound = track(1, b"soun", b"sowt", M.box(b"stsz", full, struct.pack(">II", 4, n)), M.box(b"co64", full, struct.pack(">IQQ", 2, 1000, 1000 + 4 * (n // 2))), M.box(b"stsc", full, struct.pack(">IIII", 1, 1, n // 2, 1)))
+    sight = track(2, b"vide", b"avc1", M.box(b"stsz", full, struct.pack(">IIII", 0, 2, 7, 9)), M.box(b"stco", full, struct.pack(">II", 1, 50)), M.box(b"stsc", full, struct.pack(">IIII", 1, 1, 2, 1)), M.box(b"stss", full, struct.pack(">II", 1, 2)))
+    rows = spark.createDataFrame([(1, bytearray(M.box(b"moov", sound, sight)))], "id int, m binary")
+    got = M.describe(rows, "m").first()
+    assert [(t["handler"], t["codec"], t["samples"]) for t in got["tracks"]] == [("soun", "sowt", n), ("vide", "avc1", 2)] and got["codec"] == "sowt"
+    assert [tuple(r) for r in got["tracks"][0]["key_ranges"]] == [(1000, 1000 + 4 * (n // 2) * 2)] and [tuple(r) for r in got["tracks"][1]["key_ranges"]] == [(57, 66)]
+
+
+def test_fragments():
+    full = bytes(4)
+    trak = M.box(b"trak", M.box(b"tkhd", full, struct.pack(">III", 0, 0, 3), bytes(70)), M.box(b"mdia", M.box(b"mdhd", full, struct.pack(">IIII", 0, 0, 1000, 0))))
+    head = M.box(b"moov", trak, M.box(b"mvex", M.box(b"trex", full, struct.pack(">5I", 3, 1, 40, 5, 0x10000))))
+
+    def moof(offset):
+        one = M.box(b"trun", struct.pack(">III", 0x705, 3, offset), struct.pack(">I", 0), struct.pack(">9I", 10, 4, 0x10000, 10, 6, 0x10000, 20, 8, 0))
+        two = M.box(b"trun", struct.pack(">II", 0, 2))
+        return M.box(b"moof", M.box(b"traf", M.box(b"tfhd", struct.pack(">II", 0x20000, 3)), one, two))
+
+    size = len(moof(0))
+    data = head + moof(size + 8) + M.box(b"mdat", b"aaaabbbbbbccccccccdddddeeeee")
+    got = M.parse(data)
+    track = got.tracks[0]
+    assert got.errors == [] and track.samples() == 5 and track.seconds_over() == 10 + 10 + 20 + 80
+    assert [data[a:b] for a, b in track.key_ranges()] == [b"aaaa", b"cccccccc"] and M.read_samples(data, track) == b"aaaabbbbbbccccccccdddddeeeee"
+    assert M.parse(M.box(b"moof", M.box(b"traf", M.box(b"trun", struct.pack(">II", 0, 1))))).errors == ["trun: no track"]

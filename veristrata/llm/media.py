@@ -31,11 +31,14 @@ DEEPEST = 16
 
 @dataclass
 class Track:
+    number: int = 0
     codec: str = ""
     handler: str = ""
     timescale: int = 0
     duration: int = 0
+    #: sizes of the samples one by one, or none of them and (size of each, how many)
     size: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    same: tuple[int, int] = (0, 0)
     chunk_at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     #: (first chunk from 1, samples in a chunk) runs
     runs: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
@@ -43,25 +46,63 @@ class Track:
     times: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
     #: key samples from 1; None: all
     keys: np.ndarray | None = None
-
-    def starts(self) -> np.ndarray:
-        """Byte offset of each sample: its chunk's offset and the sizes of the samples before it in the chunk."""
-        if not len(self.size) or not len(self.chunk_at) or not len(self.runs):
+    #: duration, size and flags of a fragment's samples where nothing else says
+    usual: tuple[int, int, int] = (0, 0, 0)
+    #: samples of fragments: (start, size, whether it is a key) arrays
+    fragments: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    fragment_duration: int = 0
+
+    def samples(self) -> int:
+        return len(self.size) + self.same[1] + sum(len(f[0]) for f in self.fragments)
+
+    def seconds_over(self) -> int:
+        """The duration that the track states, or that of its fragments."""
+        return self.duration or self.fragment_duration
+
+    def _chunks(self) -> np.ndarray:
+        """Samples of each chunk."""
+        if not len(self.chunk_at) or not len(self.runs):
+            return np.zeros(0, np.int64)
+        until = np.append(self.runs[1:, 0] - 1, len(self.chunk_at))
+        each = np.repeat(self.runs[:, 1], np.clip(until - (self.runs[:, 0] - 1), 0, len(self.chunk_at)))[: len(self.chunk_at)]
+        left = (len(self.size) or self.same[1]) - np.concatenate([[0], np.cumsum(each)[:-1]])
+        return np.clip(each, 0, np.maximum(left, 0))
+
+    def starts(self, own: np.ndarray | None = None) -> np.ndarray:
+        """Byte offset of each sample of the tables (or of those counted from 0): its chunk's offset and the sizes of the samples before it in the chunk."""
+        each = self._chunks()
+        n = int(each.sum())
+        own = np.arange(n if len(self.size) or own is None else 0) if own is None else own
+        if not n or not len(own):
             return np.zeros(0, np.int64)
-        chunks = len(self.chunk_at)
-        until = np.append(self.runs[1:, 0] - 1, chunks)
-        each = np.repeat(self.runs[:, 1], np.maximum(until - (self.runs[:, 0] - 1), 0))[:chunks]
-        n = min(int(each.sum()), len(self.size))
-        of = np.repeat(np.arange(len(each)), each)[:n]
-        before = np.concatenate([[0], np.cumsum(self.size)])[:n]
-        first = np.concatenate([[0], np.cumsum(each)])[:-1]
-        return self.chunk_at[of] + before - before[np.minimum(first[of], n - 1)]
+        first = np.concatenate([[0], np.cumsum(each)])
+        of = np.searchsorted(first, own, "right") - 1
+        if len(self.size):
+            before = np.concatenate([[0], np.cumsum(self.size)])
+            return self.chunk_at[of] + before[own] - before[first[of]]
+        return self.chunk_at[of] + (own - first[of]) * self.same[0]
 
     def key_ranges(self) -> list[tuple[int, int]]:
-        """(first byte, byte behind the last) of each key sample."""
-        start = self.starts()
-        own = np.arange(len(start)) if self.keys is None else self.keys[(self.keys >= 1) & (self.keys <= len(start))] - 1
-        return list(zip(start[own].tolist(), (start[own] + self.size[own]).tolist(), strict=True))
+        """(first byte, byte behind the last) of each key sample. Where all of a track's samples are keys, neighbours in the file are one range."""
+        each = self._chunks()
+        n = int(each.sum())
+        if self.keys is None:
+            before = np.concatenate([[0], np.cumsum(self.size)]) if len(self.size) else None
+            last = np.cumsum(each)
+            length = before[last] - before[last - each] if before is not None else each * self.same[0]
+            parts = [(self.chunk_at[: len(each)], length)] if n else []
+        else:
+            own = self.keys[(self.keys >= 1) & (self.keys <= n)] - 1
+            parts = [(self.starts(own), self.size[own] if len(self.size) else np.full(len(own), self.same[0]))]
+        parts += [(start[key], size[key]) for start, size, key in self.fragments]
+        out: list[tuple[int, int]] = []
+        for start, size in parts:
+            for x, k in zip(start.tolist(), size.tolist(), strict=True):
+                if out and self.keys is None and not self.fragments and out[-1][1] == x:
+                    out[-1] = (out[-1][0], x + k)
+                elif k:
+                    out.append((x, x + k))
+        return out
 
 
 @dataclass
@@ -84,7 +125,56 @@ def parse(data: bytes) -> Media:
     """Boxes and sample tables of a container. Broken or cut boxes end their parent and are listed; nothing is raised."""
     out = Media()
 
-    def walk(at: int, end: int, depth: int, track: Track | None) -> None:
+    usual: dict[int, tuple[int, int, int]] = {}
+    moof = [0]
+
+    def fragment(kind: bytes, b: bytes, own: dict) -> None:
+        """tfhd says what a fragment's samples share, trun has those that differ; a run without an offset goes on behind the one before it."""
+        flags = struct.unpack_from(">I", b, 0)[0] & 0xFFFFFF
+        if kind == b"tfhd":
+            number, at = struct.unpack_from(">I", b, 4)[0], 8
+            own["track"] = next((t for t in out.tracks if t.number == number), None)
+            values = [None, *usual.get(number, (0, 0, 0))]
+            own["at"] = moof[0]
+            for i, (bit, kind_) in enumerate(((1, ">Q"), (2, ">I"), (8, ">I"), (16, ">I"), (32, ">I"))):
+                if flags & bit:
+                    value = struct.unpack_from(kind_, b, at)[0]
+                    at += struct.calcsize(kind_)
+                    if i == 0:
+                        own["at"] = value
+                    elif i > 1:
+                        values[i - 1] = value
+            own["usual"], own["next"] = values[1:], own["at"]
+            return
+        track = own.get("track")
+        if track is None:
+            out.errors.append("trun: no track")
+            return
+        count, at = struct.unpack_from(">I", b, 4)[0], 8
+        start = own["next"]
+        if flags & 1:
+            start, at = own["at"] + struct.unpack_from(">i", b, at)[0], at + 4
+        first = None
+        if flags & 4:
+            first, at = struct.unpack_from(">I", b, at)[0], at + 4
+        columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        table = _ints(b, at, count * len(columns), ">u4", out.errors, "trun")
+        if columns:
+            count = len(table) // len(columns)
+            table = table[: count * len(columns)].reshape(count, len(columns))
+        elif not own["usual"][1] or count * own["usual"][1] > len(data):
+            out.errors.append("trun: samples without sizes")
+            return
+        value = lambda bit, usual_: table[:, columns.index(bit)] if bit in columns else np.full(count, usual_, np.int64)
+        size, marks = value(0x200, own["usual"][1]), value(0x400, own["usual"][2])
+        if first is not None and count:
+            marks = marks.copy()
+            marks[0] = first
+        own["next"] = start + int(size.sum())
+        track.fragments.append((start + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)[:count], size, marks & 0x10000 == 0))
+        track.fragment_duration += int(value(0x100, own["usual"][0]).sum())
+
+    def walk(at: int, end: int, depth: int, track: Track | dict | None) -> None:
         while at + 8 <= end:
             size, kind = struct.unpack_from(">I4s", data, at)
             head = 8
@@ -97,14 +187,19 @@ def parse(data: bytes) -> Media:
                 return
             body, stop = at + head, at + size
             if kind in NESTED and depth < DEEPEST:
-                own = track
+                own = {} if kind == b"traf" else track
+                if kind == b"moof":
+                    moof[0] = at
                 if kind == b"trak":
                     own = Track()
                     out.tracks.append(own)
                 walk(body + NESTED[kind], stop, depth + 1, own)
             else:
                 try:
-                    table(kind, data[body:stop] if kind in (b"ftyp", b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz", b"stco", b"co64", b"stss") else b"", track)
+                    if kind in (b"tfhd", b"trun") and isinstance(track, dict):
+                        fragment(kind, data[body:stop], track)
+                    elif not isinstance(track, dict):
+                        table(kind, data[body:stop] if kind in (b"ftyp", b"tkhd", b"trex", b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz", b"stco", b"co64", b"stss") else b"", track)
                 except struct.error:
                     out.errors.append(f"{kind.decode('latin-1')}: too short")
             at = stop
@@ -112,8 +207,13 @@ def parse(data: bytes) -> Media:
     def table(kind: bytes, b: bytes, track: Track | None) -> None:
         if kind == b"ftyp":
             out.brand = b[:4].decode("latin-1")
+        elif kind == b"trex":
+            number, _, *own = struct.unpack_from(">5I", b, 4)
+            usual[number] = tuple(own)
         elif track is None:
             return
+        elif kind == b"tkhd":
+            track.number = struct.unpack_from(">I", b, 20 if b[:1] == b"\1" else 12)[0]
         elif kind == b"mdhd":
             track.timescale, track.duration = struct.unpack_from(">IQ", b, 20) if b[:1] == b"\1" else struct.unpack_from(">II", b, 12)
         elif kind == b"hdlr":
@@ -123,7 +223,10 @@ def parse(data: bytes) -> Media:
                 track.codec = struct.unpack_from(">4s", b, 12)[0].decode("latin-1")
         elif kind == b"stsz":
             same, count = struct.unpack_from(">II", b, 4)
-            track.size = np.full(min(count, 1 << 28), same, np.int64) if same else _ints(b, 12, count, ">u4", out.errors, "stsz")
+            if same:
+                track.same = (same, count)
+            else:
+                track.size = _ints(b, 12, count, ">u4", out.errors, "stsz")
         elif kind in (b"stco", b"co64"):
             track.chunk_at = _ints(b, 8, struct.unpack_from(">I", b, 4)[0], ">u4" if kind == b"stco" else ">u8", out.errors, kind.decode())
         elif kind == b"stsc":
@@ -177,40 +280,50 @@ def pack(payload: bytes) -> bytes:
 
 def read_samples(data: bytes, track: Track) -> bytes:
     """The samples' bytes in order, as the tables place them."""
-    start = track.starts()
-    if not len(start):
-        return b""
-    end = start + track.size[: len(start)]
-    cut = np.flatnonzero(np.append(True, start[1:] != end[:-1]))  # neighbours in the file are read at once
-    return b"".join(data[a:b] for a, b in zip(start[cut].tolist(), end[np.append(cut[1:], len(start)) - 1].tolist(), strict=True))
+    each = track._chunks()
+    last = np.cumsum(each)
+    before = np.concatenate([[0], np.cumsum(track.size)]) if len(track.size) else None
+    length = before[last] - before[last - each] if before is not None else each * track.same[0]
+    parts = [data[a : a + n] for a, n in zip(track.chunk_at[: len(each)].tolist(), length.tolist(), strict=True)]  # a chunk's samples are neighbours
+    return b"".join([*parts, *(data[a : a + n] for start, size, _ in track.fragments for a, n in zip(start.tolist(), size.tolist(), strict=True))])
 
 
-MEDIA = "brand string, codec string, timescale long, duration long, samples long, key_ranges array<struct<first:long,end:long>>, errors array<string>"
+RANGES = "array<struct<first:long,end:long>>"
+MEDIA = f"brand string, codec string, timescale long, duration long, samples long, key_ranges {RANGES}, tracks array<struct<handler:string,codec:string,timescale:long,duration:long,samples:long,key_ranges:{RANGES}>>, errors array<string>"
 
 
 def describe(rows: DataFrame, media: str) -> DataFrame:
-    """All columns of rows but `media` (binary) with brand, codec, timescale, duration, samples, key_ranges and errors of its first track in front.
+    """All columns of rows but `media` (binary) with brand, tracks and errors in front, and codec, timescale, duration, samples and key_ranges of the first track.
+
+    Every track is described, those whose samples stand in fragments too.
 
     Null and empty media have no track: empty codec, zero duration, no ranges. Broken containers give what could be read, and errors.
     Every row gives one row; other columns of these names are replaced.
     """
-    names = [x.split(" ")[0] for x in MEDIA.split(", ")]
+    names = ["brand", "codec", "timescale", "duration", "samples", "key_ranges", "tracks", "errors"]
     rest = [f for f in rows.schema if f.name not in (*names, media)]
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+    track_kind = pa.list_(pa.struct([("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("key_ranges", kind)]))
+    _shared.small_batches(rows.sparkSession)
+
+    def said(t: Track) -> dict:
+        return {"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.seconds_over(), "samples": t.samples(), "key_ranges": [{"first": a, "end": b} for a, b in t.key_ranges()]}
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             found = [parse(x.as_py() or b"") for x in part[media]]
-            tracks = [m.tracks[0] if m.tracks else Track() for m in found]
-            columns = [[m.brand for m in found], [t.codec for t in tracks], [t.timescale for t in tracks], [t.duration for t in tracks], [len(t.size) for t in tracks]]
-            ranges = pa.array([[{"first": a, "end": b} for a, b in t.key_ranges()] for t in tracks], kind)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), *(pa.array(c, pa.int64()) for c in columns[2:]), ranges, pa.array([m.errors for m in found], pa.list_(pa.string())), *(part[f.name] for f in rest)], [*names, *(f.name for f in rest)])
+            every = [[said(t) for t in m.tracks] for m in found]
+            first = [t[0] if t else said(Track()) for t in every]
+            column = lambda c, k: pa.array([t[c] for t in first], k)
+            made = [pa.array([m.brand for m in found], pa.string()), column("codec", pa.string()), *(column(c, pa.int64()) for c in ("timescale", "duration", "samples")), column("key_ranges", kind)]
+            yield pa.RecordBatch.from_arrays([*made, pa.array(every, track_kind), pa.array([m.errors for m in found], pa.list_(pa.string())), *(part[f.name] for f in rest)], [*names, *(f.name for f in rest)])
 
     return rows.select(media, *(f.name for f in rest)).mapInArrow(walked, MEDIA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest))
 
 
 def stored(docs: DataFrame) -> DataFrame:
     """Each text packed as a container, read back and digested; one row for each row of docs(doc_id, text), a null text counts as empty."""
+    _shared.small_batches(docs.sparkSession)
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in T.pieces(batches, "text"):
@@ -222,7 +335,7 @@ def stored(docs: DataFrame) -> DataFrame:
                 track = parse(media).tracks[0]
                 payload = read_samples(media, track)
                 ranges = track.key_ranges()
-                feature = f"{track.codec.strip()};{track.duration}/{track.timescale};{len(track.size)};" + ",".join(f"{x}-{y}" for x, y in ranges)
+                feature = f"{track.codec.strip()};{track.duration}/{track.timescale};{track.samples()};" + ",".join(f"{x}-{y}" for x, y in ranges)
                 for column, value in zip(out, (b - a, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -232,4 +345,4 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(_shared.small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+    return stored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
