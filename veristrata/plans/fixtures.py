@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from veristrata.operators import assertion, claims, gates, provenance, retrieval, segment, spans
+from veristrata.operators import assertion, claims, gates, multispan, provenance, retrieval, segment, spans
 from veristrata.plans.catalogue import query
 
 
@@ -240,3 +240,77 @@ def q_selector_notes(spark, d):
     docs = spark.createDataFrame([(1, "aspirin started monday\nnoise alone here\nwarfarin dose raised\nclinic visit soon")], "doc_id int, text string")
     asked = spark.createDataFrame([(1, 1, "aspirin warfarin clinic", "aspirin"), (2, 1, "zebra giraffe", "zebra"), (3, 1, "noise alone zebra giraffe lion", "lion zebra")], "item_id int, doc_id int, quote string, label string")
     return retrieval.select_minimal(retrieval.ranked_lines(asked, docs)).select("item_id", "status", F.array_join("line_ids", ",").alias("line_ids"))
+
+
+STRESS_NOTE = "\n".join([
+    "ADMISSION MEDICATIONS:", "Aspirin 81 mg daily.", "Lasix 40 mg daily.", "DISCHARGE MEDICATIONS:", "Aspirin 81 mg daily.", "Furosemide 20 mg daily.", "FOLLOW-UP:", "Follow-up cardiology in one week.", "LABS:",
+    "Creatinine 1.3 mg/dL.", "Potassium 4.9 mmol/L.", "DISCHARGE DIAGNOSES:", "Heart failure exacerbation.", "No pneumonia was seen.",
+])
+_tasks = [
+    ("Lasix changed to furosemide 20 mg daily", 'Admission: "Lasix 40 mg daily." Discharge: "Furosemide 20 mg daily."', "medication"),
+    ("Aspirin 81 mg daily continued", "ADMISSION MEDICATIONS: Aspirin 81 mg daily. ... DISCHARGE MEDICATIONS: Aspirin 81 mg daily.", "medication"), ("Pneumonia", "Pneumonia present.", "diagnosis"),
+    ("Cardiac catheterization completed", "Cardiac catheterization completed without complication.", "procedure_or_test"),
+    ("Creatinine 1.3 mg/dL and potassium 4.9 mmol/L", "Creatinine 1.3 mg/dL and potassium 4.9 mmol/L", "lab"), ("Follow-up cardiology in one week", "Follow up cardiology in one week", "follow_up"),
+]
+
+
+def _stress(spark):
+    rows = [(i, 1, q, x, d, False) for i, (x, q, d) in enumerate(_tasks, 1)] + [(7, 9, "x", "x", "lab", False)]
+    return spark.createDataFrame(rows, "item_id int, doc_id int, quote string, label string, domain string, low_overlap boolean"), spark.createDataFrame([(1, STRESS_NOTE)], "doc_id int, text string")
+
+
+@query(
+    values(
+        "item_id, method, supported, status, lines",
+        *((i, "exact_full_note", False, "abstain", 0) for i in range(1, 7)), *((i, "normalized_full_note", i == 6, "supported" if i == 6 else "abstain", 0) for i in range(1, 7)),
+        *((i, "line_span_id", ok, "single_line_supported" if ok else "abstain_line_weak", 1) for i, ok in ((1, False), (2, True), (3, True), (4, False), (5, False), (6, True))),
+        *((i, "section_filtered_span", ok, "section_supported" if ok else "abstain_section_weak", 1) for i, ok in ((1, False), (2, True), (3, True), (4, False), (5, False), (6, True))),
+        (1, "query_aware_multispan", True, "query_multispan_supported", 2), (2, "query_aware_multispan", True, "query_greedy_multispan_supported", 2), (3, "query_aware_multispan", False, "abstain_query_assertion_conflict", 1),
+        (4, "query_aware_multispan", False, "abstain_query_weak", 0), (5, "query_aware_multispan", True, "query_greedy_multispan_supported", 2), (6, "query_aware_multispan", True, "query_single_span_supported", 1),
+    )
+)
+def q_span_methods(spark, d):
+    return multispan.methods(*_stress(spark)).select("item_id", "method", "supported", "status", F.size("line_ids").alias("lines"))
+
+
+@query(values("method, claims, supported, rank", ("exact_full_note", 6, 0, 5), ("normalized_full_note", 6, 1, 4), ("line_span_id", 6, 3, 2), ("section_filtered_span", 6, 3, 3), ("query_aware_multispan", 6, 4, 1)))
+def q_span_method_summary(spark, d):
+    return multispan.method_summary(multispan.methods(*_stress(spark))).select("method", "claims", "supported", "rank")
+
+
+@query(
+    f"with t as ({values('condition, matcher', *((c, m) for c in multispan.GUARDS for m in ('lexical_topk', 'transparent_rerank_topk')))}) select matcher, condition, budget, 1 as claims, case when condition = 'all_guards_disabled' then 1 else 0 end as supported, case when condition = 'all_guards_disabled' then 0 else 1 end as conflicts, 0 as risks from t, (values (1), (2)) b(budget)"
+)
+def q_guard_curves(spark, d):
+    """The claim that the note denies: only without guards do its first lines support it."""
+    items, docs = _stress(spark)
+    return multispan.curve_summary(multispan.guard_curves(items.filter("item_id = 3"), docs).filter("budget <= 2"))
+
+
+@query(values("item_id, flags, risk, acceptance", (1, "label_only_support,low_quote_coverage", "medium", "review_required"), (2, "", "low", "auto_accept"), (3, "", "not_supported", "abstain"), (4, "", "not_supported", "abstain"), (5, "", "low", "auto_accept"), (6, "", "low", "auto_accept")))
+def q_coherence(spark, d):
+    found = multispan.coherence(multispan.methods(*_stress(spark)), F.lit(False), F.lit(False))
+    return found.select("item_id", F.array_join("flags", ",").alias("flags"), "risk", "acceptance")
+
+
+@query(values("item_id, conflict", (1, True), (2, False), (3, False), (4, True), (5, False), (6, True), (7, False), (8, False)))
+def q_cue_conflicts(spark, d):
+    rows = [
+        (1, "No pneumonia was seen.", "Pneumonia", "diagnosis"), (2, "No pneumonia was seen.", "no pneumonia", "diagnosis"), (3, "No fever but pneumonia was treated.", "pneumonia", "diagnosis"), (4, "Possible stroke on imaging", "stroke", "diagnosis"),
+        (5, "CT head with no evidence of bleeding", "CT head performed", "procedure_or_test"), (6, "CT head with no evidence of bleeding", "CT head performed", "medication"), (7, None, "x", None), (8, "no", None, None),
+    ]
+    return multispan.conflicts(spark.createDataFrame(rows, "item_id int, text string, label string, domain string"), "text", "label", "domain").select("item_id", "conflict")
+
+
+@query(
+    values(
+        "item_id, category, status, action",
+        (1, "exact_contiguous", "strict_exact_contiguous", "materialize_from_span_ids"), (2, "normalization_or_punctuation", "normalized_single_span", "materialize_from_span_ids"),
+        (3, "quote_terms_present_noncontiguous", "multi_span_recovered", "materialize_from_span_ids"), (4, "label_supported_quote_unresolved", "label_span_recovered", "materialize_from_span_ids"),
+        (5, "low_overlap_possible_fabrication", "abstain_low_overlap", "abstain_needs_review"), (6, "missing_quote", "abstain_missing_quote", "abstain_needs_review"), (7, "missing_source_text", "abstain_missing_source_text", "abstain_needs_review"),
+    )
+)
+def q_span_proposals(spark, d):
+    rows = [(1, 1, "Creatinine 1.3 mg/dL.", "creatinine"), (2, 1, "follow up cardiology, in one week", "visit"), (3, 1, "Lasix 40 mg ... Heart failure exacerbation", "lasix"), (4, 1, "zebra giraffe", "potassium 4.9"), (5, 1, "zebra giraffe", "lion"), (6, 1, " ", "x"), (7, 8, "x", "x")]
+    items = spark.createDataFrame(rows, "item_id int, doc_id int, quote string, label string")
+    return multispan.proposals(items, spark.createDataFrame([(1, STRESS_NOTE)], "doc_id int, text string")).select("item_id", "category", "status", "action")
