@@ -145,3 +145,52 @@ def test_lines_beyond_four_digits(spark):
     text = "\n".join(str(i) for i in range(1, 10_006))
     got = retrieval.ranked_lines(spark.createDataFrame([(1, 1, "10005", "10005")], "item_id int, doc_id int, quote string, label string"), spark.createDataFrame([(1, text)], "doc_id int, text string"))
     assert got.filter("rank = 1").first()["line_id"] == "L10005" and segment.line_id is not None
+
+
+def test_splits_against_a_slow_run(spark):
+    rng = random.Random(8)
+    rows = [(f"c{i // 3:02}", round(rng.random(), 2), rng.random() < 0.6) for i in range(60)]
+    items = spark.createDataFrame(rows, "c string, s double, ok boolean")
+    got = {r["alpha"]: r for r in conformal.repeated_splits(items, "c", ["s"], "ok", [0.1, 0.3], splits=7).collect()}
+    state, cases = 0x1234567, sorted({c for c, _, _ in rows})
+    for alpha in (0.1, 0.3):
+        risks = []
+        for _ in range(7):
+            x = list(cases)
+            for i in range(len(x) - 1, 0, -1):
+                state = int(state * 1103515245.0 + 12345.0) & 0x7FFFFFFF
+                j = int(state / 0x7FFFFFFF * (i + 1))
+                x[i], x[j] = x[j], x[i]
+            cal = [r for r in rows if r[0] in x[: len(x) // 2]]
+            cuts = sorted({0.0, conformal.BEYOND, *(s for _, s, _ in cal)})
+            lam = next((t for t in cuts if (sum(s >= t and not ok for _, s, ok in cal) + 1) / (len(cal) + 1) <= alpha), conformal.BEYOND)
+            test = [r for r in rows if r[0] not in x[: len(x) // 2]]
+            risks.append(sum(s >= lam and not ok for _, s, ok in test) / len(test))
+        assert got[alpha]["risk"] == round(sum(risks) / 7, 6)
+
+
+def test_regression_and_power(spark):
+    import numpy as np
+
+    x = np.array([[1.0, -1.0], [1.0, 1.0], [1.0, 2.0], [1.0, -2.0]])
+    w = conformal.logistic(x, np.array([0, 1, 1, 0]))
+    assert w[1] > 1 and abs(w[0]) < 1e-9
+    got = {r["n"]: r for r in cohort.planned_sizes(spark, [30, 120], 0.05, 0.25, 0.08, 60).collect()}
+    for n, r in got.items():
+        state, found = 20260618 + n, 0
+        for _ in range(60):
+            a = b = 0
+            for _ in range(n):
+                state = (1664525 * state + 1013904223) % 2**32
+                u = state / 2**32
+                a, b = a + (0.05 <= u < 0.30), b + (0.05 + 0.25 <= u < 0.05 + 0.25 + 0.08)
+            found += (a + b > 0) and cohort.exact_mcnemar(a, b) < 0.05
+        assert abs(r["power"] - found / 60) < 1e-9
+    assert got[120]["power"] > got[30]["power"] and got[120]["half_width"] < got[30]["half_width"]
+
+
+def test_compaction():
+    from veristrata.operators import attribution
+
+    text, score = attribution.compacted("Check potassium level", "Doctor: we talked about the garden and check potassium level before the visit, then the weather was fine for a walk")
+    assert "potassium level" in text and len(text.split()) < 12 and score > 0.8

@@ -99,6 +99,64 @@ def trace_summary(rows: DataFrame) -> DataFrame:
     return t.withColumn("weak_rate", F.round(T.ratio(F.col("weak"), F.col("sentences")), 6)).withColumn("high_risk_weak_rate", F.round(T.ratio(F.col("high_risk_weak"), F.col("high_risk")), 6))
 
 
+# Cues of sentences that a note is made of, and who says them.
+NOTE_CUES = [
+    "start(?:ed)?", "stop(?:ped)?", "discontinue(?:d)?", "continue(?:d)?", "mg", "tablet", "dose", "medication", "prescrib(?:e|ed)", r"follow\s?up", "appointment", "return", "call", "monitor", "check", "repeat", "lab",
+    "creatinine", "potassium", "glucose", "diagnos(?:is|ed)", "assessment", "plan", "discharge", "admit(?:ted)?", "ct", "mri", "xray", "ultrasound", "echo", "procedure",
+]
+_note_cues = [re.compile(rf"\b{c}\b", re.ASCII) for c in NOTE_CUES]
+
+
+def cue_note(source: str | None, budget: int | None) -> tuple[str]:
+    """The source's sentences with the most cues, as many as fit the budget of tokens, in their order; its last tokens where none has a cue."""
+    budget = max(1, budget or 1)
+    plain = lambda x: re.sub(r"[^a-z0-9.]+", " ", unicodedata.normalize("NFKC", x).lower()).strip()
+    cues = lambda x: sum(bool(c.search(plain(x))) for c in _note_cues) + 0.5 * bool(re.match(r"(?:doctor|clinician|provider|dr\.?)\b", x, re.I | re.ASCII))
+    found = [(-cues(s), i, s, len(tokens(s))) for i, s in enumerate(sentences((source or "").replace("\r", "\n")))]
+    chosen, used = [], 0
+    for score_, i, s, n in sorted(f for f in found if f[0] < 0 and f[3]):
+        if used and used + n > budget:
+            continue
+        chosen.append((i, s))
+        used += n
+        if used >= 0.95 * budget:
+            break
+    if not chosen:
+        return (" ".join(tokens(source)[-budget:]),)
+    text = " ".join(s for _, s in sorted(chosen))
+    return (text if len(tokens(text)) <= budget else " ".join(tokens(text)[:budget]),)
+
+
+def cue_notes(rows: DataFrame, source: str, budget: str) -> DataFrame:
+    """All columns with `cue_note`, as cue_note() gives it."""
+    return _rows.with_columns(rows, [source, budget], "cue_note string", cue_note)
+
+
+def compacted(query: str, text: str) -> tuple[str, float]:
+    """A candidate's text cut down to a clause or a window around what it shares with a sentence, unless that loses more than 0.04 of score."""
+    wanted, best = _Text(query), (text, score(_Text(query), _Text(text)))
+    most = max(8, min(48, -(-27 * len(tokens(query)) // 20)))
+    bare = re.sub(r"^\s*(?:doctor|patient|clinician|provider|nurse|speaker\s*\d+|dr\.?)\s*:\s*", "", text, flags=re.I)
+    words, own = tokens(bare), wanted.own
+    parts = [bare, *re.split(r"[.;]|\s+-\s+|,\s+|\s+\band\b\s+|\s+\bbut\b\s+", bare, flags=re.I)]
+    for i, w in enumerate(words):
+        if w in own:
+            parts += [" ".join(words[max(0, i - n // 2) : max(0, i - n // 2) + n]) for n in dict.fromkeys((max(6, -(-most * 11 // 20)), max(8, -(-most * 4 // 5)), most))]
+    seen = set()
+    for part in (p.strip() for p in parts):
+        if 3 <= len(tokens(part)) <= most and _flat(part) not in seen:
+            seen.add(_flat(part))
+            s = score(wanted, _Text(part))
+            if s > best[1] or (s >= best[1] - 0.04 and len(tokens(part)) < len(tokens(best[0]))):
+                best = part, s
+    return best
+
+
+def compact(rows: DataFrame) -> DataFrame:
+    """trace() rows whose best candidates are compacted, with the score that follows."""
+    return _rows.with_columns(rows, ["sentence", "best", "score"], "best string, score double", lambda s, b, x: (b, x) if b is None else (lambda c: (c[0], round(c[1], 6)))(compacted(s, b)))
+
+
 METHODS = ("drop_unsupported", "replace_unsupported", "source_only")
 
 

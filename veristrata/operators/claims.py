@@ -171,3 +171,55 @@ def flatten(runs: DataFrame, key: str = "case_id", extraction: str = "extraction
             yield from ((f"{path}[{i}]", path.split(".")[0], x.get("label"), x.get("source_quote")) for i, x in enumerate(found if isinstance(found, list) else []) if isinstance(x, dict))
 
     return _rows.exploded(runs, key, [extraction], "path string, domain string, label string, quote string", items)
+
+
+#: A label's share of words that its quote lacks, and its words from which that counts; shortest quote beside a longer label.
+MISSING, LABEL_WORDS, SHORT_QUOTE, LONGER_BY = 0.4, 4, 18, 10
+_bullet = re.compile(r"^(?:\?{3,}|\d{1,2}[.)]|[-*])\s*")
+
+
+def fidelity_issues(extraction: str | None) -> Iterator[tuple[str, str, str | None]]:
+    """(code, path, details) of quotes that are empty, seem cut short, or lack much of what their label says (words of four characters or more)."""
+    own = json.loads(extraction or "{}")
+    for path, items in _lists(own):
+        for i, item in enumerate(items if isinstance(items, list) else []):
+            quote, label = str(item.get("source_quote") or ""), str(item.get("label") or "")
+            if not quote.strip():
+                yield "empty_source_quote", f"{path}[{i}]", None
+                continue
+            if len(quote) < min(SHORT_QUOTE, len(label)) and len(label) > len(quote) + LONGER_BY:
+                yield "source_quote_may_be_incomplete", f"{path}[{i}]", f"{len(label)},{len(quote)}"
+            words, have = [w for w in assertion.content(label) if len(w) >= 4], set(assertion.content(quote))
+            missing = [w for w in words if w not in have]
+            if len(words) >= LABEL_WORDS and len(missing) / len(words) > MISSING:
+                yield "label_not_extractively_supported_by_quote", f"{path}[{i}]", ",".join(missing[:12])
+
+
+def fidelity(runs: DataFrame, key: str = "case_id", extraction: str = "extraction") -> DataFrame:
+    """(key, code, path, details): a row for each fidelity_issues() of a run."""
+    return _rows.exploded(runs, key, [extraction], ISSUE, fidelity_issues)
+
+
+def _extractive(x: object) -> str:
+    return _bullet.sub("", " ".join(str(x or "").split())).strip()[:300]
+
+
+def rematerialised(extraction: str | None) -> tuple[str | None, str | None]:
+    """An extraction whose labels are what its quotes say, and the summary that follows: eight labels a list, 4,000 characters."""
+    if not extraction:
+        return None, None
+    own = json.loads(extraction)
+    parts = []
+    for path, items in _lists(own):
+        items = items if isinstance(items, list) else []
+        for item in items:
+            item |= {"label": _extractive(item.get("source_quote")), "rationale": "Extractive label copied from the source quotation."}
+        if labels := [x["label"] for x in items if x["label"]][:8]:
+            parts.append(f"{path}: {'; '.join(labels)}.")
+    own["two_page_summary"] = " ".join(parts)[:4000]
+    return json.dumps(own), own["two_page_summary"]
+
+
+def rematerialise(runs: DataFrame, extraction: str = "extraction") -> DataFrame:
+    """All columns with the extraction made anew from its quotes, and `summary`."""
+    return _rows.with_columns(runs, [extraction], f"{extraction} string, summary string", rematerialised)

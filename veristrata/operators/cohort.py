@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veristrata.functions import text as T
 from veristrata.operators.sample import numbered
@@ -153,9 +154,7 @@ def bootstrap_f1(cases: DataFrame, order: str, repeats: int = 1000, seed: int =
     n = counts.shape[1]
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, c = np.ones(n, np.uint64), np.zeros(n, np.uint64)  # state j steps on: a[j] * state + c[j]
-        for j in range(n):
-            a[j], c[j] = (_A * int(a[j - 1]) % _M, (_A * int(c[j - 1]) + _C) % _M) if j else (_A, _C)
+        a, c = _jumps(n)
         for part in batches:
             out = []
             for r in part["id"].to_pylist():
@@ -179,3 +178,42 @@ def micro_scores(scores: DataFrame, by: list[str]) -> DataFrame:
     p, r = T.ratio(F.col("tp"), F.col("tp") + F.col("fp")), T.ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     f1 = F.when((p > 0) & (r > 0), 2 * p * r / (p + r)).otherwise(0.0)
     return t.select(*by, "tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(f1, F.lit(0.0)), 6).alias("f1"))
+
+
+def exact_mcnemar(a: int, b: int) -> float:
+    """Two-sided exact p of a fair coin that fell a and b times."""
+    n, k = a + b, min(a, b)
+    return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
+
+
+def planned_sizes(spark: SparkSession, sizes: list[int], both: float, only_a: float, only_b: float, simulations: int = 1000, alpha: float = 0.05, seed: int = 20260618) -> DataFrame:
+    """(n, power, half_width): for each number of pairs how often an exact McNemar test finds the difference, and the mean half-width of its interval."""
+
+    def simulated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            out = []
+            for n in part["n"].to_pylist():
+                a, state = _jumps(n), (seed + n) % _M
+                found, width, p_of = 0, 0.0, {}
+                for _ in range(simulations):
+                    draws = (a[0] * np.uint64(state) + a[1]) & np.uint64(_M - 1)
+                    state = int(draws[-1])
+                    share = draws / _M
+                    x, y = int(((share >= both) & (share < both + only_a)).sum()), int(((share >= both + only_a) & (share < both + only_a + only_b)).sum())
+                    p = p_of.setdefault((min(x, y), max(x, y)), None) or exact_mcnemar(x, y)
+                    p_of[min(x, y), max(x, y)] = p
+                    found += bool(x + y) and p < alpha
+                    d = (x - y) / n
+                    width += 1.959963984540054 * math.sqrt(max(0.0, (x + y) / n - d * d) / n)
+                out.append((found / simulations, width / simulations))
+            yield pa.RecordBatch.from_arrays([part["n"], pa.array([p for p, _ in out], pa.float64()), pa.array([w for _, w in out], pa.float64())], ["n", "power", "half_width"])
+
+    return spark.createDataFrame([(n,) for n in sizes], "n long").repartition(max(1, len(sizes))).mapInArrow(simulated, "n long, power double, half_width double")
+
+
+def _jumps(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends of the generator's first n steps: state j steps on is a[j - 1] * state + c[j - 1]."""
+    a, c = np.ones(n, np.uint64), np.zeros(n, np.uint64)
+    for j in range(n):
+        a[j], c[j] = (_A * int(a[j - 1]) % _M, (_A * int(c[j - 1]) + _C) % _M) if j else (_A, _C)
+    return a, c

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -160,3 +161,102 @@ def stratified(rows: DataFrame, key: str, stratum: str, seed: str, share: float)
     own = rows.select(key, stratum, h.alias("__h"))
     cut = ranked(own, "__h", [stratum], lambda n: F.ceil(n * share)).select(stratum, F.col("q").alias("__q"))
     return own.join(cut, stratum).select(key, stratum, (F.col("__h") <= F.col("__q")).alias("first"))
+
+
+def _draws(state: int, n: int) -> tuple[list[float], int]:
+    """n numbers of the generator that splits are drawn by, and its state behind them. Its products round as doubles do, so it can't be run ahead."""
+    out = []
+    for _ in range(n):
+        state = int(state * 1103515245.0 + 12345.0) & 0x7FFFFFFF
+        out.append(state / 0x7FFFFFFF)
+    return out, state
+
+
+def repeated_splits(items: DataFrame, case: str, scores: list[str], supported: str, alphas: list[float], splits: int = 200, share: float = 0.5, seed: int = 0x1234567, most: int = 2_000_000) -> DataFrame:
+    """(score, alpha, risk, coverage, recall, over): means over splits by case of what a threshold calibrated on one part does on the other.
+
+    Cases are shuffled by one generator, split after split; the states in which splits begin are found first, then splits run apart. `over`
+    is the share of splits whose risk is above alpha. The items are sent to the tasks; more than `most` raise. Null scores count as 0.
+    """
+    if items.count() > most:
+        raise ValueError("too many items for repeated splits")
+    rows = items.select(case, F.col(supported).cast("boolean").alias("__ok"), *(F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in scores)).toArrow().sort_by([(case, "ascending")])
+    names, of = np.unique(rows[case].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    ok, n = rows["__ok"].to_numpy(zero_copy_only=False).astype(bool), len(names)
+    values = {s: rows[s].to_numpy() for s in scores}
+    state, begin = seed, []
+    for s in scores:
+        for a in alphas:
+            for k in range(splits):
+                begin.append((s, float(a), k, state))
+                state = _draws(state, max(0, n - 1))[1]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            out = []
+            for s, alpha, start in zip(part["score"].to_pylist(), part["alpha"].to_pylist(), part["state"].to_pylist(), strict=True):
+                order = list(range(n))
+                for i, r in zip(range(n - 1, 0, -1), _draws(start, n - 1)[0], strict=True):
+                    j = min(i, int(r * (i + 1)))
+                    order[i], order[j] = order[j], order[i]
+                cal = np.zeros(n, bool)
+                cal[order[: int(n * share)]] = True
+                cal, x = cal[of], values[s]
+                if not cal.any() or cal.all():
+                    out.append((None, None, None))
+                    continue
+                own, bad = x[cal], ~ok[cal]
+                cuts = np.unique(np.append(own, [0.0, BEYOND]))
+                at = np.sort(own[bad])
+                loss = len(at) - np.searchsorted(at, cuts, "left")
+                fine = cuts[(loss + 1) / (len(own) + 1) <= alpha]
+                taken = x[~cal] >= (fine[0] if len(fine) else BEYOND)
+                good = ok[~cal]
+                out.append((float((taken & ~good).mean()), float(taken.mean()), float(taken[good].mean()) if good.any() else None))
+            columns = list(zip(*out, strict=True)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([part["score"], part["alpha"], *(pa.array(list(c), pa.float64()) for c in columns)], ["score", "alpha", "risk", "coverage", "recall"])
+
+    spark = items.sparkSession
+    made = spark.createDataFrame(begin, "score string, alpha double, k int, state long").mapInArrow(split, "score string, alpha double, risk double, coverage double, recall double").dropna(subset=["risk"])
+    six = lambda c: F.round(F.avg(c), 6)
+    return made.groupBy("score", "alpha").agg(six("risk").alias("risk"), six("coverage").alias("coverage"), six("recall").alias("recall"), six((F.col("risk") > F.col("alpha")).cast("double")).alias("over"))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, epochs: int = 800, rate: float = 0.08, l2: float = 0.001) -> np.ndarray:
+    """Weights by full-batch descent on the log loss; the first weight isn't held back."""
+    w = np.zeros(x.shape[1])
+    for _ in range(epochs):
+        step = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -500, 500))) - y) / max(1, len(y))
+        step[1:] += l2 * w[1:]
+        w -= rate * step
+    return w
+
+
+def logistic_scores(rows: DataFrame, key: str, features: list[str], outcome: Column, calibration: Column, most: int = 200_000) -> DataFrame:
+    """(key, calibration, outcome, probability) by a logistic regression on the calibration rows, standardised by their means and spreads.
+
+    Features go in the order of their names, with `intercept` (always 1) among them. The model is fitted on the driver, on at most `most` rows (more raise); rows
+    are scored by columns alone. Null features count as 0.
+    """
+    names = sorted([*features, "intercept"])
+    rows = rows.select(key, *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features), outcome.cast("double").alias("outcome"), calibration.alias("calibration")).withColumn("intercept", F.lit(1.0))
+    got = rows.filter("calibration").select(*names, "outcome").limit(most + 1).toArrow()
+    if got.num_rows > most:
+        raise ValueError("too many calibration rows for one regression")
+    x, y = np.stack([got[n].to_numpy() for n in names], axis=1) if got.num_rows else np.zeros((0, len(names))), got["outcome"].to_numpy()
+    mean, spread = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(len(names)), np.ones(len(names)))
+    spread = np.where(spread > 0, spread, 1.0)
+    k = names.index("intercept")
+    mean[k], spread[k] = 0.0, 1.0
+    w = logistic((x - mean) / spread, y)
+    z = sum((((F.col(n) - float(m)) / float(s)) * float(v) for n, m, s, v in zip(names, mean, spread, w, strict=True)), F.lit(0.0))
+    return rows.select(key, "calibration", "outcome", (1 / (1 + F.exp(-z))).alias("probability"))
+
+
+def triage(scored: DataFrame, key: str, alpha: float, guard: Column | None = None) -> DataFrame:
+    """(key, accepted, outcome): rows outside the calibration whose set of labels, by one quantile, is that of no escalation alone, and that no guard holds back."""
+    own = F.when(F.col("outcome") == 1, 1 - F.col("probability")).otherwise(F.col("probability"))
+    q = quantiles(scored.filter("calibration").select(F.lit(1).alias("__g"), own.alias("__s")), "__s", alpha, ["__g"]).select("q")
+    rows = scored.filter("not calibration").join(F.broadcast(q), how="left").withColumn("q", F.coalesce("q", F.lit(math.inf)))
+    held = F.lit(False) if guard is None else F.coalesce(guard, F.lit(False))
+    return rows.select(key, ((F.col("probability") <= F.col("q")) & ~(1 - F.col("probability") <= F.col("q")) & ~held).alias("accepted"), "outcome")

@@ -64,14 +64,25 @@ def assign(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     return sorted((left[owner[j]], right[j], known[left[owner[j]], right[j]]) for j in range(m) if owner[j] >= 0 and value[owner[j], j] > 0)
 
 
-def matches(pairs: DataFrame) -> DataFrame:
-    """The assigned ones among candidates(); a record's pairs are handled in one task, its size being one document's items."""
+def assign_greedily(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """One-to-one pairs by descending score, ties to the smaller prediction, then gold."""
+    out, used, taken = [], set(), set()
+    for a, b, s in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        if a not in used and b not in taken:
+            out.append((a, b, s))
+            used.add(a)
+            taken.add(b)
+    return sorted(out)
+
+
+def matches(pairs: DataFrame, greedy: bool = False) -> DataFrame:
+    """The assigned ones among candidates(); a record's pairs are handled in one task, its size being one document's items. `greedy`: by descending score alone."""
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         p, g = sorted(part["prediction"].unique()), sorted(part["gold"].unique())
         at_p, at_g = {x: i for i, x in enumerate(p)}, {x: i for i, x in enumerate(g)}
-        got = assign([(at_p[a], at_g[b], s) for a, b, s in zip(part["prediction"], part["gold"], part["score"], strict=True)])
+        got = (assign_greedily if greedy else assign)([(at_p[a], at_g[b], s) for a, b, s in zip(part["prediction"], part["gold"], part["score"], strict=True)])
         return pd.DataFrame({"record_id": part["record_id"].iloc[0], "prediction": [p[a] for a, _, _ in got], "gold": [g[b] for _, b, _ in got], "score": [s for _, _, s in got]})
 
     return pairs.groupBy("record_id").applyInPandas(one, ", ".join(f"{n} {kind[n]}" for n in ("record_id", "prediction", "gold", "score")))

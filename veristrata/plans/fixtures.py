@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from veristrata.operators import assertion, claims, gates, multispan, provenance, retrieval, segment, spans
+from veristrata.operators import assertion, attribution, claims, gates, matching, multispan, provenance, retrieval, segment, spans
 from veristrata.plans.catalogue import query
 
 
@@ -314,3 +314,44 @@ def q_span_proposals(spark, d):
     rows = [(1, 1, "Creatinine 1.3 mg/dL.", "creatinine"), (2, 1, "follow up cardiology, in one week", "visit"), (3, 1, "Lasix 40 mg ... Heart failure exacerbation", "lasix"), (4, 1, "zebra giraffe", "potassium 4.9"), (5, 1, "zebra giraffe", "lion"), (6, 1, " ", "x"), (7, 8, "x", "x")]
     items = spark.createDataFrame(rows, "item_id int, doc_id int, quote string, label string")
     return multispan.proposals(items, spark.createDataFrame([(1, STRESS_NOTE)], "doc_id int, text string")).select("item_id", "category", "status", "action")
+
+
+@query(values("item_id, expanded", (1, "aspirin oral twice daily"), (2, "acute kidney injury"), (3, "copd1"), (4, "")))
+def q_expanded_terms(spark, d):
+    rows = spark.createDataFrame([(1, "Aspirin PO, BID"), (2, "AKI"), (3, "copd1"), (4, "")], "item_id int, text string")
+    return rows.select("item_id", assertion.expand(F.col("text")).alias("expanded"))
+
+
+@query(
+    values(
+        "case_id, code, path, details", (1, "empty_source_quote", "labs[0]", None), (1, "source_quote_may_be_incomplete", "labs[1]", "35,5"), (1, "label_not_extractively_supported_by_quote", "labs[1]", "potassium,replaced,after,diuresis"),
+    )
+)
+def q_fidelity(spark, d):
+    items = [{"label": "x", "source_quote": " "}, {"label": "potassium replaced after diuresis 3", "source_quote": "K 3.1"}, {"label": "potassium low", "source_quote": "potassium was low today and replaced"}]
+    return claims.fidelity(spark.createDataFrame([(1, json.dumps({"labs": items})), (2, None)], "case_id int, extraction string"))
+
+
+@query(values("case_id, summary", (1, "medication_changes.started: Aspirin 81 mg. labs: K 3.1; Na 128."), (2, None)))
+def q_rematerialised(spark, d):
+    own = {"labs": [{"label": "x", "source_quote": "1. K  3.1"}, {"label": "y", "source_quote": "- Na 128"}, {"label": "z", "source_quote": None}], "medication_changes": {"started": [{"source_quote": "Aspirin 81 mg"}]}}
+    return claims.rematerialise(spark.createDataFrame([(1, json.dumps(own)), (2, None)], "case_id int, extraction string")).select("case_id", "summary")
+
+
+@query(values("id, cue_note", (1, "Doctor: start aspirin 81 mg. Check potassium please."), (2, "talk only"), (3, "")))
+def q_cue_notes(spark, d):
+    rows = [(1, "Hello there friend. Doctor: start aspirin 81 mg. We talk about gardens. Check potassium please.", 10), (2, "small talk only", 2), (3, None, 5)]
+    return attribution.cue_notes(spark.createDataFrame(rows, "id int, source string, budget int"), "source", "budget").select("id", "cue_note")
+
+
+@query(values("prediction, gold, score", (1, 1, "=0.9::double")))
+def q_greedy_assignment(spark, d):
+    """By descending score alone one pair is made where two are possible."""
+    pairs = spark.createDataFrame([(7, 1, 1, 0.9), (7, 1, 2, 0.8), (7, 2, 1, 0.8)], "record_id int, prediction int, gold int, score double")
+    return matching.matches(pairs, greedy=True).drop("record_id")
+
+
+@query(values("prediction, gold, score", (1, 2, "=0.8::double"), (2, 1, "=0.8::double")))
+def q_best_assignment(spark, d):
+    pairs = spark.createDataFrame([(7, 1, 1, 0.9), (7, 1, 2, 0.8), (7, 2, 1, 0.8)], "record_id int, prediction int, gold int, score double")
+    return matching.matches(pairs).drop("record_id")

@@ -294,3 +294,20 @@ def q_section_coverage(spark, d):
     chosen = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("s", F.lit(1))
     c = table(spark, d, "orders").join(chosen, "o_orderkey", "left").groupBy(F.col("o_orderpriority").alias("domain")).agg(F.count(F.lit(1)).alias("candidates"), F.count("s").alias("selected"))
     return c.withColumn("rate", F.round(F.col("selected") / F.col("candidates"), 6))
+
+
+@query()
+def q_repeated_splits(spark, d):
+    return conformal.repeated_splits(scored(spark, d).withColumn("inverse", 1 - F.col("score")), "source", ["score", "inverse"], "ok", [0.1, 0.2], splits=20)
+
+
+@query()
+def q_triage(spark, d):
+    first = F.substring(F.sha2(F.concat(F.lit("triage:"), F.col("doc_id").cast("string")), 256), 1, 1) < "8"
+    rows = scored(spark, d).withColumn("english", (F.col("lang") == "en").cast("int"))
+    return conformal.triage(conformal.logistic_scores(rows, "doc_id", ["score", "english"], (~F.col("ok")).cast("int"), first), "doc_id", 0.1)
+
+
+@query()
+def q_planned_sizes(spark, d):
+    return cohort.planned_sizes(spark, [30, 60, 120], 0.05, 0.25, 0.08, 200)
