@@ -125,15 +125,18 @@ def score_difference(docs: DataFrame, target: Model, background: Model) -> DataF
 
 
 #: Words are hashed to so many bits; the mark at a text's end and the one before it follow as symbols.
-WORD_BITS = 20
+WORD_BITS = 19
 TEXT_END, TEXT_START = 1 << WORD_BITS, (1 << WORD_BITS) + 1
 WIDTH = WORD_BITS + 1
 #: Weights of the estimates by pair and by word; the rest is spread evenly over the words and the end.
 WORD_MIX = (0.6, 0.35)
 #: Pairs that make up more than 1 / HOT of the background, HOT of them at most, are scored where the texts are.
 HOT = 200_000
-#: Text bytes to a part of the counts, about; distinct pairs or tokens that a task holds before it sends them on.
-PART_BYTES, HELD = 8 << 20, 1 << 19
+#: Text bytes to a part of the counts, about, and parts at least, so that a pair's name inside its part has four bytes; distinct pairs
+#: or tokens that a task holds before it sends them on.
+PART_BYTES, LEAST_PARTS, HELD = 2 << 20, 256, 1 << 18
+#: Parts of a nat that sums of losses are counted in.
+SCALE = 1 << 30
 #: Pairs in a row of the counts, at most, so that rows and the batches that hold them stay small.
 ROW_PAIRS = 1 << 16
 
@@ -151,11 +154,31 @@ def word_pairs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return before << WIDTH | second, to
 
 
-def _parted(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the keys by part, and the parts' offsets in it."""
-    part = (T.mix(key.astype(np.uint64)) % T.U(parts)).astype(np.int64)
+_KEY = (1 << 2 * WIDTH) - 1
+_TIMES = (0x9E3779B97F4A7C15 & _KEY | 1, 0xBF58476D1CE4E5B9 & _KEY | 1)
+
+
+def _shuffled(x: np.ndarray, times: tuple[int, ...]) -> np.ndarray:
+    """A bijection of the numbers of a pair's width; with the factors' inverses, last one first, it is undone."""
+    x = x ^ (x >> T.U(WIDTH))
+    for t in times:
+        x = (x * T.U(t)) & T.U(_KEY)
+        x ^= x >> T.U(WIDTH)
+    return x
+
+
+def _parted(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the keys by part, the parts' offsets in it, and the keys' names inside their parts, in that order."""
+    mixed = _shuffled(key.astype(np.uint64), _TIMES)
+    part = (mixed % T.U(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    return order, np.searchsorted(part[order], np.arange(parts + 1)), (mixed[order] // T.U(parts)).astype(np.uint32)
+
+
+def _whole(name: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """The keys that have these names in a part."""
+    inverse = tuple(pow(t, -1, _KEY + 1) for t in reversed(_TIMES))
+    return _shuffled(name.astype(np.uint64) * T.U(parts) + T.U(part), inverse).astype(np.int64)
 
 
 def _merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +220,7 @@ def _loss(one: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
 def word_statistics(target: DataFrame, background: DataFrame) -> Words:
     """Counts of all word pairs of target(text) and background(text). Tasks add up before the shuffle, and no pair is left out."""
     size = background.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = 4 + int(size / PART_BYTES)
+    parts = max(LEAST_PARTS, int(size / PART_BYTES))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -205,9 +228,9 @@ def word_statistics(target: DataFrame, background: DataFrame) -> Words:
         def sent() -> pa.RecordBatch:
             key, n = _merged(*(np.concatenate(c) for c in zip(*held, strict=True)))
             held.clear()
-            order, at = _parted(key, parts)
-            key, n, used = key[order], n[order], np.flatnonzero(np.diff(at))
-            blobs = [[x[at[p] : at[p + 1]].tobytes() for p in used] for x in (key, n)]
+            order, at, name = _parted(key, parts)
+            n, used = n[order], np.flatnonzero(np.diff(at))
+            blobs = [[x[at[p] : at[p + 1]].tobytes() for p in used] for x in (name, n)]
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], ["part", "key", "n"])
 
         for _, data, at in T.pieces(batches, "text"):
@@ -223,7 +246,7 @@ def word_statistics(target: DataFrame, background: DataFrame) -> Words:
         lists, part = [], table["part"][0].as_py()
         for k in (0, 1):
             own = table.filter(pc.equal(table["kind"], k))
-            lists.append(_merged(_joined(own["key"], np.int64), _joined(own["n"], np.int64)))
+            lists.append(_merged(_joined(own["key"], np.uint32), _joined(own["n"], np.int64)))
         kinds = np.union1d(lists[0][0], lists[1][0])
         both = [np.zeros(len(kinds), np.int64) for _ in lists]
         for out, (key, n) in zip(both, lists, strict=True):
@@ -234,11 +257,15 @@ def word_statistics(target: DataFrame, background: DataFrame) -> Words:
     rows = [d.select("text").mapInArrow(counted, "part int, key binary, n binary").withColumn("kind", F.lit(k)) for k, d in enumerate((target, background))]
     table = _shared.settle(rows[0].union(rows[1]).groupBy("part").applyInArrow(added, "part int, key binary, a binary, b binary"), "lm-pairs")
 
+    def unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (np.frombuffer(batch[c][i].as_py(), np.int64) for c in ("a", "b"))
+        return _whole(np.frombuffer(batch["key"][i].as_py(), np.uint32), batch["part"][i].as_py(), parts), a, b
+
     def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, TEXT_START + 1))
         for batch in batches:
             for i in range(batch.num_rows):
-                key, a, b = (np.frombuffer(batch[c][i].as_py(), np.int64) for c in ("key", "a", "b"))
+                key, a, b = unpacked(batch, i)
                 second, start = key & ((1 << WIDTH) - 1), key >> WIDTH == TEXT_START
                 for k, n in enumerate((a, b)):
                     total[k] += np.bincount(second, n, TEXT_START + 1)
@@ -246,7 +273,7 @@ def word_statistics(target: DataFrame, background: DataFrame) -> Words:
         used = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(total[k, used].astype(np.int64)) for k in (0, 1))], ["word", "a", "b"])
 
-    found = table.select("key", "a", "b").mapInArrow(ones, "word int, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    found = table.mapInArrow(ones, "word int, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
     one = np.zeros((2, TEXT_START + 1))
     for k, c in enumerate("ab"):
         one[k, found["word"].to_numpy()] = found[c].to_numpy()
@@ -255,19 +282,20 @@ def word_statistics(target: DataFrame, background: DataFrame) -> Words:
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                got = [np.frombuffer(batch[c][i].as_py(), np.int64) for c in ("key", "a", "b")]
+                got = unpacked(batch, i)
                 keep = got[2] > least
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in got], ["key", "a", "b"])
 
-    hot = table.select("key", "a", "b").mapInArrow(common, "key long, a long, b long").toArrow().sort_by([("key", "ascending")])
+    hot = table.mapInArrow(common, "key long, a long, b long").toArrow().sort_by([("key", "ascending")])
     return Words(table, parts, (one[0], one[1]), tuple(hot[c].to_numpy() for c in ("key", "a", "b")))
 
 
 def word_score(docs: DataFrame, words: Words) -> DataFrame:
     """As score_difference, by word pairs; tokens are the words and the text's end.
 
-    A document's pairs that aren't hot are sent, packed, to the part that has their counts, and its losses by part are added up. Losses
-    are added in an order that depends on the text alone, so equal texts score alike.
+    A document's pairs that aren't hot are sent, packed, to the part that has their counts, and its losses by part are added up. Sums
+    by part are whole numbers of SCALE a nat: so they add up to the same whatever the order, equal texts score alike, and tasks add up
+    their parts before the shuffle.
     """
     kind, parts = docs.schema["doc_id"].dataType.simpleString(), words.parts
     one, (hot, *of_hot) = words.one, words.hot
@@ -285,10 +313,10 @@ def word_score(docs: DataFrame, words: Words) -> DataFrame:
             key, row = np.concatenate(keys), np.concatenate(rows)
             keys.clear()
             rows.clear()
-            order, at = _parted(key, parts)
-            key, row, used = key[order], row[order], np.flatnonzero(np.diff(at))
+            order, at, name = _parted(key, parts)
+            row, used = row[order], np.flatnonzero(np.diff(at))
             low = [int(row[at[p]]) for p in used]
-            blobs = [[key[at[p] : at[p + 1]].tobytes() for p in used], [(row[at[p] : at[p + 1]] - x).astype(np.uint32).tobytes() for p, x in zip(used, low, strict=True)]]
+            blobs = [[name[at[p] : at[p + 1]].tobytes() for p in used], [(row[at[p] : at[p + 1]] - x).astype(np.uint32).tobytes() for p, x in zip(used, low, strict=True)]]
             n = len(used)
             return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), none(n, kind), none(n, pa.int64()), none(n, pa.float64()), none(n, pa.float64()), pa.array(used, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], names)
 
@@ -314,38 +342,37 @@ def word_score(docs: DataFrame, words: Words) -> DataFrame:
         blobs = pc.is_valid(left["key"])
         whole, left = left.filter(pc.invert(blobs)).select(["row", "doc_id", "n", "a", "b"]), left.filter(blobs)
         if right.num_rows:
-            known = _joined(right["key"], np.int64)
+            known = _joined(right["key"], np.uint32)
             order = np.argsort(known, kind="stable")
             known, n = known[order], [_joined(right[c], np.int64)[order] for c in "ab"]
         else:
-            known, n = np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 2
-        by_pair = [_loss(o, known, x) for o, x in zip(one, n, strict=True)]
+            known, n = np.zeros(0, np.uint32), [np.zeros(0, np.int64)] * 2
+        of = next((t["part"][0].as_py() for t in (left, right) if t.num_rows), 0)
+        by_pair = [_loss(o, _whole(known, of, parts), x) for o, x in zip(one, n, strict=True)]
         for low, key, at in zip(left["row"].to_pylist(), left["key"].to_pylist(), left["at"].to_pylist(), strict=True):
-            key, at = np.frombuffer(key, np.int64), np.frombuffer(at, np.uint32).astype(np.int64)
+            key, at = np.frombuffer(key, np.uint32), np.frombuffer(at, np.uint32).astype(np.int64)
             spot = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
             here = known[spot] == key if len(known) else np.zeros(len(key), bool)
             used, where = np.unique(at, return_inverse=True)
             rows.append(used + low)
             for k in (0, 1):
-                loss = np.where(here, by_pair[k][spot], _loss(one[k], key, np.zeros(len(key)))) if not here.all() else by_pair[k][spot]
+                loss = np.where(here, by_pair[k][spot], _loss(one[k], _whole(key, of, parts), np.zeros(len(key)))) if not here.all() else by_pair[k][spot]
                 sums[k].append(np.bincount(where, loss, len(used)))
-        part = np.full(sum(map(len, rows)), left["part"][0].as_py() if left.num_rows else 0, np.int32)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        m = len(part)
-        found = pa.table({"row": cat(rows, np.int64), "doc_id": pa.nulls(m, whole["doc_id"].type), "n": pa.nulls(m, pa.int64()), "part": part, "a": cat(sums[0], float), "b": cat(sums[1], float)})
-        whole = whole.add_column(3, "part", pa.array(np.full(len(whole), -1), pa.int32()))
-        return _trimmed(pa.concat_tables([whole.cast(found.schema), found]).combine_chunks())
+        whole_numbers = lambda x: np.rint(x * SCALE).astype(np.int64)
+        row = cat(rows, np.int64)
+        found = pa.table({"row": row, "doc_id": pa.nulls(len(row), whole["doc_id"].type), "n": pa.nulls(len(row), pa.int64()), **{c: whole_numbers(cat(s, float)) for c, s in zip("ab", sums, strict=True)}})
+        own = pa.table({**{c: whole[c] for c in ("row", "doc_id", "n")}, **{c: whole_numbers(whole[c].to_numpy()) for c in "ab"}})
+        return _trimmed(pa.concat_tables([own.cast(found.schema), found]).combine_chunks())
 
     packed = docs.select("doc_id", "text").mapInArrow(sent, f"{total}, part int, key binary, at binary")
-    rows = packed.groupBy("part").cogroup(words.table.groupBy("part")).applyInArrow(joined, f"row long, doc_id {kind}, n long, part int, a double, b double")
-    added = lambda c: F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("part", c))), lambda x: x[c]), F.lit(0.0), lambda s, x: s + x)
-    rows = rows.groupBy("row").agg(F.max(F.struct(F.col("n"), "doc_id")).alias("doc"), added("a").alias("a"), added("b").alias("b"))
+    rows = packed.groupBy("part").cogroup(words.table.groupBy("part")).applyInArrow(joined, f"row long, doc_id {kind}, n long, a long, b long")
+    rows = rows.groupBy("row").agg(F.max(F.struct(F.col("n"), "doc_id")).alias("doc"), *((F.sum(c) / SCALE).alias(c) for c in "ab"))
     rows = rows.select("doc.doc_id", F.col("doc.n").alias("n_tokens"), (F.col("a") / F.col("doc.n")).alias("loss_target"), (F.col("b") / F.col("doc.n")).alias("loss_background"))
     return rows.withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     _shared.small_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     docs, target = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return word_score(docs, word_statistics(target, docs))
