@@ -160,12 +160,39 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def tfidf_top(docs: DataFrame, top: int = 5, least: int = 3, most: float = 0.85) -> DataFrame:
-    """(doc_id, rank, token, weight): heaviest tokens of each document by (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1)."""
-    tf = docs.select("doc_id", F.explode(T.content_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+# Words left out when notes are compared.
+COMMON = (
+    "the and for with that this was were are his her had has have from not but she you all can out one two patient patients date name hospital last first discharge admission service history past medical "
+    "present illness"
+).split()
+#: Terms of the vocabulary: the most frequent ones.
+TERMS = 5000
+
+
+def terms(x: Column) -> Column:
+    """Words of three characters or more that aren't among COMMON, and pairs of neighbouring ones joined by an underscore."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(x), r"\[\*\*.*?\*\*\]", " "), r"[^a-z0-9%./+-]+", " ")
+    words = F.filter(F.split(bare, " "), lambda t: (F.length(t) >= 3) & ~t.isin(COMMON))
+    return F.concat(words, F.transform(T.ngrams(words, 2), lambda g: F.replace(g, F.lit(" "), F.lit("_"))))
+
+
+def tfidf(docs: DataFrame, least: int = 3, most: float = 0.85, vocabulary: int | None = TERMS) -> DataFrame:
+    """(doc_id, token, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) of the vocabulary's terms in each document.
+
+    The vocabulary has the terms that `least` documents and no more than a share `most` of all have; of these the most frequent ones, as many as
+    `vocabulary` says (None: all), ties to the earlier term. It is small and sent to every task where Spark's own size estimate allows.
+    """
+    tf = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).filter((F.col("df") >= least) & (F.col("df") <= most * F.col("n")))
-    weight = F.round((1 + F.log("tf")) * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1), 6)
-    rows = tf.join(df, "token").select("doc_id", "token", weight.alias("weight"))
+    if vocabulary is not None:
+        df = df.orderBy(F.col("df").desc(), "token").limit(vocabulary)
+    weight = (1 + F.log("tf")) * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1)
+    return tf.join(df, "token").select("doc_id", "token", weight.alias("weight"))
+
+
+def tfidf_top(docs: DataFrame, top: int = 5) -> DataFrame:
+    """(doc_id, rank, token, weight): heaviest terms of each document, weights to six places, ties to the earlier term."""
+    rows = tfidf(docs).withColumn("weight", F.round("weight", 6))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "token"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= top).select("doc_id", "rank", "token", "weight")

@@ -73,13 +73,14 @@ def greedy(lines: list[dict], quote: set[str], label: set[str], most: int, words
     return ("insufficient_evidence" if chosen else "not_found"), chosen
 
 
-def select_minimal(ranked: DataFrame, most: int = 3, candidates: int = 60, least: float = 0.08, words_each: int | None = 24) -> DataFrame:
+def select_minimal(ranked: DataFrame, most: int = 3, candidates: int | None = None, least: float = 0.08, words_each: int | None = 24) -> DataFrame:
     """(item_id, doc_id, status, line_ids): the few lines that support each claim, in reading order.
 
-    Only a claim's best `candidates` lines with a score of at least `least` are tried, which is a setting of this selector and bounds
-    what one claim holds. Conflicts of assertion are not looked at here. A claim without such a line is not_found.
+    Lines with a score of at least `least` are tried, all of them or a claim's best `candidates`, as a number asks for. Conflicts of
+    assertion are not looked at here. A claim without such a line is not_found.
     """
-    line = F.when((F.col("rank") <= candidates) & (F.col("score") >= least), F.struct("ordinal", "line_id", "score", "words", "shared"))
+    tried = F.col("score") >= least
+    line = F.when(tried if candidates is None else tried & (F.col("rank") <= candidates), F.struct("ordinal", "line_id", "score", "words", "shared"))
     by = ranked.groupBy("item_id", "doc_id").agg(F.collect_list(line).alias("lines"), F.first("q").alias("q"), F.first("l").alias("l"))
 
     def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -160,7 +160,11 @@ def q_dup_clusters(spark, d):
     return near.select(F.col("id").alias("doc_id"), F.col("root").alias("cluster_id"))
 
 
-@query(f"with t as (select doc_id, unnest({TOKENS}) as token from documents), tf as (select doc_id, token, count(*) as tf from t group by 1, 2), n as (select count(*) as n from documents), df as (select token, count(*) as df from tf group by 1), w as (select doc_id, token, round((1 + ln(tf)) * (ln((1.0::double + n) / (1 + df)) + 1), 6) as weight from tf join df using (token), n where df >= 3 and df <= 0.85 * n) select doc_id, row_number() over (partition by doc_id order by weight desc, token)::int as rank, token, weight from w qualify rank <= 5")
+@query(
+    f"""with w as (select doc_id, list_filter(string_split(regexp_replace(regexp_replace(lower(text), '\\[\\*\\*.*?\\*\\*\\]', ' ', 'g'), '[^a-z0-9%./+-]+', ' ', 'g'), ' '), lambda t: length(t) >= 3 and t not in ({", ".join(f"'{w}'" for w in cluster.COMMON)})) as w from documents),
+t as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) as token from w), tf as (select doc_id, token, count(*) as tf from t group by 1, 2), n as (select count(*) as n from documents), df as (select token, count(*) as df, any_value(n) as n from tf, n group by 1 having count(*) >= 3 and count(*) <= 0.85 * any_value(n) order by df desc, token limit 5000),
+x as (select doc_id, token, round((1 + ln(tf)) * (ln((1.0::double + n) / (1 + df)) + 1), 6) as weight from tf join df using (token)) select doc_id, row_number() over (partition by doc_id order by weight desc, token)::int as rank, token, weight from x qualify rank <= 5"""
+)
 def q_tfidf_top(spark, d):
     return cluster.tfidf_top(table(spark, d, "documents"))
 
