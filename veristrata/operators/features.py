@@ -131,3 +131,72 @@ def status_baselines(x: Column, speculation: str, pseudo: str) -> dict[str, Colu
     has = lambda t, p: t.rlike(rf"(?<![a-z0-9_])(?:{p})(?![a-z0-9_])")
     negated = has(F.regexp_replace(text, rf"(?<![a-z0-9_])(?:{pseudo})(?![a-z0-9_])", " "), BASELINE_NEGATION)
     return {"present_majority": F.lit("present"), "negex_style": F.when(negated, "absent").otherwise("present"), "context_style": F.when(has(text, speculation), "possible").when(negated, "absent").otherwise("present")}
+
+
+# Cues by which a sentence's status is scored, each counted as often as it stands there.
+SCORE_NEGATION = ["no", "not", "without", "denies?", "denied", "negative for", "no evidence of", "ruled out", "absence of"]
+SCORE_SPECULATION = "possible possibly probable probably suspected|concern for|question of|may might could|cannot exclude|rule out|suggests? indicates? appears? likely possibility potentially whether"
+SCORE_SPECULATION = [c for part in SCORE_SPECULATION.split("|") for c in ([part] if part in ("concern for", "question of", "cannot exclude", "rule out") else part.split())]
+
+
+def status_scores(x: Column, detected: Column) -> dict[str, Column]:
+    """Scores of present, absent and possible that add up to one, from what was detected and how many cues stand in the text."""
+    text = F.lower(F.coalesce(x, F.lit("")))
+    count = lambda cues: sum((F.regexp_count(text, F.lit(rf"(?<![a-z0-9_])(?:{c})(?![a-z0-9_])")) for c in cues), F.lit(0))
+    neg, spec = count(SCORE_NEGATION), count(SCORE_SPECULATION)
+    both = (neg > 0) & (spec > 0)
+    pick = lambda present, absent, possible: F.when(detected == "present", present).when(detected == "absent", absent).otherwise(possible)
+    raw = {
+        "present": pick(F.lit(0.64), F.when(both, 0.30).otherwise(0.18), F.when(both, 0.30).otherwise(0.20)),
+        "absent": pick(F.greatest(F.lit(0.18), 0.26 + neg * 0.08), 0.72 + F.least(F.lit(0.12), neg * 0.04), F.when(both, 0.48).otherwise(0.18 + neg * 0.04)),
+        "possible": pick(F.greatest(F.lit(0.18), 0.26 + spec * 0.08), F.when(both, 0.48).otherwise(0.20 + spec * 0.04), 0.72 + F.least(F.lit(0.12), spec * 0.04)),
+    }
+    total = raw["present"] + raw["absent"] + raw["possible"]
+    return {k: v / total for k, v in raw.items()}
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Share of the smaller set of words that the other has; 0 where either is empty."""
+    n = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(0.0)
+
+
+def containment(a: Column, b: Column) -> Column:
+    """Length of the shorter text by the longer one's where one holds the other; else their words' overlap; 0 for an empty one."""
+    words = lambda x: F.filter(F.split(x, "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    return F.when(short == 0, 0.0).when(a.contains(b) | b.contains(a), short / long).otherwise(overlap(words(a), words(b)))
+
+
+def grounded(rows: DataFrame, value: Column, sentence: Column, gold: Column, distractor: Column, least: float = 0.8) -> DataFrame:
+    """All columns with `supported` and `reason`: whether a value is said by the gold sentence that it was matched with.
+
+    distractor names what kind of trap the sentence is, or is null.
+    """
+    words, have = support_words(value), support_words(sentence)
+    held = F.coalesce((F.size(words) > 0) & (F.size(have) > 0) & (F.size(F.filter(words, lambda w: F.array_contains(have, w))) / F.greatest(F.size(words), F.lit(1)) >= least), F.lit(False))
+    reason = F.when(gold & held, "present_grounded").when(distractor.isNotNull(), F.concat(F.lit("distractor_"), distractor)).when(~held, "value_not_grounded").otherwise("non_gold_sentence")
+    return rows.withColumn("reason", reason).withColumn("supported", F.col("reason") == "present_grounded")
+
+
+# How urgently a claim is looked at by how its quote was missed.
+STRESS_ORDER = ["abstain_low_overlap", "abstain_weak_overlap", "abstain_missing_quote", "label_span_recovered", "single_span_recovered", "multi_span_recovered", "normalized_single_span"]
+
+
+def stress_tasks(claims: DataFrame, status: str, rate: str, words: str, ties: list[str], most: int) -> DataFrame:
+    """The `most` claims to stress first: by how their quote was missed, then the worst and longest cases."""
+    order = F.create_map(*(F.lit(x) for i, name in enumerate(STRESS_ORDER) for x in (name, i)))
+    return claims.orderBy(F.coalesce(F.try_element_at(order, F.col(status)), F.lit(50)), F.col(rate), F.col(words).desc(), *ties).limit(most)
+
+
+def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, rows): how many rows break each rule; a rule that is null for a row is broken."""
+    return rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), (~F.coalesce(v, F.lit(False))).cast("long").alias("n")) for k, v in rules.items()))).alias("r")).groupBy("r.rule").agg(F.sum("r.n").alias("rows"))
+
+
+def rates(rows: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:
+    """(by..., measure, n, hits, rate, low, high): the share of rows of each group for which a flag holds, with its interval; a null flag doesn't count."""
+    long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("x")) for k, v in flags.items()))).alias("f")).select(*by, "f.*").dropna(subset=["x"])
+    t = long.groupBy(*by, "measure").agg(F.count(F.lit(1)).alias("n"), F.count_if("x").alias("hits"))
+    low, high = T.wilson(F.col("hits"), F.col("n"))
+    return t.select(*by, "measure", "n", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("rate"), F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veristrata.functions import text as T
-from veristrata.operators import assertion, attribution, cluster, cohort, conformal, features, runlog, segment
+from veristrata.operators import assertion, attribution, cluster, cohort, conformal, features, matching, runlog, segment, spans
 from veristrata.plans.catalogue import NOTES, RATERS, SCORED, SIMHASH, WILSON, WORDS, _raters, notes, query, scored, table
 
 _q = lambda p: p.replace("'", "''")
@@ -311,3 +311,61 @@ def q_triage(spark, d):
 @query()
 def q_planned_sizes(spark, d):
     return cohort.planned_sizes(spark, [30, 60, 120], 0.05, 0.25, 0.08, 200)
+
+
+_count = lambda cues: " + ".join(rf"len(regexp_extract_all(t, '\b(?:{c})\b'))" for c in cues)
+
+
+@query(
+    rf"""with recursive {BASELINES.replace('select trim', 'select doc_id, trim').replace('c as (select', 'c as (select doc_id, t,')}, k as (select doc_id, case when spec then 'possible' when neg then 'absent' else 'present' end as d, {_count(features.SCORE_NEGATION)} as n, {_count(features.SCORE_SPECULATION)} as s from c),
+r as (select d, case d when 'present' then 0.64::double when 'absent' then case when n > 0 and s > 0 then 0.30 else 0.18 end else case when n > 0 and s > 0 then 0.30 else 0.20 end end as p, case d when 'present' then greatest(0.18::double, 0.26 + n * 0.08::double) when 'absent' then 0.72::double + least(0.12::double, n * 0.04::double) else case when n > 0 and s > 0 then 0.48 else 0.18 + n * 0.04::double end end as a, case d when 'present' then greatest(0.18::double, 0.26 + s * 0.08::double) when 'absent' then case when n > 0 and s > 0 then 0.48 else 0.20 + s * 0.04::double end else 0.72::double + least(0.12::double, s * 0.04::double) end as o from k)
+select d as status, count(*) as sentences, round(avg(p / (p + a + o)), 6) as present, round(avg(a / (p + a + o)), 6) as absent, round(avg(o / (p + a + o)), 6) as possible from r group by 1""".replace("with recursive s as", "with s as")
+)
+def q_status_scores(spark, d):
+    rows = table(spark, d, "documents").select(F.explode(segment.sentences(F.col("text"))).alias("s"))
+    said = features.status_baselines(F.col("s"), assertion.SPECULATION, assertion.PSEUDO)["context_style"]
+    t = F.trim(F.regexp_replace(F.lower("s"), r"\s+", " "))
+    made = rows.select(said.alias("status"), *(v.alias(k) for k, v in features.status_scores(t, said).items()))
+    return made.groupBy("status").agg(F.count(F.lit(1)).alias("sentences"), *(F.round(F.avg(c), 6).alias(c) for c in ("present", "absent", "possible")))
+
+
+@query("select * from (values (1, 1.0::double, round(7 / 20.0::double, 6)), (2, 0.5::double, 0.5::double), (3, 0.0::double, 0.0::double)) t(item_id, overlap, containment)")
+def q_overlaps(spark, d):
+    rows = spark.createDataFrame([(1, "aspirin", "aspirin 81 mg started"[:20]), (2, "red fox runs away", "red fox sits there"), (3, "", "x")], "item_id int, a string, b string")
+    words = lambda c: F.filter(F.split(F.col(c), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+    return rows.select("item_id", F.round(features.overlap(words("a"), words("b")), 6).alias("overlap"), F.round(features.containment(F.col("a"), F.col("b")), 6).alias("containment"))
+
+
+@query("select * from (values (1, 'present_grounded', true), (2, 'distractor_negated', false), (3, 'value_not_grounded', false), (4, 'non_gold_sentence', false), (5, 'value_not_grounded', false)) t(item_id, reason, supported)")
+def q_grounded_labels(spark, d):
+    rows = [(1, "aspirin 81 mg", "Started aspirin 81 mg.", True, None), (2, "warfarin", "Denies warfarin use.", False, "negated"), (3, "lasix", "Started aspirin 81 mg", True, None), (4, "lasix 40", "lasix 40 at home", False, None), (5, "", "x", True, None)]
+    df = spark.createDataFrame(rows, "item_id int, value string, sentence string, gold boolean, trap string")
+    return features.grounded(df, F.col("value"), F.regexp_replace("sentence", r"\.$", ""), F.col("gold"), F.col("trap")).select("item_id", "reason", "supported")
+
+
+@query("with l as (select o_orderkey, case o_orderpriority when '1-URGENT' then 'abstain_low_overlap' when '2-HIGH' then 'abstain_weak_overlap' when '5-LOW' then 'multi_span_recovered' else 'other' end as status, o_totalprice from orders) select o_orderkey, status from l order by case status when 'abstain_low_overlap' then 0 when 'abstain_weak_overlap' then 1 when 'multi_span_recovered' then 5 else 50 end, o_orderkey % 7, o_totalprice desc, o_orderkey limit 50")
+def q_stress_tasks(spark, d):
+    p = F.col("o_orderpriority")
+    status = F.when(p == "1-URGENT", "abstain_low_overlap").when(p == "2-HIGH", "abstain_weak_overlap").when(p == "5-LOW", "multi_span_recovered").otherwise("other")
+    rows = table(spark, d, "orders").select("o_orderkey", status.alias("status"), (F.col("o_orderkey") % 7).alias("rate"), "o_totalprice")
+    return features.stress_tasks(rows, "status", "rate", "o_totalprice", ["o_orderkey"], 50).select("o_orderkey", "status")
+
+
+@query("select unnest([{rule: 'positive', rows: (select count(*) from events where not coalesce(value > 0, false))}, {rule: 'typed', rows: (select count(*) from events where not coalesce(event_type in ('view', 'click'), false))}, {rule: 'small', rows: (select count(*) from events where not coalesce(value < 100, false))}], recursive := true)")
+def q_violations(spark, d):
+    return features.violations(table(spark, d, "events"), {"positive": F.col("value") > 0, "typed": F.col("event_type").isin("view", "click"), "small": F.col("value") < 100})
+
+
+@query(f"with f as (select l_returnflag as model, l_linestatus as arm, unnest([{{measure: 'discounted', x: l_discount > 0.05}}, {{measure: 'large', x: l_quantity > 25}}, {{measure: 'taxed', x: case when l_discount > 0.02 then l_tax > 0.04 end}}], recursive := true) from lineitem), t as (select model, arm, measure, count(*) as n, count(*) filter (x) as hits from f where x is not null group by 1, 2, 3) select *, round(hits / n::double, 6) as rate, {WILSON('hits', 'n')[0]} as low, {WILSON('hits', 'n')[1]} as high from t")
+def q_ablation_rates(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("arm"), "l_discount", "l_quantity", "l_tax")
+    return features.rates(rows, ["model", "arm"], {"discounted": F.col("l_discount") > 0.05, "large": F.col("l_quantity") > 25, "taxed": F.when(F.col("l_discount") > 0.02, F.col("l_tax") > 0.04)})
+
+
+@query("select * from (values ('a', 2, 1, 1, 0.666667::double, 0.666667::double, 0.666667::double)) t(record_id, tp, fp, fn, precision, recall, f1)")
+def q_derived_gold(spark, d):
+    """Candidates of the reference are gold, those of the source predictions: two of three agree."""
+    rows = spark.createDataFrame([("a", "DISCHARGE MEDICATIONS:\n1. Aspirin 81 mg daily.\n2. Lasix 40 mg.\nDISCHARGE DIAGNOSES:\n1. Pneumonia.", "DISCHARGE MEDICATIONS:\n1. Aspirin 81 mg daily.\n2. Metoprolol 25 mg.\nDISCHARGE DIAGNOSES:\n1. Pneumonia.")], "record_id string, source string, reference string")
+    side = lambda c: spans.candidate_index(rows.select(F.col("record_id").alias("doc_id"), F.col(c).alias("text"))).select(F.col("doc_id").alias("record_id"), "domain", F.col("candidate_id").alias("item_id"), features.extractive_label(F.col("canonical_text")).alias("label"), "source_quote", F.lit("present").alias("assertion"))
+    predicted, gold = side("source"), side("reference")
+    return matching.matched_scores(predicted, gold, matching.matches(matching.candidates(predicted, gold)))
