@@ -23,7 +23,9 @@ NONE = np.int32(0x7FFFFFFF)
 #: Longer pieces are folded to rows of this width.
 LONG_PIECE = 256
 #: Pieces that a worker remembers between batches, and the longest of them in bytes.
-REMEMBERED, LONGEST_REMEMBERED = 80_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 120_000, 64
+#: Text bytes whose pieces are encoded together: equal ones cost once.
+TOGETHER = 1 << 20
 
 _LETTER, _NUMBER, _OTHER, _WHITE, _BLANK = 0, 1, 2, 3, 4
 _classes: np.ndarray | None = None
@@ -301,7 +303,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
-        for part, data, at in T.pieces(batches, "text", 1 << 20):
+        for part, data, at in T.pieces(batches, "text", TOGETHER):
             ids = [[i for p in row for i in p] for row in own.encode(data, at)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.binary()), *(part[f.name] for f in rest)], names)
 
@@ -315,7 +317,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         spelled = [str(i) for i in range(len(own.tokens))]
-        for part, data, at in T.pieces(batches, "text"):
+        for part, data, at in T.pieces(batches, "text", TOGETHER):
             n, ids_sha, decoded_sha = [], [], []
             for row in own.encode(data, at):
                 ids = [i for p in row for i in p]
