@@ -101,3 +101,17 @@ def test_word_pairs(spark, monkeypatch):
     assert L.word_score(df.limit(0), words).count() == 0
     size = lambda rows: sum(len(r["key"]) for r in L.word_statistics(df.limit(0), rows).table.collect())
     assert size(df) > 2 * size(df.filter("doc_id < 20"))
+
+
+def test_batches_without_a_hot_pair(spark, monkeypatch):
+    """Texts come one by one; some have hot pairs and some none."""
+    monkeypatch.setattr(L, "HOT", 3)
+    docs = spark.createDataFrame([(i, "alpha beta") for i in range(6)] + [(7, "zeta eta"), (8, ""), (9, "alpha beta")], "doc_id long, text string").coalesce(1)
+    words = L.word_statistics(docs.select("text"), docs)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = {r["doc_id"]: r["score"] for r in L.word_score(docs, words).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(words.hot[0]) and len(got) == 9 and all(abs(x) < 1e-8 for x in got.values())

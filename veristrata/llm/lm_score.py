@@ -326,7 +326,7 @@ def word_score(docs: DataFrame, words: Words) -> DataFrame:
             row = np.repeat(np.arange(len(n)), n)
             spot = np.minimum(np.searchsorted(hot, key), max(len(hot) - 1, 0))
             here = hot[spot] == key if len(hot) else np.zeros(len(key), bool)
-            own = [np.bincount(row[here], x[spot[here]], len(n)) if len(hot) else np.zeros(len(n)) for x in of_hot]
+            own = [np.bincount(row[here], x[spot[here]], len(n)).astype(float) if here.any() else np.zeros(len(n)) for x in of_hot]
             m = len(n)
             yield pa.RecordBatch.from_arrays([pa.array(base + np.arange(m)), part["doc_id"], pa.array(n, pa.int64()), pa.array(own[0]), pa.array(own[1]), pa.array((base + np.arange(m)) % parts, pa.int32()), none(m, pa.binary()), none(m, pa.binary())], names)
             keys.append(key[~here])
