@@ -105,7 +105,7 @@ def test_word_pairs(spark, monkeypatch):
 
 def test_batches_without_a_hot_pair(spark, monkeypatch):
     """Texts come one by one; some have hot pairs and some none."""
-    monkeypatch.setattr(L, "HOT", 3)
+    monkeypatch.setattr(L, "HOT", 30)
     docs = spark.createDataFrame([(i, "alpha beta") for i in range(6)] + [(7, "zeta eta"), (8, ""), (9, "alpha beta")], "doc_id long, text string").coalesce(1)
     words = L.word_statistics(docs.select("text"), docs)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
