@@ -31,9 +31,14 @@ def normal_exact(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
 
 
+#: Blocks of letters whose characters mostly have no other NFKC form: Latin, Cyrillic, dashes and quotation marks, Chinese.
+PLAIN_BLOCKS = [(0x80, 0x24F), (0x400, 0x482), (0x48A, 0x52F), (0x2010, 0x205F), (0x3040, 0x3098), (0x4E00, 0x9FFF)]
+
+
 @cache
-def _compatible() -> tuple[dict[str, str], str]:
-    """Characters whose NFKC form holds an ASCII letter, digit or full stop, with that form; a pattern of letters that a mark composes with."""
+def _compatible() -> tuple[dict[str, str], str, str]:
+    """Characters whose NFKC form holds an ASCII letter, digit or full stop, with that form; a pattern of letters that a mark composes
+    with; a class of the characters that may need either (all but ASCII and what is plain in PLAIN_BLOCKS, as few ranges)."""
     forms, composed = {}, {}
     for c in range(0x80, sys.maxunicode + 1):
         form = unicodedata.normalize("NFKC", chr(c))
@@ -42,22 +47,31 @@ def _compatible() -> tuple[dict[str, str], str]:
         parts = unicodedata.normalize("NFD", chr(c))
         if len(parts) > 1 and parts[0] < "\x80" and parts[0].isalpha() and unicodedata.normalize("NFC", parts[:2]) != parts[:2]:
             composed.setdefault(parts[0], set()).add(parts[1])
-    return forms, "|".join(f"{a}[{''.join(sorted(marks))}]" for a, marks in sorted(composed.items()))
+    plain, begin = "", None
+    for first, last in PLAIN_BLOCKS:
+        for c in range(first, last + 2):
+            ok = c <= last and chr(c) not in forms
+            if ok and begin is None:
+                begin = c
+            elif not ok and begin is not None:
+                plain += f"\\u{begin:04X}-\\u{c - 1:04X}"
+                begin = None
+    return forms, "|".join(f"{a}[{''.join(sorted(marks))}]" for a, marks in sorted(composed.items())), rf"[^\x00-\x7F{plain}]"
 
 
 def nfkc_ascii(x: Column) -> Column:
     """x with the ASCII letters, digits and full stops that its NFKC form has; other characters that this form changes may stay or become spaces.
 
-    All inside the JVM: texts of ASCII alone are left as they are, and only those with a character whose form has several go through a map.
+    All inside the JVM: texts without a special character are left as they are, and only those with one whose form has several go through a map.
     """
-    forms, composed = _compatible()
+    forms, composed, special = _compatible()
     single = {c: f for c, f in forms.items() if len(f) == 1}
     several = {c: f for c, f in forms.items() if len(f) > 1}
     plain = F.translate(x, "".join(single), "".join(single.values()))
     table = F.create_map(*(F.lit(v) for pair in several.items() for v in pair))
     spelled = F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(c > "\x7f", F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")
     marked = F.when(plain.rlike(f"[{''.join(several)}]"), spelled).otherwise(plain)
-    return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(marked, composed, " ")).otherwise(x)
+    return F.when(x.rlike(special), F.regexp_replace(marked, composed, " ")).otherwise(x)
 
 
 def normal_loose(x: Column) -> Column:
