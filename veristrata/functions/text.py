@@ -71,7 +71,7 @@ def nfkc_ascii(x: Column) -> Column:
     table = F.create_map(*(F.lit(v) for pair in several.items() for v in pair))
     spelled = F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(c > "\x7f", F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")
     marked = F.when(plain.rlike(f"[{''.join(several)}]"), spelled).otherwise(plain)
-    return F.when(x.rlike(special), F.regexp_replace(marked, composed, " ")).otherwise(x)
+    return F.when(F.octet_length(x) == F.length(x), x).when(x.rlike(special), F.regexp_replace(marked, composed, " ")).otherwise(x)
 
 
 def normal_loose(x: Column) -> Column:

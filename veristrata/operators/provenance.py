@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veristrata.functions import text as T
+from veristrata.operators.cluster import settle
 
 #: Token coverage from which a quote counts as scattered, drifted, weakly covered.
 SCATTERED, DRIFTED, WEAK = 0.92, 0.72, 0.45
@@ -27,7 +28,8 @@ def contained(items: DataFrame, docs: DataFrame, form=T.normal_exact) -> DataFra
 
     The words of a contained text but the first and the last are whole words of the document, so an item meets only the documents that
     have the rarest of them. An item of one or two words has none; it meets the documents that have the rarest three characters in a
-    row of it (of a shorter one: all of it). Rarity is counted over the documents, for the items' words and characters alone.
+    row of it (of a shorter one: all of it). Rarity is counted over the documents, for the items' words and characters alone; which
+    documents have these is settled once.
     """
     quotes = items.select("item_id", form(F.col("text")).alias("quote")).filter("quote != ''")
     sources = docs.select("doc_id", form(F.col("text")).alias("source"))
@@ -49,7 +51,8 @@ def contained(items: DataFrame, docs: DataFrame, form=T.normal_exact) -> DataFra
     have = parts[0]
     for other in parts[1:]:
         have = have.unionByName(other)
-    df = have.join(keys.select("size", "key").distinct(), ["size", "key"]).groupBy("size", "key").agg(F.count(F.lit(1)).alias("df"))
+    have = settle(have.join(keys.select("size", "key").distinct(), ["size", "key"]), "quote-keys")
+    df = have.groupBy("size", "key").agg(F.count(F.lit(1)).alias("df"))
     rarest = keys.join(df, ["size", "key"], "left").groupBy("item_id", "quote").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "size", "key")).alias("r")).filter("r.df > 0")
     pairs = have.join(rarest.select("item_id", "quote", "r.size", "r.key"), ["size", "key"])
     return pairs.join(sources, "doc_id").filter(F.col("source").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
