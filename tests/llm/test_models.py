@@ -33,6 +33,18 @@ def test_machine_learns_what_only_pairs_tell():
     assert (score[together] >= 0.5).mean() > 0.8 and (score[~together] >= 0.5).mean() < 0.02
 
 
+def test_calibration_is_a_scale_of_the_logit():
+    rng = np.random.default_rng(4)
+    rows = [(" ".join(["w%d" % x for x in rng.integers(0, 300, 20)] + ["vile"] * int(y)), int(y) if rng.random() < 0.9 else 0) for y in rng.random(900) < 0.3]
+    label = np.array([y for _, y in rows], np.float32)
+    data = toxicity.terms(*T.flat(pa.array([t for t, _ in rows])))
+    plain, scaled = (f(*data, label).logit(*data) for f in (toxicity.fit, toxicity.calibrated))
+    slope, offset = np.polyfit(plain, scaled, 1)
+    assert slope > 0 and np.allclose(scaled, slope * plain + offset, atol=1e-3)
+    few = toxicity.calibrated(*(x[:0] for x in data[:1]), np.zeros(1, np.int64), np.zeros(0, np.float32))
+    assert np.isfinite(few.bias)
+
+
 def test_field_against_all_labelings():
     rng = np.random.default_rng(2)
     sizes = [1, 0, 2, 5, 8, 3]
