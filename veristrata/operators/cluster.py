@@ -130,9 +130,13 @@ def near_clusters(prints: DataFrame, most: int = 10) -> DataFrame:
 
 
 def settle(df: DataFrame, name: str = "connected") -> DataFrame:
-    """The rows, written under the folder that all executors share and read again."""
+    """The rows, written under the folder in spark.checkpoint.dir and read again; where that is unset, beside the warehouse, in local mode alone."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../checkpoints"
+    conf = spark.sparkContext.getConf()
+    base, master = conf.get("spark.checkpoint.dir"), conf.get("spark.master", "local")
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../checkpoints"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
