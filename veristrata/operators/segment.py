@@ -23,9 +23,13 @@ def line_index(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.col("p") + 1).alias("ordinal"), line_id(F.col("p") + 1).alias("line_id"), "text")
 
 
+#: The spaces of Unicode (category Zs); tabs and line ends aren't among them.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def sentences(x: Column) -> Column:
-    """Pieces between . ! ? ; : or a line's end, with their mark, trimmed, blank ones dropped."""
-    return F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"([^.!?;:\n]+[.!?;:]*)"), F.lit(1)), F.trim), lambda s: s != "")
+    """Pieces between . ! ? ; : or a line's end, with their mark, without the SPACES around them, blank ones dropped."""
+    return F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"([^.!?;:\n]+[.!?;:]*)"), F.lit(1)), lambda s: F.trim(s, F.lit(SPACES))), lambda s: s != "")
 
 
 def density(docs: DataFrame) -> DataFrame:
