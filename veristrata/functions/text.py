@@ -26,6 +26,11 @@ def bounded(pattern: str) -> str:
     return f"(?i)(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
 
 
+def lower(x: Column) -> Column:
+    """Lower case, one character for each: a capital I with a dot becomes i alone, without the mark that Java's lower case adds."""
+    return F.lower(F.replace(x, F.lit("\u0130"), F.lit("i")))
+
+
 def normal_exact(x: Column) -> Column:
     """Lower case, white space as single spaces, trimmed."""
     return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
