@@ -127,7 +127,7 @@ def domain(x: Column) -> Column:
 
 def status_baselines(x: Column, speculation: str, pseudo: str) -> dict[str, Column]:
     """What three simple methods say of a sentence: always present; absent on a cue; possible or absent on a cue."""
-    text = F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", " "))
+    text = F.trim(F.regexp_replace(T.lower(F.coalesce(x, F.lit(""))), r"\s+", " "))
     has = lambda t, p: t.rlike(rf"(?<![a-z0-9_])(?:{p})(?![a-z0-9_])")
     negated = has(F.regexp_replace(text, rf"(?<![a-z0-9_])(?:{pseudo})(?![a-z0-9_])", " "), BASELINE_NEGATION)
     return {"present_majority": F.lit("present"), "negex_style": F.when(negated, "absent").otherwise("present"), "context_style": F.when(has(text, speculation), "possible").when(negated, "absent").otherwise("present")}
