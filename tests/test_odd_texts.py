@@ -21,7 +21,7 @@ def odd(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["q_sentence_stats", "q_assertion_sentences", "q_status_baselines"])
+@pytest.mark.parametrize("name", ["q_sentence_stats", "q_assertion_sentences", "q_status_baselines", "q_status_scores"])
 def test_query(spark, odd, name):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{odd}/documents.parquet/*.parquet'")

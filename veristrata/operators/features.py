@@ -141,7 +141,7 @@ SCORE_SPECULATION = [c for part in SCORE_SPECULATION.split("|") for c in ([part]
 
 def status_scores(x: Column, detected: Column) -> dict[str, Column]:
     """Scores of present, absent and possible that add up to one, from what was detected and how many cues stand in the text."""
-    text = F.lower(F.coalesce(x, F.lit("")))
+    text = T.lower(F.coalesce(x, F.lit("")))
     count = lambda cues: sum((F.regexp_count(text, F.lit(rf"(?<![a-z0-9_])(?:{c})(?![a-z0-9_])")) for c in cues), F.lit(0))
     neg, spec = count(SCORE_NEGATION), count(SCORE_SPECULATION)
     both = (neg > 0) & (spec > 0)

@@ -324,7 +324,7 @@ select d as status, count(*) as sentences, round(avg(p / (p + a + o)), 6) as pre
 def q_status_scores(spark, d):
     rows = table(spark, d, "documents").select(F.explode(segment.sentences(F.col("text"))).alias("s"))
     said = features.status_baselines(F.col("s"), assertion.SPECULATION, assertion.PSEUDO)["context_style"]
-    t = F.trim(F.regexp_replace(F.lower("s"), r"\s+", " "))
+    t = F.trim(F.regexp_replace(T.lower(F.col("s")), r"\s+", " "))
     made = rows.select(said.alias("status"), *(v.alias(k) for k, v in features.status_scores(t, said).items()))
     return made.groupBy("status").agg(F.count(F.lit(1)).alias("sentences"), *(F.round(F.avg(c), 6).alias(c) for c in ("present", "absent", "possible")))
 
