@@ -1,10 +1,14 @@
 """Queries over sentences against their SQL on texts with other spaces and letters than the given tables have."""
 
 import random
+import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from veristrata.functions import text as T
+from veristrata.operators import provenance
 from veristrata.plans import catalogue
 
 WORDS = "no not only may have might possible ruled out denies if without doubt negative for concern l\u0130kely \u0130f \u212anow 12".split()
@@ -28,3 +32,22 @@ def test_query(spark, odd, name):
     df = catalogue.QUERIES[name](spark, odd)
     got = con.execute(f"select {', '.join(df.columns)} from ({catalogue.ORACLE_SQL[name]})").fetchall()
     assert sorted(tuple(r) for r in df.collect()) == sorted(got)
+
+
+def test_classes_without_negation(spark):
+    """but() is the negated class, over every character."""
+    planes = [(k, "".join(chr(c) for c in range(k << 16, (k + 1) << 16) if not 0xD800 <= c < 0xE000)) for k in range(17)]
+    rows = spark.createDataFrame(planes, "k int, x string")
+    for kept in (".", "%./+-", "./ \t\n\x0b\f\r"):
+        old = "[^a-z0-9" + "".join(f"\\x{{{ord(c):x}}}" for c in kept) + "]"
+        assert rows.filter(F.regexp_replace("x", old, "") != F.regexp_replace("x", T.but_words(kept), "")).count() == 0
+    assert T.but((0, 5), (7, sys.maxunicode)) == r"[\x{6}-\x{6}]"
+
+
+def test_taxonomy_normalises_once(spark):
+    """The loose form and its table of characters aren't in the plan that the taxonomy returns: they would be there many times."""
+    docs = spark.createDataFrame([(1, "Aspirin 81 mg was started"), (2, "Ａspirin 8.5. mg"), (3, None)], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "aspirin, 81 mg"), (2, "aspirin 8.5"), (3, None)], "item_id int, text string")
+    found = provenance.miss_taxonomy(items, docs)
+    assert "translate(" not in found._jdf.queryExecution().analyzed().toString()
+    assert {tuple(r) for r in found.collect()} == {(1, "normalized", 1.0, 1), (2, "normalized", 1.0, 2), (3, "low_overlap", 0.0, None)}

@@ -11,13 +11,17 @@ from veristrata.operators.cluster import settle
 SCATTERED, DRIFTED, WEAK = 0.92, 0.72, 0.45
 
 
-def shared_tokens(items: DataFrame, docs: DataFrame) -> DataFrame:
+#: Ids of documents that are sent to every task; beyond, the join shuffles.
+SENT_IDS = 200_000
+
+
+def shared_tokens(items: DataFrame, docs: DataFrame, form=T.normal_loose) -> DataFrame:
     """(item_id, doc_id, shared, n_tokens): distinct content tokens that an item's text shares with each document.
 
     Both sides meet on tokens. A document's tokens that no item has go before anything is shuffled when the items' tokens are few
-    enough to be broadcast by Spark's own size estimate; counts are pre-aggregated.
+    enough to be broadcast by Spark's own size estimate; counts are pre-aggregated. `form` gives a text's normal_loose() form.
     """
-    tokens = lambda df, key: df.select(key, F.explode(F.array_distinct(T.content_tokens(F.col("text")))).alias("token"))
+    tokens = lambda df, key: df.select(key, F.explode(F.array_distinct(T.content_words(F.array_distinct(F.split(form(F.col("text")), " "))))).alias("token"))
     own = tokens(items, "item_id")
     size = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_tokens"))
     return own.join(tokens(docs, "doc_id"), "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).join(size, "item_id")
@@ -29,7 +33,7 @@ def contained(items: DataFrame, docs: DataFrame, form=T.normal_exact) -> DataFra
     The words of a contained text but the first and the last are whole words of the document, so an item meets only the documents that
     have the rarest of them. An item of one or two words has none; it meets the documents that have the rarest three characters in a
     row of it (of a shorter one: all of it). Rarity is counted over the documents, for the items' words and characters alone; which
-    documents have these is settled once.
+    documents have these is settled once. Only the documents that an item meets are read again and normalised for the comparison.
     """
     quotes = items.select("item_id", form(F.col("text")).alias("quote")).filter("quote != ''")
     sources = docs.select("doc_id", form(F.col("text")).alias("source"))
@@ -54,8 +58,11 @@ def contained(items: DataFrame, docs: DataFrame, form=T.normal_exact) -> DataFra
     have = settle(have.join(keys.select("size", "key").distinct(), ["size", "key"]), "quote-keys")
     df = have.groupBy("size", "key").agg(F.count(F.lit(1)).alias("df"))
     rarest = keys.join(df, ["size", "key"], "left").groupBy("item_id", "quote").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "size", "key")).alias("r")).filter("r.df > 0")
-    pairs = have.join(rarest.select("item_id", "quote", "r.size", "r.key"), ["size", "key"])
-    return pairs.join(sources, "doc_id").filter(F.col("source").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
+    pairs = settle(have.join(rarest.select("item_id", "quote", "r.size", "r.key"), ["size", "key"]).select("item_id", "quote", "doc_id"), "quote-pairs")
+    ids = pairs.select("doc_id").distinct()
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    met = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", form(F.col("text")).alias("source"))
+    return met.join(pairs, "doc_id").filter(F.col("source").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
 
 
 def classify(exact: Column, loose: Column, covered: Column) -> Column:
@@ -63,12 +70,17 @@ def classify(exact: Column, loose: Column, covered: Column) -> Column:
 
 
 def miss_taxonomy(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, category, coverage, doc_id): how each item is anchored in its best document, by category, then coverage, then id."""
-    near = shared_tokens(items, docs).withColumn("coverage", F.col("shared") / F.col("n_tokens"))
+    """(item_id, category, coverage, doc_id): how each item is anchored in its best document, by category, then coverage, then id.
+
+    The loose form of every text is made and settled once, for the words and for the tokens.
+    """
+    loose = lambda df, key: settle(df.select(key, T.normal_loose(F.col("text")).alias("text")), f"loose-{key}")
+    bare_items, bare_docs, same = loose(items, "item_id"), loose(docs, "doc_id"), lambda x: x
+    near = shared_tokens(bare_items, bare_docs, same).withColumn("coverage", F.col("shared") / F.col("n_tokens"))
     best = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("coverage").desc(), "doc_id"))
     top = near.withColumn("rank", best).filter("rank = 1").select("item_id", F.col("doc_id").alias("top_doc"), "coverage")
-    found = lambda form, name: contained(items, docs, form).groupBy("item_id").agg(F.min("doc_id").alias(name))
-    rows = items.select("item_id").join(top, "item_id", "left").join(found(T.normal_exact, "exact_doc"), "item_id", "left").join(found(T.normal_loose, "loose_doc"), "item_id", "left")
+    found = lambda rows, name: rows.groupBy("item_id").agg(F.min("doc_id").alias(name))
+    rows = items.select("item_id").join(top, "item_id", "left").join(found(contained(items, docs), "exact_doc"), "item_id", "left").join(found(contained(bare_items, bare_docs, same), "loose_doc"), "item_id", "left")
     covered = F.coalesce("coverage", F.lit(0.0))
     return rows.select("item_id", classify(F.col("exact_doc").isNotNull(), F.col("loose_doc").isNotNull(), covered).alias("category"), covered.alias("coverage"), F.coalesce("exact_doc", "loose_doc", "top_doc").alias("doc_id"))
 
