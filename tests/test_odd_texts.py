@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veristrata.functions import text as T
-from veristrata.operators import provenance
+from veristrata.operators import cluster, provenance
 from veristrata.plans import catalogue
 
 WORDS = "no not only may have might possible ruled out denies if without doubt negative for concern l\u0130kely \u0130f \u212anow 12".split()
@@ -25,7 +25,7 @@ def odd(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["q_sentence_stats", "q_assertion_sentences", "q_status_baselines", "q_status_scores"])
+@pytest.mark.parametrize("name", ["q_sentence_stats", "q_assertion_sentences", "q_status_baselines", "q_status_scores", "q_tfidf_top"])
 def test_query(spark, odd, name):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{odd}/documents.parquet/*.parquet'")
@@ -51,3 +51,11 @@ def test_taxonomy_normalises_once(spark):
     found = provenance.miss_taxonomy(items, docs)
     assert "translate(" not in found._jdf.queryExecution().analyzed().toString()
     assert {tuple(r) for r in found.collect()} == {(1, "normalized", 1.0, 1), (2, "normalized", 1.0, 2), (3, "low_overlap", 0.0, None)}
+
+
+def test_terms_of_repeated_ids(spark):
+    """Rows that share an id are one document for the vocabulary; only its terms are counted by document, from a settled table."""
+    rows = spark.createDataFrame([(i // 2, t) for i, t in enumerate(["red fox", "red fox den", "red owl", "fox red", "owl", None, "", "x y"])], "doc_id int, text string")
+    found = cluster.tfidf(rows, 2, 1.0)
+    assert {(r["doc_id"], r["token"]) for r in found.collect()} == {(0, "red"), (0, "fox"), (1, "red"), (1, "fox"), (1, "owl"), (2, "owl")}
+    assert "vocabulary-" in found._jdf.queryExecution().toString()

@@ -173,26 +173,37 @@ COMMON = (
 TERMS = 5000
 
 
-def terms(x: Column) -> Column:
-    """Words of three characters or more that aren't among COMMON, and pairs of neighbouring ones joined by an underscore."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(x), r"\[\*\*.*?\*\*\]", " "), r"[^a-z0-9%./+-]+", " ")
-    words = F.filter(F.split(bare, " "), lambda t: (F.length(t) >= 3) & ~t.isin(COMMON))
-    return F.concat(words, F.transform(T.ngrams(words, 2), lambda g: F.replace(g, F.lit(" "), F.lit("_"))))
+def term_words(x: Column) -> Column:
+    """Words of three characters or more that aren't among COMMON."""
+    bare = F.regexp_replace(F.regexp_replace(T.lower(x), r"\[\*\*.*?\*\*\]", " "), f"{T.but_words('%./+-')}+", " ")
+    return F.filter(F.split(bare, " "), lambda t: (F.length(t) >= 3) & ~t.isin(COMMON))
+
+
+def terms(words: Column) -> Column:
+    """The words, and pairs of neighbouring ones joined by an underscore."""
+    pairs = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.concat(words, F.zip_with(F.slice(words, F.lit(1), pairs), F.slice(words, F.lit(2), pairs), lambda a, b: F.concat(a, F.lit("_"), b)))
 
 
 def tfidf(docs: DataFrame, least: int = 3, most: float = 0.85, vocabulary: int | None = TERMS) -> DataFrame:
     """(doc_id, token, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) of the vocabulary's terms in each document.
 
     The vocabulary has the terms that `least` documents and no more than a share `most` of all have; of these the most frequent ones, as many as
-    `vocabulary` says (None: all), ties to the earlier term. It is small and sent to every task where Spark's own size estimate allows.
+    `vocabulary` says (None: all), ties to the earlier term. It is settled first, and sent to every task where Spark's own size estimate allows,
+    so that only its terms are counted by document. Terms are counted by row where no two rows share an id.
     """
-    tf = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    words = docs.select("doc_id", term_words(F.col("text")).alias("words"))
+    each = words.select("doc_id", terms(F.col("words")).alias("terms"))
+    once = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty()
+    seen = each.select(F.explode(F.array_distinct("terms")).alias("token")) if once else each.select("doc_id", F.explode("terms").alias("token")).distinct()
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).filter((F.col("df") >= least) & (F.col("df") <= most * F.col("n")))
+    df = seen.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).filter((F.col("df") >= least) & (F.col("df") <= most * F.col("n")))
     if vocabulary is not None:
         df = df.orderBy(F.col("df").desc(), "token").limit(vocabulary)
+    df = settle(df.withColumn("term", F.monotonically_increasing_id()), "vocabulary")
+    tf = each.select("doc_id", F.explode("terms").alias("token")).join(df.select("token", "term"), "token").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).join(df, "term")
     weight = (1 + F.log("tf")) * (F.log((1.0 + F.col("n")) / (1 + F.col("df"))) + 1)
-    return tf.join(df, "token").select("doc_id", "token", weight.alias("weight"))
+    return tf.select("doc_id", "token", weight.alias("weight"))
 
 
 def tfidf_top(docs: DataFrame, top: int = 5) -> DataFrame:
