@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veristrata.functions import text as T
-from veristrata.operators import cluster, provenance
+from veristrata.operators import cluster, features, provenance
 from veristrata.plans import catalogue
 
 WORDS = "no not only may have might possible ruled out denies if without doubt negative for concern l\u0130kely \u0130f \u212anow 12".split()
@@ -59,3 +59,14 @@ def test_terms_of_repeated_ids(spark):
     found = cluster.tfidf(rows, 2, 1.0)
     assert {(r["doc_id"], r["token"]) for r in found.collect()} == {(0, "red"), (0, "fox"), (1, "red"), (1, "fox"), (1, "owl"), (2, "owl")}
     assert "vocabulary-" in found._jdf.queryExecution().toString()
+
+
+def test_support_reads_each_text_once(spark):
+    """By words counted, as the columns say it; a long text isn't searched again for each word."""
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("a b c d.e f/g no prior , \u0130".split()) for _ in range(rng.randint(0, 9)))
+    rows = spark.createDataFrame([(i, text(), text()) for i in range(200)] + [(200, None, "no"), (201, "a", None), (202, "", "")], "k int, v string, q string")
+    want = rows.select("k", features.lexical_support(F.col("v"), F.col("q")), features.cue_aware_support(F.col("v"), F.col("q"))).collect()
+    assert sorted(map(tuple, features.support(rows, "k", "v", "q").collect())) == sorted(map(tuple, want))
+    plan = catalogue.QUERIES["q_support_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and "RLIKE" not in plan[: plan.index("Generate")]

@@ -100,10 +100,29 @@ def section_text(x: Column, names: list[str]) -> Column:
 
 
 def support_words(x: Column) -> Column:
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^a-z0-9\s./]", " "), r"\s+", " "))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(T.lower(F.coalesce(x, F.lit(""))), T.but_words("./ \t\n\v\f\r"), " "), r"\s+", " "))
     return F.filter(F.split(bare, " "), lambda t: t != "")
 
 
+def support(rows: DataFrame, key: str, value: str, quote: str) -> DataFrame:
+    """(key, lexical, cue_aware) of lexical_support and cue_aware_support, for one row of each key.
+
+    Words are made once and counted by key and word, so the work grows with the texts' length, not with the product of two lengths. Rows that
+    are dealt by key already stay where they are.
+    """
+    words = rows.select(key, support_words(F.col(value)).alias("__v"), support_words(F.col(quote)).alias("__q"))
+    cued = F.array_join("__q", " ").rlike(rf"(?<![a-z0-9_])(?:{SUPPORT_CUES})(?![a-z0-9_])")
+    # the cue goes along as an element without a word: as a column beside the words it would be looked for once for each
+    cue = F.array(F.struct(F.lit(None).cast("string").alias("word"), cued.cast("int").alias("n")))
+    each = lambda x, n: F.transform(x, lambda t: F.struct(t.alias("word"), F.lit(n).alias("n")))
+    long = words.select(key, F.explode(F.concat(cue, each(F.col("__v"), 1), each(F.array_distinct("__q"), 0))).alias("__x")).select(key, "__x.*")
+    by = long.groupBy(key, "word").agg(F.sum("n").alias("__n"), (F.min("n") == 0).alias("__have"))
+    word = F.col("word").isNotNull()
+    sums = by.groupBy(key).agg(F.sum(F.when(word, F.col("__n"))).alias("__all"), F.sum(F.when(word & F.col("__have"), F.col("__n"))).alias("__hits"), (F.max(F.when(~word, F.col("__n"))) > 0).alias("__cued"))
+    share = F.when(F.col("__all") > 0, F.coalesce("__hits", F.lit(0)) / F.col("__all")).otherwise(0.0)
+    return sums.select(key, share.alias("lexical"), F.when(F.col("__cued"), 0.0).otherwise(share).alias("cue_aware"))
+
+
 def lexical_support(value: Column, quote: Column) -> Column:
     """Share of the value's words, each as often as it stands there, that the quote has."""
     words, have = support_words(value), support_words(quote)

@@ -54,7 +54,7 @@ SUPPORT_WORDS = lambda x: f"list_filter(string_split(trim(regexp_replace(regexp_
 
 @query(rf"with {NOTES}, w as (select conv_id, {SUPPORT_WORDS('note')} as v, {SUPPORT_WORDS('source')} as q from notes), l as (select conv_id, q, case when len(v) > 0 then len(list_filter(v, lambda t: list_contains(q, t))) / len(v)::double else 0 end as x from w) select conv_id, round(x, 6) as lexical, round(case when regexp_matches(array_to_string(q, ' '), '\b(?:{features.SUPPORT_CUES})\b') then 0 else x end, 6) as cue_aware from l")
 def q_support_scores(spark, d):
-    return notes(spark, d).select("conv_id", F.round(features.lexical_support(F.col("note"), F.col("source")), 6).alias("lexical"), F.round(features.cue_aware_support(F.col("note"), F.col("source")), 6).alias("cue_aware"))
+    return features.support(notes(spark, d), "conv_id", "note", "source").select("conv_id", F.round("lexical", 6).alias("lexical"), F.round("cue_aware", 6).alias("cue_aware"))
 
 
 @query("select * from (values (1, 'medication'), (2, 'diagnosis'), (3, 'procedure_or_test'), (4, 'lab'), (5, 'follow_up'), (6, 'safety'), (7, 'uncertain'), (8, 'unknown'), (9, 'allergy'), (10, 'procedure_or_test')) t(item_id, domain)")
