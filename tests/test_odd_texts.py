@@ -70,3 +70,14 @@ def test_support_reads_each_text_once(spark):
     assert sorted(map(tuple, features.support(rows, "k", "v", "q").collect())) == sorted(map(tuple, want))
     plan = catalogue.QUERIES["q_support_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains" not in plan and "RLIKE" not in plan[: plan.index("Generate")]
+
+
+@pytest.mark.parametrize("most", [provenance.SENT_IDS, 0])
+def test_taxonomy_with_and_without_sent_ids(spark, monkeypatch, most):
+    """The ids that items meet may be sent to the tasks or not; the summary is the same."""
+    monkeypatch.setattr(provenance, "SENT_IDS", most)
+    docs = spark.createDataFrame([(1, "Aspirin 81 mg was started for chest pain.\nFollow up in clinic."), (1, "unrelated words"), (None, "Aspirin")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "aspirin 81 MG was started"), (2, "Aspirin, 81 mg was started for chest"), (3, "zebra giraffe")], "item_id int, text string")
+    found = provenance.miss_taxonomy(items, docs)
+    assert "translate(" not in provenance.summarise(found)._jdf.queryExecution().analyzed().toString()
+    assert {(r["category"], r["items"]) for r in provenance.summarise(found).collect()} == {("exact", 1), ("normalized", 1), ("low_overlap", 1)}
