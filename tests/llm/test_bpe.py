@@ -1,6 +1,10 @@
 """Ids equal the public library's, and decode to the text."""
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -11,6 +15,8 @@ import tiktoken
 from veristrata.llm import _text as T, bpe
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
+#: MB that a worker takes besides its modules, at most and once it is done.
+MOST_MB, LEFT_MB = 105, 75
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +78,46 @@ def test_rank_table_is_exact(coders):
     got = own.rank(a, b)
     for x, y, r in zip(a.tolist(), b.tolist(), got.tolist(), strict=True):
         assert own.ranks.get(own.tokens[x] + own.tokens[y], int(bpe.NONE)) == r
+
+
+MEMORY = """
+import pathlib, random, re, sys, threading, time
+import pyarrow as pa
+from pyspark.sql import types
+from veristrata.llm import bpe
+
+def private():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", pathlib.Path("/proc/self/status").read_text())[1]) / 1024
+
+class Docs:  # hands out the function that the tasks run
+    sparkSession = property(lambda self: self)
+    conf = property(lambda self: self)
+    set = lambda self, *a: None
+    schema = types.StructType([types.StructField("text", types.StringType())])
+    select = lambda self, *a: self
+    mapInArrow = lambda self, work, schema: work
+
+rng = random.Random(3)
+words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(30_000)]
+def batches():
+    for _ in range(4):
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(rng.choices(words, k=150)) for _ in range(1000)])], ["text"])
+
+base, most, ended = private(), [0], []
+def watch():
+    while not ended:
+        most[0] = max(most[0], private())
+        time.sleep(0.002)
+threading.Thread(target=watch, daemon=True).start()
+for out in bpe.tokenize(Docs(), sys.argv[1])(batches()):
+    pass
+ended.append(1)
+print(most[0] - base, private() - base)
+"""
+
+
+def test_worker_stays_small():
+    """Two of these stand beside an executor's heap, and stay for the stages behind."""
+    said = subprocess.run([sys.executable, "-c", MEMORY, PATH], capture_output=True, text=True, check=True, env=os.environ | {"OMP_NUM_THREADS": "1"}, cwd=Path(bpe.__file__).parents[2])
+    most, left = map(float, said.stdout.split())
+    assert most < MOST_MB and left < LEFT_MB, (most, left)

@@ -8,7 +8,8 @@ to collide by someone who knows the numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,24 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             i = j
 
 
+def hand_back() -> None:
+    """Free memory that Arrow and the C library keep goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def thrifty(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The work of a task, after which hand_back(): its Python worker goes on to other stages, beside an executor's heap that has grown."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        hand_back()
+
+    return run
+
+
 def runs(data: np.ndarray, at: np.ndarray, kind: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the longest runs of bytes of a kind that stay inside a row, and for each row the index of its first run."""
     inside = kind[data]

@@ -24,8 +24,8 @@ NONE = np.int32(0x7FFFFFFF)
 LONG_PIECE = 256
 #: Pieces that a worker remembers between batches, and the longest of them in bytes.
 REMEMBERED, LONGEST_REMEMBERED = 120_000, 64
-#: Text bytes whose pieces are encoded together: equal ones cost once.
-TOGETHER = 1 << 20
+#: Text bytes whose pieces are encoded together: equal ones cost once. A worker needs some 100 times as many while it does so.
+TOGETHER = 1 << 18
 
 _LETTER, _NUMBER, _OTHER, _WHITE, _BLANK = 0, 1, 2, 3, 4
 _classes: np.ndarray | None = None
@@ -35,11 +35,12 @@ def classes() -> np.ndarray:
     """The class of each code point: letter, number, other, white space, and the space character itself."""
     global _classes
     if _classes is None:
-        every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "!" for c in range(0x110000))
         out = np.full(0x110000, _OTHER, np.uint8)
-        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_WHITE, r"\p{White_Space}+")):
-            for m in regex.finditer(pattern, every):
-                out[m.start() : m.end()] = kind
+        for begin in range(0, 0x110000, 0x1000):
+            some = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "!" for c in range(begin, begin + 0x1000))
+            for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_WHITE, r"\p{White_Space}+")):
+                for m in regex.finditer(pattern, some):
+                    out[begin + m.start() : begin + m.end()] = kind
         out[0x20] = _BLANK
         _classes = out
     return _classes
@@ -307,7 +308,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
             ids = [[i for p in row for i in p] for row in own.encode(data, at)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.binary()), *(part[f.name] for f in rest)], names)
 
-    return docs.select(*(f.name for f in rest)).mapInArrow(coded, "ids array<int>, decoded binary, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest))
+    return docs.select(*(f.name for f in rest)).mapInArrow(T.thrifty(coded), "ids array<int>, decoded binary, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -326,7 +327,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 decoded_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(coded, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(T.thrifty(coded), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def fit_discriminator(docs: DataFrame, *, most: int = FIT_ROWS) -> Discriminator
             x = shares(data, at)
             yield pa.RecordBatch.from_arrays([part["key"], part["lang"], pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], ["key", "lang", "shares"])
 
-    got = chosen.filter(F.col("text").rlike(r"\p{L}")).select(_fit.order_key().alias("key"), "lang", "text").mapInArrow(shared, "key long, lang string, shares binary").toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
+    got = chosen.filter(F.col("text").rlike(r"\p{L}")).select(_fit.order_key().alias("key"), "lang", "text").mapInArrow(T.thrifty(shared), "key long, lang string, shares binary").toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
     x = np.frombuffer(T.flat(got["shares"].combine_chunks())[0], np.float32).reshape(-1, 1 << BITS).copy() if got.num_rows else np.zeros((0, 1 << BITS), np.float32)
     return fit(x, got["lang"].to_pylist())
 
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: Discriminator) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0)), *(part[f.name] for f in rest)], names)
 
     rows = docs.select(*(f.name for f in rest), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter))
-    return rows.mapInArrow(named, "lang_pred string, lang_score double, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest))
+    return rows.mapInArrow(T.thrifty(named), "lang_pred string, lang_score double, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,7 +317,7 @@ def shingle_nodes(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
             yield often(kind)
 
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    return rows.mapInArrow(named, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, node long, n_shingles long, bits binary, shingle long, times long")
+    return rows.mapInArrow(T.thrifty(named), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, node long, n_shingles long, bits binary, shingle long, times long")
 
 
 def common_order(counts: DataFrame) -> Order:
@@ -392,8 +392,8 @@ def groups(docs: DataFrame, order: Order, rule: Rule = RULE) -> DataFrame:
             yield from made(wait[0], wait[1], True)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("text").mapInArrow(keyed, "key long, node long")
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(shared, "group long, node long, large boolean").distinct()
+    rows = docs.select("text").mapInArrow(T.thrifty(keyed), "key long, node long")
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(T.thrifty(shared), "group long, node long, large boolean").distinct()
 
 
 def paired(rows: DataFrame, group: str, inside: str, most: int, size=None) -> DataFrame:
@@ -474,13 +474,13 @@ def candidates(grouped: DataFrame, known: DataFrame, rule: Rule = RULE) -> DataF
         if wait is not None and wait.num_rows:
             yield made(wait, True)
 
-    test = lambda r: r.select("unit", "node", "n_shingles", "bits", "label", "inside").repartition(parts, "unit").sortWithinPartitions("unit", "node").mapInArrow(hung, "a long, b long")
+    test = lambda r: r.select("unit", "node", "n_shingles", "bits", "label", "inside").repartition(parts, "unit").sortWithinPartitions("unit", "node").mapInArrow(T.thrifty(hung), "a long, b long")
     out = test(rows.filter("not large").withColumn("unit", F.col("group")).withColumn("inside", F.lit(False)))
     if not rows.filter("large").isEmpty():
         large = rows.filter("large").drop("large")
         top = lambda c: F.col(f"t.{c}")
         tops = large.groupBy("group").agg(F.min(F.struct("node", "n_shingles", "bits", "label")).alias("t")).select("group", top("node").alias("top"), top("n_shingles").alias("top_n"), top("bits").alias("top_bits"), top("label").alias("top_label"))
-        large = large.join(tops, "group").mapInArrow(led, "group long, node long, n_shingles long, bits binary, label long, top long, inside boolean")
+        large = large.join(tops, "group").mapInArrow(T.thrifty(led), "group long, node long, n_shingles long, bits binary, label long, top long, inside boolean")
         large = _shared.settle(large, "ngram-large")
         own = large.filter("inside and node != top").select(F.col("node").alias("a"), F.col("top").alias("b"))
         out = (out if labelled else out.unionByName(own)).unionByName(test(paired(large, "group", "inside", GROUP)))
@@ -510,7 +510,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         if held:
             yield made()
 
-    return edges.mapInArrow(joined, "a long, b long")
+    return edges.mapInArrow(T.thrifty(joined), "a long, b long")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -585,8 +585,8 @@ def links(docs: DataFrame, known: DataFrame, grouped: DataFrame, rule: Rule = RU
         if len(held) > 1:
             yield done()
 
-    shingles = texts.mapInArrow(shingled, "node long, shingles binary")
-    find = lambda units: shingles.join(units.select("unit", "node", "label"), "node").repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(searched, "a long, b long")
+    shingles = texts.mapInArrow(T.thrifty(shingled), "node long, shingles binary")
+    find = lambda units: shingles.join(units.select("unit", "node", "label"), "node").repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(T.thrifty(searched), "a long, b long")
 
     def cut(members: DataFrame) -> DataFrame:
         """root and the number of parts of the blocks that are too large for one task."""

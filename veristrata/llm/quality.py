@@ -201,7 +201,7 @@ def score_quality(docs: DataFrame, field: Field) -> DataFrame:
             score = field.score(data, at)
             yield pa.RecordBatch.from_arrays([pa.array(score), pa.array((score >= KEEP).astype(np.int32)), *(part[f.name] for f in rest)], names)
 
-    return docs.select(*(f.name for f in rest)).mapInArrow(scored, "score double, predicted int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest))
+    return docs.select(*(f.name for f in rest)).mapInArrow(T.thrifty(scored), "score double, predicted int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
