@@ -1,6 +1,7 @@
 """Queries over sentences against their SQL on texts with other spaces and letters than the given tables have."""
 
 import random
+import re
 import sys
 
 import duckdb
@@ -81,3 +82,23 @@ def test_taxonomy_with_and_without_sent_ids(spark, monkeypatch, most):
     found = provenance.miss_taxonomy(items, docs)
     assert "translate(" not in provenance.summarise(found)._jdf.queryExecution().analyzed().toString()
     assert {(r["category"], r["items"]) for r in provenance.summarise(found).collect()} == {("exact", 1), ("normalized", 1), ("low_overlap", 1)}
+
+
+@pytest.mark.parametrize("threshold", ["10m", "256k"])
+def test_key_rows_stay_off_the_driver(spark, monkeypatch, threshold):
+    """The documents' keys and the pairs take next to nothing in files, as they repeat, and much more in the driver: they're never broadcast."""
+    plans, settle = {}, provenance.settle
+    joins = lambda df: re.findall(r"\w+Join\b", df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(provenance, "settle", lambda df, name: (plans.update({name: joins(df)}), settle(df, name))[1])
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("aspirin 81 mg was started for chest pain").alias("text"))
+    items = spark.createDataFrame([(k, "aspirin 81 mg was started for chest pain") for k in range(20)], "item_id int, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = provenance.contained(items, docs)
+        assert joins(found)[0] == plans["quote-pairs"][0] == "SortMergeJoin"
+        assert found.count() == 400_000
+        monkeypatch.setattr(provenance, "SENT_IDS", 0)
+        assert set(joins(provenance.shared_tokens(items, docs))[1:]) == {"SortMergeJoin"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -11,20 +11,26 @@ from veristrata.operators.cluster import settle
 SCATTERED, DRIFTED, WEAK = 0.92, 0.72, 0.45
 
 
-#: Ids of documents that are sent to every task; beyond, the join shuffles.
+#: Ids of documents, or tokens of items, that are sent to every task; beyond, the join shuffles.
 SENT_IDS = 200_000
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """A settled table that the driver must not gather to send it: Spark goes by the size of its files, in which millions of equal keys take a few MB."""
+    return rows.hint("merge")
+
+
 def shared_tokens(items: DataFrame, docs: DataFrame, form=T.normal_loose) -> DataFrame:
     """(item_id, doc_id, shared, n_tokens): distinct content tokens that an item's text shares with each document.
 
-    Both sides meet on tokens. A document's tokens that no item has go before anything is shuffled when the items' tokens are few
-    enough to be broadcast by Spark's own size estimate; counts are pre-aggregated. `form` gives a text's normal_loose() form.
+    Both sides meet on tokens. A document's tokens that no item has go before anything is shuffled when the items' tokens are SENT_IDS
+    at most; counts are pre-aggregated. `form` gives a text's normal_loose() form.
     """
     tokens = lambda df, key: df.select(key, F.explode(F.array_distinct(T.content_words(F.array_distinct(F.split(form(F.col("text")), " "))))).alias("token"))
-    own = tokens(items, "item_id")
+    own = settle(tokens(items, "item_id"), "item-tokens")
+    sent = F.broadcast(own) if own.count() <= SENT_IDS else held(own)
     size = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    return own.join(tokens(docs, "doc_id"), "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).join(size, "item_id")
+    return sent.join(tokens(docs, "doc_id"), "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).join(size, "item_id")
 
 
 def contained(items: DataFrame, docs: DataFrame, form=T.normal_exact) -> DataFrame:
@@ -58,11 +64,11 @@ def contained(items: DataFrame, docs: DataFrame, form=T.normal_exact) -> DataFra
     have = settle(have.join(keys.select("size", "key").distinct(), ["size", "key"]), "quote-keys")
     df = have.groupBy("size", "key").agg(F.count(F.lit(1)).alias("df"))
     rarest = keys.join(df, ["size", "key"], "left").groupBy("item_id", "quote").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "size", "key")).alias("r")).filter("r.df > 0")
-    pairs = settle(have.join(rarest.select("item_id", "quote", "r.size", "r.key"), ["size", "key"]).select("item_id", "quote", "doc_id"), "quote-pairs")
+    pairs = settle(held(have).join(rarest.select("item_id", "quote", "r.size", "r.key"), ["size", "key"]).select("item_id", "quote", "doc_id"), "quote-pairs")
     ids = pairs.select("doc_id").distinct()
     few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
-    met = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", form(F.col("text")).alias("source"))
-    return met.join(pairs, "doc_id").filter(F.col("source").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
+    met = docs.join(F.broadcast(ids) if few else held(ids), "doc_id", "left_semi").select("doc_id", form(F.col("text")).alias("source"))
+    return met.join(held(pairs), "doc_id").filter(F.col("source").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
 
 
 def classify(exact: Column, loose: Column, covered: Column) -> Column:
