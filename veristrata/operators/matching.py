@@ -35,11 +35,12 @@ def assign(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
         return sorted((a, b, s) for b, a, s in assign([(b, a, s) for a, b, s in edges]))
     row, column = {a: i for i, a in enumerate(left)}, {b: j for j, b in enumerate(right)}
     value = np.zeros((len(left), len(right)))
+    share = 2 * len(left) * max(1.0, max(abs(e[2]) for e in edges))
     known = {}
     for a, b, s in edges:
         if s >= known.get((a, b), s):
             known[a, b] = s
-            value[row[a], column[b]] = 1 + s / (2 * len(left) * max(1.0, max(abs(e[2]) for e in edges)))
+            value[row[a], column[b]] = 1 + s / share
     n, m = value.shape
     u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.full(m + 1, -1)  # column m stands for the row being placed
     for i in range(n):
